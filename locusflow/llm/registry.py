@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusflow.llm import simhash
+from locusflow.llm import decontaminate, mixing, pii, rules, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op3_mixing": mixing.op3_mixing,
+        "op5_rules": rules.op5_rules,
+        "op6_decontamination": decontaminate.op6_decontamination,
+        "op7_tokens": tokens.op7_tokens,
+        "op8_pii": pii.op8_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": mixing.OP3_SQL, "op5_rules": rules.OP5_SQL}
