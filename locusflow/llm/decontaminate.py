@@ -38,14 +38,14 @@ def template_tokens(text: Column) -> Column:
     A name is a capitalised word that neither starts the text nor a line nor follows the end of a sentence.  Tokens
     of punctuation alone vanish.  Null gives no tokens.
     """
-    clean = F.translate(F.coalesce(text, F.lit("")), _NAME + _NUMBER + _UNIT, "   ")
-    named = F.regexp_replace(clean, r"([^\s.!?:]) +(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", f"$1 {_NAME}$2")
+    clean = F.coalesce(text, F.lit(""))
+    clean = F.when(clean.rlike(f"[{_NAME}-{_UNIT}]"), F.regexp_replace(clean, f"[{_NAME}-{_UNIT}]", " ")).otherwise(clean)
+    named = F.regexp_replace(clean, r"(?<=[^\s.!?:]) +(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", f" {_NAME}$1")
     spaced = F.regexp_replace(named, r"([0-9])(\p{L})", "$1 $2")
     numbered = F.regexp_replace(spaced, r"[0-9]+(?:[.,:][0-9]+)*", f"{_NUMBER}$0")
     kept = F.regexp_replace(numbered, rf"[^\p{{L}}\p{{N}}.,:{_NAME}{_NUMBER}]+|[.,:](?![0-9])", " ")
-    digits = F.when(clean.rlike("[0-9]"), kept).otherwise(F.regexp_replace(named, rf"[^\p{{L}}\p{{N}}{_NAME}]+", " "))
-    tokens = F.filter(F.split(F.lower(digits), " "), lambda w: w != F.lit(""))
-    return tokens
+    digits = F.when(text.rlike("[0-9]"), kept).otherwise(F.regexp_replace(named, rf"[^\p{{L}}\p{{N}}{_NAME}]+", " "))
+    return F.filter(F.split(F.lower(digits), " "), lambda w: w != F.lit(""))
 
 
 def _typed(tokens: Column) -> Column:
@@ -73,18 +73,23 @@ def template_windows(rows: DataFrame, key: str) -> DataFrame:
         F.transform("tokens", lambda w: F.when(marked(w), F.ascii(w).cast("long")).otherwise(F.xxhash64(w))).alias("coded"),
         F.exists("tokens", marked).alias("slotted"),
         F.exists("tokens", named).alias("named"),
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tokens") - (WINDOW - 1))).alias("starts"),
     )
     words = F.when(F.col("named"), F.transform("tokens", lambda w: F.when(named(w), F.xxhash64(F.substring(w, 2, 1 << 20))).when(marked(w), F.ascii(w).cast("long")).otherwise(F.xxhash64(w))))
-    typed = typed.select("*", words.alias("worded"), F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tokens") - (WINDOW - 1))).alias("starts"))
+    typed = typed.select("*", words.alias("worded"))
     part = lambda i: F.slice("tokens", i, WINDOW)
-    form = lambda i, of, slots: F.struct(F.xxhash64(F.slice("coded", i, WINDOW)).alias("window"), F.xxhash64(F.slice(of, i, WINDOW)).alias("h"), slots.alias("slots"))
-    first = F.transform("starts", lambda i: form(i, "coded", F.when(F.col("slotted"), F.filter(part(i), marked))))
-    second = F.transform(F.filter("starts", lambda i: F.exists(part(i), named)), lambda i: form(i, "worded", F.filter(part(i), lambda w: marked(w) & ~named(w))))
-    each = F.when(F.col("named"), F.concat(first, second)).otherwise(first)
+    form = lambda i, of, slots, window: F.struct(F.xxhash64(F.slice(of, i, WINDOW)).alias("h"), slots.alias("slots"), window.alias("window"))
+    same, none = F.lit(None).cast("long"), F.lit(None).cast("array<string>")
+    first = F.transform("starts", lambda i: form(i, "coded", F.filter(part(i), marked), same))
+    second = F.transform(
+        F.filter("starts", lambda i: F.exists(part(i), named)),
+        lambda i: form(i, "worded", F.filter(part(i), lambda w: marked(w) & ~named(w)), F.xxhash64(F.slice("coded", i, WINDOW))),
+    )
+    plain = F.transform("starts", lambda i: form(i, "coded", none, same))
+    each = F.when(F.size("tokens") == 0, F.array()).when(F.col("named"), F.concat(first, second)).when(F.col("slotted"), first).otherwise(plain)
     return (
-        typed.where(F.size("tokens") > 0)
-        .select(key, F.explode(each).alias("x"))
-        .select(key, F.col("x.window").alias("window"), F.col("x.h").alias("h"), F.coalesce(F.col("x.slots"), F.array().cast("array<string>")).alias("slots"))
+        typed.select(key, F.explode(each).alias("x"))
+        .select(key, F.coalesce("x.window", "x.h").alias("window"), F.col("x.h").alias("h"), F.coalesce(F.col("x.slots"), F.array().cast("array<string>")).alias("slots"))
     )
 
 

@@ -14,7 +14,7 @@ def swap(text, table):
 def brute_tokens(text):
     """Tokens as (type or '', value), read word by word."""
     out = []
-    text = re.sub(r"([^\W\d_]|[^\s.!?:]) +([A-ZÄÖÜ][a-zäöüß]+)(?!\w)", lambda m: m.group(1) + " \x01" + m.group(2), text)
+    text = re.sub(r"(?<=[^\s.!?:]) +([A-ZÄÖÜ][a-zäöüß]+)(?!\w)", lambda m: " \x01" + m.group(1), text)
     for w in re.findall(r"\x01?[^\W\d_]+|\d+(?:[.,:]\d+)*", text):
         if w[0] == "\x01":
             out.append(("name", w[1:].lower()))
