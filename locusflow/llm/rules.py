@@ -18,7 +18,8 @@ from locusflow.llm.shared import table, words_of
 MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEAT_PCT = 30
-#: About so many rows, by a hash of the id, make the sample for costs and selectivities; verdicts never depend on it.
+#: About so many rows of one input file, by a hash of the id, make the sample for costs and selectivities; verdicts
+#: never depend on it.
 SAMPLE_ROWS = 2000
 
 #: Further rules: a rule is the condition under which a text is rejected, over the base measures and the words.
@@ -88,8 +89,10 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[], Column]] = RULES, sampl
     Null texts count as empty and fail the base rules, as do all texts under twenty words.  Repeated rows and null
     ids are judged row by row.  Only doc_id and text are read.
     """
-    every = max(1, docs.count() // sample_rows)
-    sample = base_measures(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).cache()
+    files = docs.inputFiles()[:1]
+    some = docs.sparkSession.read.parquet(*files) if files and files[0].endswith(".parquet") else docs
+    every = max(1, some.count() // sample_rows)
+    sample = base_measures(some.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).cache()
     order = ordered_rules(sample, rules)
     sample.unpersist()
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
