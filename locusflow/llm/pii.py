@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.llm.shared import batches_with, str_cells, table
+from locusflow.runtime import map_arrow
 
 #: The base kinds in their order, and the further kinds after them.
 BASE = ("email", "ip", "card", "phone")
@@ -187,7 +188,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, _SCHEMA)
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
@@ -202,7 +203,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
             arrays[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
-    out = docs.mapInArrow(run, schema)
+    out = map_arrow(docs, run, schema)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(schema["n_chars"].dataType))
     return out.select(*columns)

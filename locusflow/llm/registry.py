@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusflow.llm import decontaminate, mixing, pii, rules, simhash, tokens
+from locusflow.llm import decontaminate, language, licenses, mixing, pii, quality, rules, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,11 +14,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_language": language.op2_language,
         "op3_mixing": mixing.op3_mixing,
         "op5_rules": rules.op5_rules,
         "op6_decontamination": decontaminate.op6_decontamination,
         "op7_tokens": tokens.op7_tokens,
         "op8_pii": pii.op8_pii,
+        "op9_quality": quality.op9_quality,
+        "op10_licenses": licenses.op10_licenses,
     }
 
 

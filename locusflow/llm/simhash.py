@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from locusflow.llm.graph import components
 from locusflow.llm.shared import Scratch, batches_with, utf8_cells
+from locusflow.runtime import map_arrow
 
 SHINGLE = 4
 SEED = 42
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             fps = np.array([fingerprint(t, shingle, seed) for t in utf8_cells(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
 
 
 def _quarters(fps: np.ndarray) -> np.ndarray:
@@ -95,7 +96,7 @@ def _tiles(distinct: DataFrame, scratch: Scratch, size: int) -> DataFrame:
             )
 
     dealt = distinct.repartitionByRange(max(1, -(-n // size)), *quarter, "fp")
-    return scratch.write(dealt.mapInArrow(run, "tile long, low array<short>, high array<short>, fps binary"), "tiles")
+    return scratch.write(map_arrow(dealt, run, "tile long, low array<short>, high array<short>, fps binary"), "tiles")
 
 
 def _tile_pairs(tiles: DataFrame, radius: int) -> DataFrame:
@@ -181,7 +182,7 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch, radius: int = RADIU
                 u, v = link_forest(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), radius)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    return scratch.write(work.mapInArrow(run, "u long, v long"), "links")
+    return scratch.write(map_arrow(work, run, "u long, v long"), "links")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE) -> DataFrame:
