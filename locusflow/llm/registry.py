@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusflow.llm import decontaminate, language, licenses, mixing, pii, quality, rules, simhash, tokens
+from locusflow.llm import decontaminate, language, licenses, mixing, pii, quality, rules, simhash, substrings, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_simhash": simhash.op1_simhash,
         "op2_language": language.op2_language,
         "op3_mixing": mixing.op3_mixing,
+        "op4_substrings": substrings.op4_substrings,
         "op5_rules": rules.op5_rules,
         "op6_decontamination": decontaminate.op6_decontamination,
         "op7_tokens": tokens.op7_tokens,

@@ -210,22 +210,25 @@ def hex_of(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+#: Rows up to which a table of ids is sent to every executor; a larger one is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates: that of its smallest doc_id, all columns as they were.
 
-    Rows that share a doc_id count as copies only if one of them stands for its group; then one of them stays.
-    Rows without a doc_id all stay, as nothing tells them apart.
+    Of rows that share the id that stands for a group one stays.  Rows without a doc_id all stay, as nothing tells them
+    apart.
     """
     found = near_duplicates(docs)
-    keep = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    scratch = Scratch(docs.sparkSession, "keep")
-    keep = scratch.write(keep, "ids")
-    out = docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if keep.where("n > 1").limit(1).count():
-        once = docs.join(keep.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-        many = docs.join(keep.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-        out = once.unionAll(many.dropDuplicates(["doc_id"]))
-    return out.unionAll(docs.where("doc_id is null"))
+    ids = Scratch(docs.sparkSession, "keep").write(
+        found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stands")), "ids"
+    )
+    away, many = ids.where("stands = 0 or n > 1").select("doc_id"), ids.where("stands = 1 and n > 1").select("doc_id")
+    out = docs.join(F.broadcast(away) if away.count() <= BROADCAST_ROWS else away, "doc_id", "left_anti").select(*docs.columns)
+    if many.limit(1).count():
+        out = out.unionAll(docs.join(many, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return out
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
