@@ -93,14 +93,15 @@ class AlleleCaller:
         reps = reps.select("locus", F.concat_ws("_", "locus", "allele_id").alias("id"), F.col("protein").alias("seq"))
         for k in range(self.rounds if self.mode == 4 else 1):
             proteins = dedup.distinct_proteins(left)
-            near = matching.shared_minimizers(proteins.select(F.col("prot_hash").alias("id"), F.col("protein").alias("seq")), reps.select("id", "seq"), c.clustering_sim)
+            # The first round looks at clusters; later ones at every sequence that shares a minimizer with a representative.
+            level, least, top = (c.bsr + 0.1, c.clustering_sim, 30) if k == 0 else (c.bsr, 0.0, 500)
+            near = matching.shared_minimizers(proteins.select(F.col("prot_hash").alias("id"), F.col("protein").alias("seq")), reps.select("id", "seq"), least, top)
             pairs = near.join(reps.select(F.col("id").alias("reference"), "locus", F.col("seq").alias("query_seq")), "reference").join(
                 proteins.select(F.col("prot_hash").alias("query"), F.col("protein").alias("target_seq")), "query"
             )
             pairs = pairs.select(F.col("reference").alias("query"), "locus", "query_seq", F.col("query").alias("target"), "target_seq")
             hits = matching.align_pairs(pairs.repartition("query", "target")).withColumn("slen", F.length("target_seq"))
             scores = matching.self_scores(reps.select(F.col("id").alias("seqid"), F.col("seq").alias("protein")))
-            level = c.bsr + 0.1 if k == 0 else c.bsr
             rated = matching.filter_bsr(matching.best_hit(hits, order=("query",)), scores, level).withColumn("rep_nt", F.length("query_seq") * 3 + 3)
             each = matching.expand_matches(rated.withColumnRenamed("target", "prot_hash"), proteins, left, tips)
             kind = F.lit(None).cast("string")
