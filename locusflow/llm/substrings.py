@@ -27,7 +27,9 @@ LENGTH = 200
 GRAM = 56
 #: Kinds of segments of one anchor that one shard takes, and about how many bytes make a shard.
 KINDS = 4000
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 3 << 19
+#: Shards that one task works through, one after the other.
+SHARDS_PER_TASK = 32
 
 _BLOCK = 1 << 20
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -53,8 +55,8 @@ def segments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     if len(text) < length:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     raw, width = np.frombuffer(text, np.uint8), length - gram + 1
-    anchors, hashes = [], []
-    for at in range(0, len(text) - length + 1, _BLOCK):
+    hashes, firsts, n_windows, last = [], [], len(text) - length + 1, -1
+    for at in range(0, n_windows, _BLOCK):
         part = raw[at : at + _BLOCK + length - 1]
         h = gram_hashes(part, gram)
         n = len(h) - width + 1
@@ -64,11 +66,12 @@ def segments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
         ahead = np.minimum.accumulate(rows, 1).ravel()
         behind = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()
         place = (np.minimum(behind[:n], ahead[width - 1 : width - 1 + n]) & np.uint64((1 << 22) - 1)).astype(np.int64)
-        anchors.append(place + at)
-        hashes.append(h[place])
-    place, found = np.concatenate(anchors), np.concatenate(hashes)
-    first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-    return found[first], first, np.diff(np.append(first, len(place)))
+        first = np.flatnonzero(np.concatenate([[place[0] + at != last], place[1:] != place[:-1]]))
+        hashes.append(h[place[first]])
+        firsts.append(first + at)
+        last = place[-1] + at
+    first = np.concatenate(firsts)
+    return np.concatenate(hashes), first, np.diff(np.append(first, n_windows))
 
 
 def suffix_array(raw: np.ndarray, depth: int) -> np.ndarray:
@@ -172,26 +175,33 @@ def _segment_rows(docs: DataFrame, length: int, gram: int, full: bool) -> DataFr
     """(a) of each segment, or (a, s, key, p, n) with the segment's hash, document, first window and number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            cols = [np.concatenate(a).view(np.int64)]
+            if full:
+                cols += [np.concatenate(s), np.concatenate(key), np.concatenate(p).astype(np.int32), np.concatenate(n).astype(np.int32)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "s", "key", "p", "n"][: len(cols)])
+
+        a, s, key, p, n, held = [], [], [], [], [], 0
         for batch in batches_with(batches, 256):
-            a, s, key, p, n = [], [], [], [], []
             for k, text in zip(batch.column(0).to_pylist(), utf8_cells(batch.column(1)), strict=True):
                 if text is None or len(text) < length:
                     continue
                 hashes, first, count = segments(text, length, gram)
                 a.append(hashes)
                 if full:
-                    ends = (first + count + length - 1).tolist()
+                    ends = first + count + length - 1
                     view = memoryview(text)
-                    s += [xxhash.xxh3_64_intdigest(view[x:y]) for x, y in zip(first.tolist(), ends, strict=True)]
+                    cut = zip(first.tolist(), ends.tolist(), strict=True)
+                    s.append(np.fromiter((xxhash.xxh3_64_intdigest(view[x:y]) for x, y in cut), np.uint64, len(first)).view(np.int64))
                     key.append(np.full(len(first), k, np.int64))
                     p.append(first)
                     n.append(count)
-            if not a:
-                continue
-            cols = [np.concatenate(a).view(np.int64)]
-            if full:
-                cols += [np.array(s, np.uint64).view(np.int64), np.concatenate(key), np.concatenate(p).astype(np.int32), np.concatenate(n).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "s", "key", "p", "n"][: len(cols)])
+                held += len(first)
+                if held > 50_000:
+                    yield rows()
+                    a, s, key, p, n, held = [], [], [], [], [], 0
+        if a:
+            yield rows()
 
     return map_arrow(docs.select("key", "text"), run, "a long, s long, key long, p int, n int" if full else "a long")
 
@@ -241,7 +251,8 @@ def _shard_results(contents: DataFrame, length: int, shards: int) -> DataFrame:
         if rows:
             yield judge(rows, shard)
 
-    dealt = contents.repartition(shards, "shard").sortWithinPartitions("shard")
+    tasks = min(shards, max(4 * contents.sparkSession.sparkContext.defaultParallelism, -(-shards // SHARDS_PER_TASK)))
+    dealt = contents.repartition(tasks, "shard").sortWithinPartitions("shard")
     return map_arrow(dealt, run, "key long, start int, end int, digest binary, shard long")
 
 
