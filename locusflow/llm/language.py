@@ -22,6 +22,7 @@ from locusflow.llm.shared import batches_with, residue, str_cells, table
 from locusflow.runtime import map_arrow
 
 DIMS = 1 << 14
+PIECE = 1 << 20
 CENTROIDS = 5
 #: Bound of the fit: about so many labelled rows of each language, chosen by a hash of the id.
 ROWS_PER_LANGUAGE = 1500
@@ -48,7 +49,13 @@ def has_letter(text: str | None) -> bool:
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed buckets of the text's letter pairs and triples, single letters and whole words' ends, with their counts."""
+    """Hashed buckets of the text's letters, pairs and triples, with their counts; a long text is counted in pieces."""
+    counts = sum((_counts(text[at : at + PIECE]) for at in range(0, len(text), PIECE)), np.zeros(DIMS, np.int64))
+    at = np.flatnonzero(counts)
+    return at, counts[at]
+
+
+def _counts(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     low = _letters()[points]
     keep = (low != 0) | np.concatenate([[False], low[:-1] != 0]) if len(low) else np.zeros(0, bool)
@@ -57,9 +64,7 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     triple = pair[:-1] + a[2:] * _MULT[2] + np.uint64(77)
     coded = np.concatenate([pair, triple, a[a != 0] * _MULT[2] + np.uint64(5)])
     coded = (coded ^ (coded >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    counts = np.bincount((coded >> np.uint64(64 - 14)).astype(np.int64), minlength=DIMS)
-    at = np.flatnonzero(counts)
-    return at, counts[at]
+    return np.bincount((coded >> np.uint64(64 - 14)).astype(np.int64), minlength=DIMS)
 
 
 def _weights(counts: np.ndarray) -> np.ndarray:

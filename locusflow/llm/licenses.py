@@ -132,3 +132,27 @@ def scan(docs: DataFrame, notices=NOTICES, containment: float = CONTAINMENT) ->
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_PLAIN = r"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+OP10_SQL = f"""
+WITH notices(id, license, text) AS (VALUES {", ".join(f"({i}, {_quoted(a)}, {_quoted(t)})" for i, (a, t) in enumerate(NOTICES))}),
+n AS (SELECT id, license, ws, least({SHINGLE}, len(ws)) AS k FROM (SELECT id, license, {_PLAIN} AS ws FROM notices)),
+own AS (SELECT DISTINCT id, license, k, len(ws) - k + 1 AS size, greatest(1, (len(ws) - k + 1) // 4) AS step,
+               array_to_string(ws[i : i + k - 1], ' ') AS s FROM n, LATERAL (SELECT unnest(range(1, len(ws) - k + 2)) AS i)),
+need AS (SELECT id, count(*) AS n FROM own GROUP BY id),
+d AS (SELECT doc_id, row_number() OVER () AS r, {_PLAIN} AS ws FROM documents),
+there AS (SELECT r, doc_id, k, i, array_to_string(ws[i : i + k - 1], ' ') AS s
+          FROM d, (SELECT DISTINCT k FROM n) ks, LATERAL (SELECT unnest(range(1, greatest(1, len(ws) - ks.k + 2))) AS i)),
+hit AS (SELECT r, doc_id, id, license, size, step, i, s FROM there JOIN own USING (k, s)),
+around AS (SELECT r, doc_id, id, license, s, j FROM hit,
+           LATERAL (SELECT unnest(range(greatest(0, (i - size - step) // step - 1), (i - 1) // step + 2)) AS j)
+           WHERE i BETWEEN greatest(1, (j - 1) * step + 1) AND greatest(1, (j - 1) * step + 1) + size + 2 * step - 1),
+part AS (SELECT r, doc_id, a.id, license, j, CAST(count(DISTINCT s) AS DOUBLE) / any_value(need.n) AS c
+         FROM around a JOIN need ON need.id = a.id GROUP BY ALL)
+SELECT doc_id, license, max(c) AS containment FROM part WHERE c >= {CONTAINMENT} GROUP BY doc_id, license
+"""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm.shared import batches_with, residue, table, utf8_cells
+from locusflow.llm.shared import batches_with, residue, table, utf8_cells, word_pieces
 from locusflow.runtime import map_arrow
 
 THRESHOLD = 0.3
@@ -30,32 +30,36 @@ _SYMBOLS = np.frombuffer(b"#*$%&<>~^\\{}[]@_=+/", np.uint8)
 def features(text: bytes | None) -> np.ndarray:
     """Measures of form, free of language: shares of kinds of bytes, lengths, and repetition of words, lines and windows."""
     text = text or b""
-    words = text.split()
-    n, size = max(1, len(words)), max(1, len(text))
+    codes, widths, stutter, before = [], [], 0, None
+    for words in word_pieces(text):
+        codes.append(np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64))
+        widths.append(np.fromiter(map(len, words), np.int64, len(words)))
+        stutter += sum(map(eq, words, words[1:])) + (before is not None and words[:1] == [before])
+        before = words[-1] if words else before
+    coded = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
+    lengths = np.concatenate(widths) if widths else np.zeros(0, np.int64)
+    n, size = max(1, len(coded)), max(1, len(text))
     count = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     lines = [x for x in text.split(b"\n") if x.strip()]
-    coded = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
     repeated = 0
-    if len(words) >= 8:
-        code = np.zeros(len(words) - 7, np.uint64)
+    if len(coded) >= 8:
+        code = np.zeros(len(coded) - 7, np.uint64)
         for k in range(8):
-            code = code * np.uint64(0x9E3779B97F4A7C15) + coded[k : len(words) - 7 + k]
+            code = code * np.uint64(0x9E3779B97F4A7C15) + coded[k : len(coded) - 7 + k]
         code.sort()
         twice = code[1:] == code[:-1]
         repeated = int((np.concatenate([twice, [False]]) | np.concatenate([[False], twice])).sum())
-    stutter = sum(map(eq, words, words[1:]))
     unique = len(np.unique(coded))
     upper, lower = int(count[65:91].sum()), int(count[97:123].sum())
     letters = max(1, upper + lower)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
     return np.array(
         [
-            np.log1p(len(words)), np.log1p(len(text)), size / n, float(lengths.std()) if len(words) else 0.0,
+            np.log1p(len(coded)), np.log1p(len(text)), size / n, float(lengths.std()) if len(coded) else 0.0,
             count[_SYMBOLS].sum() / n, count[124] / n, count[33] / n, count[63] / n, count[44] / n, count[46] / n,
             count[48:58].sum() / size, upper / letters, count[128:].sum() / size, count[10] / n, count[32] / size,
             np.log1p(count[_SYMBOLS].sum()), np.log1p(count[124]), np.log1p(count[33]),
             (len(lines) - len(set(lines))) / max(1, len(lines)), repeated / n, stutter / n, unique / n, np.log1p(unique),
-            len(lines) / n, float(lengths.max()) / 50 if len(words) else 0.0, count[34] / n, count[:32].sum() / size, float(len(words) == 0),
+            len(lines) / n, float(lengths.max()) / 50 if len(coded) else 0.0, count[34] / n, count[:32].sum() / size, float(len(coded) == 0),
         ],
         np.float32,
     )

@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.OP3_SQL, "op5_rules": rules.OP5_SQL}
+    return {"op3_mixing": mixing.OP3_SQL, "op5_rules": rules.OP5_SQL, "op10_licenses": licenses.OP10_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -73,6 +74,20 @@ def str_cells(column: pa.Array) -> list[str | None]:
     return column.to_pylist()
 
 
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_pieces(text: bytes, size: int = 1 << 22) -> Iterator[list[bytes]]:
+    """The words of a text in lists of about ``size`` bytes each, so that a very long text is never held as words."""
+    at = 0
+    while at < len(text):
+        end = len(text)
+        if end - at > size and (gap := _BREAK.search(text, at + size)):
+            end = gap.start()
+        yield text[at:end].split()
+        at = end
+
+
 def batches_with(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows, so that what Python holds of a batch stays small."""
     for batch in batches:

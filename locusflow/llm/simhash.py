@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.llm.graph import components
-from locusflow.llm.shared import Scratch, batches_with, utf8_cells
+from locusflow.llm.shared import Scratch, batches_with, utf8_cells, word_pieces
 from locusflow.runtime import map_arrow
 
 SHINGLE = 4
@@ -37,25 +37,33 @@ _ROWS = np.arange(8, dtype=np.int64) * 256
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """64-bit SimHash of the word shingles (repeats count).  No word: 0.  Fewer words than a shingle: one shingle."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+    counts, n, rest = np.zeros(2048, np.int64), 0, []
+    for words in word_pieces((text or b"").lower()):
+        words = rest + words
+        if len(words) >= shingle:
+            counts += _byte_counts(words, shingle, seed)
+            n += len(words) - shingle + 1
+            words = words[len(words) - shingle + 1 :]
+        rest = words
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(rest), seed) if rest else 0
+    ones = (counts.reshape(8, 256) @ _BITS).ravel()
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
+def _byte_counts(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """How often each byte of the shingles' hashes has each value."""
     flat = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    n = len(words) - shingle + 1
-    del words
     counts = np.zeros(2048, np.int64)
-    for at in range(0, n, _PIECE):
-        to = min(n, at + _PIECE)
+    for at in range(0, len(words) - shingle + 1, _PIECE):
+        to = min(len(words) - shingle + 1, at + _PIECE)
         cut = zip(starts[at:to].tolist(), ends[at + shingle - 1 : to + shingle - 1].tolist(), strict=True)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, [flat[a:b] for a, b in cut], repeat(seed)), np.uint64, to - at)
         counts += np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _ROWS).ravel(), minlength=2048)
-    ones = (counts.reshape(8, 256) @ _BITS).ravel()
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return counts
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

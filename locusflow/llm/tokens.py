@@ -10,7 +10,7 @@ from __future__ import annotations
 import contextlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -26,6 +26,7 @@ from locusflow.runtime import map_arrow
 
 LIMIT = 1024
 CACHE = 800_000
+LONG = 1 << 22
 
 #: White space of the tokenizer's pattern, and the pattern.
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -130,7 +131,11 @@ class Counter(dict):
 
     def tokens(self, text: str) -> int:
         parts = self.added.split(text) if self.added and any(a in text for a in self.model.added) else (text,)
-        return len(parts) - 1 + sum(sum(map(self.__getitem__, self.pattern.findall(part))) for part in parts)
+        return len(parts) - 1 + sum(sum(map(self.__getitem__, self.pieces(part))) for part in parts)
+
+    def pieces(self, text: str) -> Iterable[str]:
+        """The pre-tokens; those of a very long text one by one."""
+        return self.pattern.findall(text) if len(text) < LONG else (m.group() for m in self.pattern.finditer(text))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
