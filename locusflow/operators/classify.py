@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -75,10 +76,6 @@ def filter_by_modes(lengths: DataFrame, threshold: float, by: str = "locus", val
     return joined.withColumn("outlier", F.when(F.col(value) > high * (1 + threshold), "ALM").when(F.col(value) < low * (1 - threshold), "ASM")).drop("modes")
 
 
-def first_mode(values: list[int]) -> int:
-    return Counter(values).most_common(1)[0][0]
-
-
 INEXACT = "locus string, genome_ord int, ord int, allele_id string, dna_hash string, prot_hash string, class string, bsr double, candidate boolean, mode int, length int"
 
 
@@ -97,12 +94,12 @@ def classify_inexact(matches: DataFrame, lengths: DataFrame, threshold: float |
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["genome_ord", "ord", "dna_hash"], kind="stable")
         first = rows["lengths"].iloc[0]
-        sizes = list(first) if first is not None else []
-        mode = first_mode(sizes) if sizes else None
+        sizes = Counter(first if first is not None else ())
+        mode = sizes.most_common(1)[0][0] if sizes else None
         known_dna, known_protein, out = set(), set(), []
-        for _, cell in rows.groupby("genome_ord", sort=False):
+        for _, cell in groupby(rows.itertuples(index=False), key=lambda m: m.genome_ord):
             start, own_length = len(out), None
-            for m in cell.itertuples(index=False):
+            for m in cell:
                 ratio, kind = m.bsr, None
                 if m.dna_hash in known_dna:
                     kind, ratio = "EXC", 1.0
@@ -125,8 +122,8 @@ def classify_inexact(matches: DataFrame, lengths: DataFrame, threshold: float |
             kinds = [r[6] for r in out[start:]]
             lone = kinds == ["INF"] or (kinds.count("INF") == 1 and set(kinds) <= {"INF", "ASM", "ALM"})
             if lone:
-                sizes.append(own_length)
-                mode = first_mode(sizes)
+                sizes[own_length] += 1
+                mode = max(sizes, key=sizes.__getitem__)
                 if bsr <= out[start][7] < bsr + 0.1:
                     for r in out[start:]:
                         r[8] = r[6] == "INF"

@@ -152,7 +152,7 @@ def represent(proteins: DataFrame, threshold: float = 0.6) -> DataFrame:
     ship(proteins.sparkSession)
 
     def loop(rows: pd.DataFrame) -> pd.DataFrame:
-        from locusflow.functions.align import align
+        from locusflow.functions.align import align, align_many
 
         rows = rows.assign(n=rows["seq"].str.len()).sort_values(["n", "seqid"], ascending=[False, True], kind="stable")
         seq = dict(zip(rows["seqid"], rows["seq"], strict=True))
@@ -163,7 +163,9 @@ def represent(proteins: DataFrame, threshold: float = 0.6) -> DataFrame:
                 rep = next((s for s in left if s in close), left[0])
             chosen.append(rep)
             own = align(seq[rep], seq[rep])[0]
-            ratios = {s: align(seq[rep], seq[s])[0] / own if own else 0.0 for s in left if s != rep}
+            others = [s for s in left if s != rep]
+            found = align_many([seq[rep]] * len(others), [seq[s] for s in others])
+            ratios = {s: x[0] / own if own else 0.0 for s, x in zip(others, found, strict=True)}
             left = [s for s, x in ratios.items() if x < threshold + 0.1]
             close = {s for s in left if s in close or ratios[s] >= threshold}
             if len(close) == len(left):
