@@ -95,7 +95,8 @@ def _windows(size: int, length: int) -> Column:
 
 def templates(spark: SparkSession, notices=NOTICES) -> DataFrame:
     """(template, license, size, shingles, bands): shingles of five words, or of the whole notice if it is shorter."""
-    plain = spark.createDataFrame([(i, a, t) for i, (a, t) in enumerate(notices)], "template int, license string, text string")
+    listed = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(a).alias("license"), F.lit(t).alias("text")) for i, (a, t) in enumerate(notices)])
+    plain = spark.range(1).select(F.inline(listed))
     coded = plain.select("template", "license", F.transform(_tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("coded"))
     size = F.least(F.lit(SHINGLE), F.size("coded"))
     per = [coded.where((size == k) & (F.size("coded") > 0)).select("template", "license", F.lit(k).alias("size"), _shingles("coded", k).alias("shingles")) for k in range(1, SHINGLE + 1)]

@@ -18,8 +18,8 @@ from locusflow.llm.shared import SPACE_CLASS, Scratch, table
 WEIGHTS = (5, 2, 1)
 SHARE_NUM, SHARE_DEN = 3, 2
 EPOCHS = 2
-#: Hexadecimal digits of the key that name the range: 16 ** RANGE_DIGITS ranges in each source.
-RANGE_DIGITS = 2
+#: Ranges of a source hold about so many rows at most if it has all rows; there are at least 256 of them.
+RANGE_ROWS = 50_000
 
 
 def word_count(text: Column) -> Column:
@@ -64,7 +64,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, digits: int = RANGE_DIGITS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of each row of ``docs``; taken counts repeats.
 
     Size is the number of words (null: 0).  A null source is a source of its own, the last.  Rows with equal ids
@@ -76,7 +76,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, digits: int = RANGE
     rows = scratch.write(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key")),
         "sizes",
-    ).withColumn("part", F.substring("key", 1, digits))
+    )
+    # The first digits of the key name the range; their number changes the work, never the order.
+    digits = 2
+    while 16**digits * range_rows < rows.count():
+        digits += 1
+    rows = rows.withColumn("part", F.substring("key", 1, digits))
     ranges = scratch.write(rows.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "ranges")
     goal = targets(ranges.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights)
     ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -91,6 +91,7 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[], Column]] = RULES, sampl
     """
     files = docs.inputFiles()[:1]
     some = docs.sparkSession.read.parquet(*files) if files and files[0].endswith(".parquet") else docs
+    some = some if {"doc_id", "text"} <= set(some.columns) else docs
     every = max(1, some.count() // sample_rows)
     sample = base_measures(some.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).cache()
     order = ordered_rules(sample, rules)
