@@ -60,9 +60,9 @@ def kmers(seq: Column | str, k: int, step: int = 1) -> Column:
 
 def minimizers(seq: Column | str, k: int = 5, window: int = 5) -> Column:
     """Distinct lexicographic minima of all windows of ``window`` adjacent k-mers; empty if there is no full window."""
-    words = kmers(seq, k)
-    n = F.size(words) - (window - 1)
-    minima = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_min(F.slice(words, i, window)))
+    seq = _col(seq)
+    n = F.length(seq) - (k - 1) - (window - 1)
+    minima = F.transform(F.sequence(F.lit(1), n), lambda i: F.least(*[F.substring(seq, i + j, F.lit(k)) for j in range(window)]))
     return F.when(n >= 1, F.array_distinct(minima)).otherwise(F.array().cast("array<string>"))
 
 
@@ -179,7 +179,7 @@ def range_with_stop(start: int, stop: int, step: int) -> Column:
 
 def parse_time(text: Column | str) -> Column:
     """Timestamp of YYYY-MM-DDTHH:MM:SS with or without a fraction; null for others."""
-    return F.coalesce(F.try_to_timestamp(_col(text), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")), F.try_to_timestamp(_col(text), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    return F.when(_col(text).rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?\z"), _col(text).try_cast("timestamp"))
 
 
 def elapsed(start: Column, end: Column) -> Column:

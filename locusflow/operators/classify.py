@@ -180,3 +180,20 @@ def tips(cds: DataFrame) -> DataFrame:
     w = Window.partitionBy("genome", "contig")
     first, last = F.row_number().over(w.orderBy("begin", "protid")), F.row_number().over(w.orderBy(F.desc("begin"), F.desc("protid")))
     return cds.withColumn("_f", first).withColumn("_l", last).where("_f = 1 or _l = 1").drop("_f", "_l")
+
+
+def coordinate_cells(marked: DataFrame, cds: DataFrame) -> DataFrame:
+    """(locus, genome_ord, cell): place of valid cells as contig&begin-end&strand, or the hash without a place; else the class.
+
+    ``marked`` are cells after mark_paralogous; ``cds``: genome_ord, dna_hash, contig, begin, end, strand.
+    """
+    place = F.concat("contig", F.lit("&"), "begin", F.lit("-"), "end", F.lit("&"), "strand")
+    first = cds.groupBy("genome_ord", "dna_hash").agg(F.min_by(place, F.struct("contig", "begin")).alias("place"))
+    valid = F.col("class").isin("EXC", "INF")
+    out = marked.join(first, ["genome_ord", "dna_hash"], "left")
+    return out.select("locus", "genome_ord", F.when(valid, F.coalesce("place", "dna_hash")).otherwise(F.col("class")).alias("cell"))
+
+
+def unclassified(distinct: DataFrame, matches: DataFrame) -> DataFrame:
+    """Distinct sequences that no match has."""
+    return distinct.join(matches.select("dna_hash"), "dna_hash", "left_anti")

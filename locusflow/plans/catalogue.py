@@ -11,7 +11,7 @@ from locusflow.functions import sequence as S
 from locusflow.functions.translate import codons, translate_native, translated
 from locusflow.operators import annotate, classify, cluster, dedup, evaluate, matching, profiles, store
 from locusflow.plans import derived as D
-from locusflow.sources import sinks
+from locusflow.sources import fasta, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -470,6 +470,98 @@ def species_totals(spark, d):
     return store.species_statistics(D.table(spark, d, "customer").select(F.col("c_mktsegment").alias("species"), F.col("c_nationkey").alias("nr_loci"), F.col("c_custkey").alias("nr_alleles")))
 
 
+# Sinks and records of calling.
+_PLACES = "places AS (SELECT l_orderkey AS genome_ord, CAST(l_suppkey AS VARCHAR) AS dna_hash, arg_min(l_returnflag || '&' || l_linenumber || '-' || CAST(l_quantity AS INT) || '&' || 1, (l_returnflag, l_linenumber, CAST(l_quantity AS INT))) AS place FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"WITH {_CELLS}, {_PLACES} SELECT locus, genome_ord, CASE WHEN class IN ('EXC', 'INF') THEN coalesce(place, dna_hash) ELSE class END AS cell FROM marked LEFT JOIN places USING (genome_ord, dna_hash)")
+def coordinate_matrix(spark, d):
+    cds = D.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("genome_ord"), F.col("l_suppkey").cast("string").alias("dna_hash"), F.col("l_returnflag").alias("contig"), F.col("l_linenumber").alias("begin"), F.col("l_quantity").cast("int").alias("end"), F.lit(1).alias("strand")
+    )
+    return classify.coordinate_cells(classify.mark_paralogous(_cells(spark, d)), cds)
+
+
+@query(
+    f"WITH m AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS locus, user_id AS FILE, {_CASE} AS class FROM events), g AS (SELECT locus, FILE, count(*) AS n, min(class) AS o, count(*) FILTER (class = 'EXC') AS e, count(*) FILTER (class = 'INF') AS i, count(*) FILTER (class IN ('PLOT3', 'PLOT5', 'LOTSC')) AS p FROM m GROUP BY 1, 2), "
+    "c AS (SELECT locus, FILE, n, CASE WHEN n = 1 THEN o WHEN e = n THEN 'NIPHEM' WHEN p = 0 AND e = 1 AND i = 0 THEN 'EXC' WHEN p = 0 AND e = 0 AND i = 1 THEN 'INF' ELSE 'NIPH' END AS class FROM g) "
+    "SELECT FILE, " + ", ".join(f"count(*) FILTER (class = '{k}') AS {k}" for k in classify.CLASSES if k != "LNF") + ", (SELECT count(DISTINCT locus) FROM c) - count(*) AS LNF, 0 AS invalid_cds, CAST(sum(n) AS BIGINT) AS classified_cds, 0 AS total_cds FROM c GROUP BY FILE"
+)
+def calls_statistics(spark, d):
+    m = classify.fold_classes(_event_matches(spark, d)).withColumnRenamed("genome_ord", "FILE")
+    return evaluate.calls_per_sample(m, m, m)
+
+
+@query(
+    f"WITH m AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS locus, user_id AS genome_ord, event_id AS ord, CAST(event_id AS VARCHAR) AS dna_hash, {_CASE} AS class FROM events), g AS (SELECT locus, genome_ord, count(*) AS n, min(class) AS o, count(*) FILTER (class = 'EXC') AS e, count(*) FILTER (class = 'INF') AS i, count(*) FILTER (class IN ('PLOT3', 'PLOT5', 'LOTSC')) AS p FROM m GROUP BY 1, 2), "
+    "c AS (SELECT locus, genome_ord, CASE WHEN n = 1 THEN o WHEN e = n THEN 'NIPHEM' WHEN p = 0 AND e = 1 AND i = 0 THEN 'EXC' WHEN p = 0 AND e = 0 AND i = 1 THEN 'INF' ELSE 'NIPH' END AS locus_class FROM g) "
+    "SELECT row_number() OVER (ORDER BY locus, genome_ord, ord, dna_hash) AS index, genome_ord, locus, locus_class, dna_hash, class AS cds_class FROM m JOIN c USING (locus, genome_ord) WHERE locus_class NOT IN ('EXC', 'INF')"
+)
+def missing_class_records(spark, d):
+    ids = D.table(spark, d, "events").select(F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("dna_hash"))
+    to = F.create_map(*[F.lit(x) for kv in _TO_CLASS.items() for x in kv])
+    m = D.table(spark, d, "events").select(F.to_date("ts").cast("string").alias("locus"), F.col("user_id").alias("genome_ord"), F.col("event_id").alias("ord"), F.coalesce(F.try_element_at(to, F.col("event_type")), F.lit("LOTSC")).alias("class")).join(ids, "ord")
+    return evaluate.ambiguous_matches(m, classify.fold_classes(m))
+
+
+@query("SELECT sha256(upper(replace(text, 'ß', 'SS'))) AS dna_hash, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) FILTER (source = 'src0') = 0")
+def unclassified_cds(spark, d):
+    docs = D.table(spark, d, "documents")
+    cds = docs.select(F.col("source").alias("genome"), F.col("doc_id").alias("genome_ord"), F.lit(1).alias("protid"), F.col("text").alias("dna"))
+    distinct = dedup.distinct_dna(cds)
+    matched = distinct.select("dna_hash", F.explode("genomes").alias("doc_id")).join(docs.where("source = 'src0'").select("doc_id"), "doc_id")
+    return classify.unclassified(distinct, matched).select("dna_hash", "n")
+
+
+@query("SELECT doc_id, doc_id || ': smaller than 201 chars' AS reason FROM documents WHERE length(text) < 201 * (1 - 0.2)")
+def small_sequences(spark, d):
+    return fasta.small_sequences(D.table(spark, d, "documents"), 201, 0.2, "doc_id", "text")
+
+
+@query("SELECT p_name, row_number() OVER (ORDER BY lower(p_name), p_name) AS number FROM (SELECT DISTINCT p_name FROM part)")
+def surrogate_numbers(spark, d):
+    return fasta.numbered(D.table(spark, d, "part").select("p_name").distinct(), "p_name")
+
+
+@query(f"WITH {_LI}, a AS (SELECT DISTINCT locus, CAST(n AS VARCHAR) AS allele_id, 'ACGT' || locus || '-' || n AS dna FROM prof WHERE n % 2 = 0) SELECT FILE, p.locus, a.dna FROM p JOIN a ON a.locus = p.locus AND a.allele_id = regexp_replace(replace(cell, 'INF-', ''), '\*', '')")
+def allele_sequences(spark, d):
+    g = D.table(spark, d, "lineitem").groupBy(F.col("l_suppkey"), (F.col("l_partkey") % 50).alias("locus")).agg(F.count("*").alias("n"))
+    alleles = g.where("n % 2 = 0").select("locus", F.col("n").cast("string").alias("allele_id"), F.concat(F.lit("ACGT"), "locus", F.lit("-"), "n").alias("dna")).distinct()
+    return profiles.allele_sequences(D.lineitem_profiles(spark, d), alleles)[0].select("FILE", "locus", "dna")
+
+
+@query(f"WITH {_EV}, q AS (SELECT FILE, locus, replace(cell, 'INF-', '') AS cell FROM p WHERE cell <> 'LNF'), s AS (SELECT FILE, sha256('{{' || string_agg('\"' || locus || '\":\"' || cell || '\"', ',' ORDER BY locus) || '}}') AS profile_id FROM q GROUP BY FILE) SELECT profile_id FROM s GROUP BY profile_id HAVING max(FILE % 3) > 0 AND min(FILE % 3) > 0")
+def insert_new_profiles(spark, d):
+    stored = store.profile_json(D.event_profiles(spark, d))
+    return store.insert_new(stored.where("FILE % 3 = 0"), stored).select("profile_id")
+
+
+@query(f"WITH {_EV}, q AS (SELECT FILE, locus, CASE WHEN locus = 'click' AND replace(cell, 'INF-', '') = '4' THEN '99' ELSE replace(cell, 'INF-', '') END AS cell FROM p WHERE cell <> 'LNF') SELECT FILE, '{{' || string_agg('\"' || locus || '\":\"' || cell || '\"', ',' ORDER BY locus) || '}}' AS profile FROM q GROUP BY FILE")
+def replace_identifiers(spark, d):
+    changes = spark.range(1).select(F.lit("click").alias("locus"), F.lit("4").alias("old"), F.lit("99").alias("new"))
+    return store.replace_identifiers(store.profile_json(D.event_profiles(spark, d)), changes).select("FILE", "profile")
+
+
+@query("SELECT c_custkey, c_name || ' Thing of ' || c_mktsegment AS header, c_mktsegment AS gene, 'Thing of ' || c_mktsegment AS product FROM customer")
+def header_terms(spark, d):
+    text = F.concat("c_name", F.lit(" Thing of "), "c_mktsegment")
+    records = D.table(spark, d, "customer").select("c_custkey", text.alias("name"), F.concat(F.regexp_replace("c_name", " ", "_"), F.lit(" Thing of "), "c_mktsegment", F.lit(" OS=Any GN="), "c_mktsegment", F.lit(" PE=1")).alias("header"))
+    return annotate.proteome_terms(records).select("c_custkey", F.col("name").alias("header"), "gene", "product")
+
+
+@query("SELECT event_id, date_diff('second', ts, ts + INTERVAL (user_id) SECOND) // 60 AS minutes, user_id % 60 AS seconds FROM events")
+def elapsed_time(spark, d):
+    ev = D.table(spark, d, "events").select("event_id", "ts", F.timestamp_add("SECOND", F.col("user_id").cast("int"), F.col("ts")).alias("later"))
+    e = S.elapsed(S.parse_time(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")), S.parse_time(F.date_format("later", "yyyy-MM-dd'T'HH:mm:ss")))
+    return ev.select("event_id", e["minutes"].alias("minutes"), e["seconds"].alias("seconds"))
+
+
+@query(f"WITH {_LI}, {_PA}, m AS (SELECT FILE, locus, {_MASK} AS cell FROM p) SELECT FILE, locus, cell FROM m WHERE locus IN (SELECT locus FROM pa GROUP BY locus HAVING CAST(sum(present) AS DOUBLE) / (SELECT count(DISTINCT FILE) FROM pa) >= 0.95)")
+def core_profiles(spark, d):
+    p = D.lineitem_profiles(spark, d)
+    return profiles.masked(p.join(profiles.core_loci(profiles.presence(p), 0.95), "locus", "left_semi")).select("FILE", "locus", "cell")
+
+
 # Beyond SQL: folds and alignment, held against plain versions in the tests.
 def _item_pairs(spark: SparkSession, d: str) -> DataFrame:
     items = D.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.upper("text").alias("seq"))

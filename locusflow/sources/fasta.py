@@ -109,3 +109,47 @@ def read_json_dump(spark: SparkSession, path: str, schema: str | None = None) ->
 def as_of(alleles: DataFrame, when: str, column: str = "inserted_at") -> DataFrame:
     """The alleles inserted up to a moment."""
     return alleles.where(F.col(column) <= F.to_timestamp(F.lit(when)))
+
+
+def snapshot_time(wanted: str | None, inserted: str, modified: str, archived: str | None = None, latest: bool = False) -> str:
+    """The moment of a download: none takes the archive's, else the last change; a wanted one must lie between insertion and change."""
+    if latest:
+        return modified
+    if wanted is None:
+        return archived or modified
+    if not inserted <= wanted <= modified:
+        raise ValueError(f"{wanted} is not between {inserted} and {modified}")
+    return wanted
+
+
+def path_list(spark: SparkSession, path: str) -> DataFrame:
+    """(path, problem) of a file with one path in its first column: a suffix that no FASTA file has, or a header line of one."""
+    first = F.trim(F.element_at(F.split("value", "\t"), 1))
+    rows = spark.read.text(path).select(first.alias("path")).where(F.col("path") != "")
+    suffix = F.lower(F.substring_index("path", ".", -1)).isin(*SUFFIXES)
+    return rows.withColumn("problem", F.when(F.col("path").startswith(">"), "FASTA instead of a list").when(~suffix, "invalid extension"))
+
+
+def loci_list(spark: SparkSession, path: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(locus) of a list of identifiers, file names or paths, and those of it that ``known`` (locus) does not have."""
+    first = F.trim(F.element_at(F.split("value", "\t"), 1))
+    name = F.regexp_replace(F.substring_index(first, "/", -1), r"\.(" + "|".join(SUFFIXES) + r")\z", "")
+    rows = spark.read.text(path).select(name.alias("locus")).where(F.col("locus") != "").distinct()
+    return rows.join(known.select("locus"), "locus", "left_semi"), rows.join(known.select("locus"), "locus", "left_anti")
+
+
+def numbered(values: DataFrame, column: str) -> DataFrame:
+    """Surrogate numbers from 1, in the order of the values without regard to case."""
+    return values.withColumn("number", F.row_number().over(Window.orderBy(F.lower(column), column)))
+
+
+def file_hashes(spark: SparkSession, path: str, kind: str = "blake2b") -> DataFrame:
+    """(path, size, digest) of whole files."""
+    from locusflow.functions.sequence import sequence_hash
+
+    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), sequence_hash("content", kind).alias("digest"))
+
+
+def small_sequences(seqs: DataFrame, minimum: int, variation: float = 0.0, key: str = "seqid", value: str = "seq") -> DataFrame:
+    """(key, reason) of sequences shorter than the minimum less its variation."""
+    return seqs.where(F.length(value) < minimum * (1 - variation)).select(key, F.concat(F.col(key).cast("string"), F.lit(f": smaller than {minimum} chars")).alias("reason"))

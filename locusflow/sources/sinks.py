@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusflow.functions.sequence import elapsed, parse_time
+
 
 def fasta_record(seqid: Column | str, seq: Column | str) -> Column:
     return F.concat(F.lit(">"), seqid, F.lit("\n"), seq)
@@ -65,3 +67,9 @@ def report(tables: dict[str, DataFrame], path: str, title: str) -> None:
 def payload(df: DataFrame) -> DataFrame:
     """Each row as JSON text."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+def run_log(spark: SparkSession, started: str, finished: str, **facts: object) -> DataFrame:
+    """One row about a run: both stamps, the time between them, and what else is to be kept."""
+    row = spark.range(1).select(F.lit(started).alias("started"), F.lit(finished).alias("finished"), *[F.lit(v).alias(k) for k, v in facts.items()])
+    return row.withColumn("elapsed", elapsed(parse_time("started"), parse_time("finished")))
