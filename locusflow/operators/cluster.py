@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusflow.functions.sequence import minimizers
+from locusflow.operators.numbering import with_row_number
 from locusflow.runtime import ship
 
 #: Groups that are clustered apart before their representatives are; a parameter of the result, not of the cluster.
@@ -45,14 +46,14 @@ def greedy_clusters(proteins: DataFrame, similarity: float = 0.2, top: int = 1,
     """(representative, member, similarity, length) of (seqid, seq): longest first, ties by seqid.
 
     Sequences are cut by that order into ``groups`` that are clustered apart; then the representatives are clustered in
-    the same order, and the members of one that joined another follow it.
+    the same order, and the members of one that joined another follow it.  The second pass is one group: it holds the
+    representatives of all groups, far fewer than the sequences.
     """
     ship(proteins.sparkSession)
-    order = Window.orderBy(F.desc("length"), "seqid")
     sized = proteins.select("seqid", F.length("seq").alias("length"), minimizers("seq", k, window).alias("words"))
     n = proteins.count()
     per = max(1, -(-n // groups))
-    placed = sized.withColumn("group", F.floor((F.row_number().over(order) - 1) / per).cast("int"))
+    placed = with_row_number(sized.withColumn("_size", -F.col("length")), "place", "_size", "seqid").withColumn("group", F.floor((F.col("place") - 1) / per).cast("int"))
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "seqid"], ascending=[False, True], kind="stable")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from locusflow.functions.sequence import error_category, missing_between, quartiles
 from locusflow.operators.classify import CLASSES, modes
+from locusflow.operators.numbering import with_row_number
 
 VALID = ("EXC", "INF")
 INVALID = ("PLOT3", "PLOT5", "LOTSC", "NIPH", "NIPHEM", "ALM", "ASM", "PAMA")
@@ -98,8 +99,6 @@ def calls_per_sample(cells: DataFrame, samples: DataFrame, loci: DataFrame, inva
 
 def ambiguous_matches(matches: DataFrame, cells: DataFrame) -> DataFrame:
     """All matches of the cells that are neither found cleanly nor absent, numbered by locus, genome and order."""
-    from pyspark.sql import Window
-
     bad = cells.where(F.col("class").isin(*INVALID)).select("locus", "genome_ord", F.col("class").alias("locus_class"))
-    out = matches.join(bad, ["locus", "genome_ord"])
-    return out.select(F.row_number().over(Window.orderBy("locus", "genome_ord", "ord", "dna_hash")).alias("index"), "genome_ord", "locus", "locus_class", "dna_hash", F.col("class").alias("cds_class"))
+    out = with_row_number(matches.join(bad, ["locus", "genome_ord"]), "index", "locus", "genome_ord", "ord", "dna_hash")
+    return out.select("index", "genome_ord", "locus", "locus_class", "dna_hash", F.col("class").alias("cds_class"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.functions.sequence import is_present, mask_cell, sequence_hash
+from locusflow.operators.numbering import with_row_number
 
 
 def masked(profiles: DataFrame, missing: str = "0") -> DataFrame:
@@ -28,8 +29,8 @@ def missing_data(present: DataFrame) -> DataFrame:
 
 def ranked_samples(present: DataFrame) -> DataFrame:
     """(FILE, rank): samples from the most loci to the least, ties by name."""
-    per = present.groupBy("FILE").agg(F.sum("present").alias("k"))
-    return per.select("FILE", F.row_number().over(Window.orderBy(F.desc("k"), "FILE")).alias("rank"))
+    per = present.groupBy("FILE").agg((-F.sum("present")).alias("k"))
+    return with_row_number(per, "rank", "k", "FILE").select("FILE", "rank")
 
 
 def running_fraction(present: DataFrame) -> DataFrame:

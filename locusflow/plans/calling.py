@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.config import Config
 from locusflow.functions.sequence import ID_REPLACEMENTS, replace_in_order, sequence_hash
 from locusflow.functions.translate import translated
 from locusflow.operators import classify, cluster, dedup, matching
-
-
-class Stage:
-    """Tables on shared storage, written between steps that are read more than once; they cut the lineage."""
-
-    def __init__(self, spark: SparkSession):
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            where = f"file://{tempfile.mkdtemp(prefix='locusflow-')}"
-        self.spark, self.root = spark, f"{where.rstrip('/')}/{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+from locusflow.runtime import Stage
 
 
 @dataclass

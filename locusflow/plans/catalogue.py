@@ -523,7 +523,7 @@ def surrogate_numbers(spark, d):
     return fasta.numbered(D.table(spark, d, "part").select("p_name").distinct(), "p_name")
 
 
-@query(f"WITH {_LI}, a AS (SELECT DISTINCT locus, CAST(n AS VARCHAR) AS allele_id, 'ACGT' || locus || '-' || n AS dna FROM prof WHERE n % 2 = 0) SELECT FILE, p.locus, a.dna FROM p JOIN a ON a.locus = p.locus AND a.allele_id = regexp_replace(replace(cell, 'INF-', ''), '\*', '')")
+@query(f"WITH {_LI}, a AS (SELECT DISTINCT locus, CAST(n AS VARCHAR) AS allele_id, 'ACGT' || locus || '-' || n AS dna FROM prof WHERE n % 2 = 0) SELECT FILE, p.locus, a.dna FROM p JOIN a ON a.locus = p.locus AND a.allele_id = regexp_replace(replace(cell, 'INF-', ''), '[*]', '')")
 def allele_sequences(spark, d):
     g = D.table(spark, d, "lineitem").groupBy(F.col("l_suppkey"), (F.col("l_partkey") % 50).alias("locus")).agg(F.count("*").alias("n"))
     alleles = g.where("n % 2 = 0").select("locus", F.col("n").cast("string").alias("allele_id"), F.concat(F.lit("ACGT"), "locus", F.lit("-"), "n").alias("dna")).distinct()

@@ -1,10 +1,11 @@
-"""Makes the package importable in Python workers, wherever they run."""
+"""Makes the package importable in Python workers, and keeps tables that cut the lineage on shared storage."""
 
 from __future__ import annotations
 
 import importlib.util
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -33,3 +34,19 @@ def map_arrow(df: DataFrame, function: Callable, schema: object) -> DataFrame:
     """mapInArrow whose function may use this package."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+class Stage:
+    """Tables on shared storage, written between steps that are read more than once; they cut the lineage."""
+
+    def __init__(self, spark: SparkSession):
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            where = f"file://{tempfile.mkdtemp(prefix='locusflow-')}"
+        self.spark, self.root = spark, f"{where.rstrip('/')}/{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")

@@ -140,7 +140,9 @@ def loci_list(spark: SparkSession, path: str, known: DataFrame) -> tuple[DataFra
 
 def numbered(values: DataFrame, column: str) -> DataFrame:
     """Surrogate numbers from 1, in the order of the values without regard to case."""
-    return values.withColumn("number", F.row_number().over(Window.orderBy(F.lower(column), column)))
+    from locusflow.operators.numbering import with_row_number
+
+    return with_row_number(values.withColumn("_low", F.lower(column)), "number", "_low", column).drop("_low")
 
 
 def file_hashes(spark: SparkSession, path: str, kind: str = "blake2b") -> DataFrame:

@@ -183,3 +183,12 @@ def test_fasta(spark, tmp_path):
     assert fasta.read_fasta(spark, f"{tmp_path}/out").count() == 3
     problems = fasta.name_problems(spark.createDataFrame([("a b",), ("x" * 31,), ("d",), ("d",)], "genome string"))
     assert {(r[0][:3], r[1]) for r in problems.collect()} == {("a b", "blank"), ("xxx", "long"), ("d", "duplicate")}
+
+
+def test_row_numbers(spark):
+    from locusflow.operators.numbering import with_row_number
+
+    rows = [((i * 37) % 101, i) for i in range(101)]
+    got = with_row_number(spark.createDataFrame(rows, "k int, v int").repartition(7), "n", "k").collect()
+    assert sorted((r["k"], r["n"]) for r in got) == [(i, i + 1) for i in range(101)]
+    assert with_row_number(spark.createDataFrame([], "k int"), "n", "k").count() == 0
