@@ -41,3 +41,60 @@ def test_partitions_do_not_matter(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert out[0] == out[1]
+
+
+def test_translations_by_hand(spark):
+    from locusflow.functions import translate as T
+
+    def bases(key):
+        import hashlib
+
+        digest = hashlib.sha256(str(key).encode()).hexdigest().upper()
+        return digest.translate(str.maketrans("0123456789ABCDEF", "ACGTACGTACGTACGT"))
+
+    for r in catalogue.queries()["translate_four_orientations"](spark, SF).collect():
+        k = r["o_orderkey"]
+        dna = "ATG" + bases(k)[:9] + "TAA"
+        dna = T.orient(dna, {1: "antisense", 2: "revsense"}.get(k % 4, "sense"))
+        protein, _, orientation, error = T.translate_any(dna)
+        assert (r["protein"], r["orientation"], r["error"]) == (protein, orientation, error)
+
+
+def test_alignments_by_hand(spark, duck):
+    from tests.test_functions import plain_alignment
+
+    text = {str(i): t.upper() for i, t in duck.sql("SELECT item_id, text FROM benchmark").fetchall()}
+    short = [r for r in catalogue.queries()["smith_waterman"](spark, SF).collect() if len(text[r["query"]]) * len(text[r["target"]]) < 30_000]
+    assert len(short) > 10 and all(r["score"] == plain_alignment(text[r["query"]], text[r["target"]]) for r in short[:15])
+
+
+def test_inexact_fold_by_hand(spark, duck):
+    rows = duck.sql("SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_discount + 0.6, CAST(l_quantity AS INT), l_tax > 0.07 FROM lineitem ORDER BY 1, 2, 3, CAST(l_partkey AS VARCHAR)").fetchall()
+    want, state = {}, {}
+    for at, (locus, genome, line, part, bsr, length, tip) in enumerate(rows):
+        s = state.setdefault(locus, {"dna": set(), "prot": set(), "sizes": [20, 25, 25], "cell": []})
+        mode = max(s["sizes"], key=lambda v: (s["sizes"].count(v), -s["sizes"].index(v)))
+        if part in s["dna"]:
+            kind, bsr = "EXC", 1.0
+        elif part % 200 in s["prot"]:
+            kind, bsr = "INF", 1.0
+            s["dna"].add(part)
+        elif tip:
+            kind = "PLOT3"
+        elif length < mode - mode * 0.4:
+            kind = "ASM"
+        elif length > mode + mode * 0.4:
+            kind = "ALM"
+        else:
+            kind = "INF"
+            s["dna"].add(part)
+            s["prot"].add(part % 200)
+        s["cell"].append((kind, length))
+        want[str(locus), genome, line] = (kind, round(bsr, 6))
+        if at + 1 == len(rows) or rows[at + 1][:2] != (locus, genome):
+            kinds = [k for k, _ in s["cell"]]
+            if kinds.count("INF") == 1 and set(kinds) <= {"INF", "ASM", "ALM"}:
+                s["sizes"].append(next(n for k, n in s["cell"] if k == "INF"))
+            s["cell"] = []
+    got = {(r["locus"], r["genome_ord"], r["ord"]): (r["class"], round(r["bsr"], 6)) for r in catalogue.queries()["inexact_fold"](spark, SF).collect()}
+    assert got == want
