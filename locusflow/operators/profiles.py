@@ -87,37 +87,41 @@ def blocked_distances(profiles: DataFrame, block: int = 512) -> DataFrame:
 
     ship(profiles.sparkSession)
     cells = masked(profiles).where(is_present("cell") == 1)
-    loci = profiles.select("locus").distinct().select("locus", (F.row_number().over(Window.orderBy("locus")) - 1).alias("at"))
-    n_loci, n = loci.count(), profiles.select("FILE").distinct().count()
-    order = profiles.select("FILE").distinct().select("FILE", (F.row_number().over(Window.orderBy("FILE")) - 1).alias("ord"))
-    vectors = order.join(cells.join(F.broadcast(loci), "locus").groupBy("FILE").agg(F.collect_list(F.struct("at", F.col("cell").cast("long").alias("v"))).alias("vec")), "FILE", "left")
-    blocks = -(-n // block)
-    own = F.floor(F.col("ord") / block).cast("int")
+    loci = with_row_number(profiles.select("locus").distinct(), "at", "locus")
+    order = with_row_number(profiles.select("FILE").distinct(), "ord", "FILE")
+    n_loci, n = loci.count(), order.count()
+    coded = cells.join(loci, "locus").select("FILE", (F.col("at") - 1).alias("at"), F.col("cell").cast("long").alias("v"))
+    vectors = order.join(coded.groupBy("FILE").agg(F.collect_list("at").alias("at"), F.collect_list("v").alias("v")), "FILE", "left")
+    blocks, own = -(-n // block), F.floor((F.col("ord") - 1) / block).cast("int")
     left = vectors.select("*", F.explode(F.sequence(own, F.lit(blocks - 1))).alias("j")).withColumn("i", own).withColumn("side", F.lit(0))
     right = vectors.select("*", F.explode(F.sequence(F.lit(0), own)).alias("i")).withColumn("j", own).withColumn("side", F.lit(1))
 
     def dense(rows: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(rows), n_loci), np.int64)
-        for k, vec in enumerate(rows["vec"]):
-            for x in vec if vec is not None else ():
-                out[k, x["at"]] = x["v"]
+        out = np.zeros((len(rows), n_loci), np.int32)
+        for k, (at, v) in enumerate(zip(rows["at"], rows["v"], strict=True)):
+            if at is not None:
+                out[k, np.asarray(at, np.int64)] = v
         return out
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = (rows[rows["side"] == s].sort_values("ord") for s in (0, 1))
         x, y, parts = dense(a), dense(b), []
+        there = y != 0
         for k in range(len(x)):
-            d = ((x[k] != y) & (x[k] != 0) & (y != 0)).sum(1)
-            keep = b["FILE"].to_numpy() >= a["FILE"].iloc[k]
-            parts.append(pd.DataFrame({"a": a["FILE"].iloc[k], "b": b["FILE"].to_numpy()[keep], "distance": d[keep]}))
+            keep = b["ord"].to_numpy() >= a["ord"].iloc[k]
+            d = ((x[k] != y[keep]) & there[keep] & (x[k] != 0)).sum(1)
+            parts.append(pd.DataFrame({"a": a["FILE"].iloc[k], "b": b["FILE"].to_numpy()[keep], "distance": d}))
         return pd.concat(parts) if parts else pd.DataFrame({"a": [], "b": [], "distance": []})
 
-    return left.unionByName(right).groupBy("i", "j").applyInPandas(count, "a string, b string, distance long")
+    kind = profiles.schema["FILE"].dataType.simpleString()
+    return left.unionByName(right).groupBy("i", "j").applyInPandas(count, f"a {kind}, b {kind}, distance long")
 
 
 def symmetrical(upper: DataFrame) -> DataFrame:
-    """Both halves of a triangle (a, b, distance)."""
-    return upper.unionByName(upper.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    """Both halves of a triangle (a, b, distance), which is read once."""
+    one = F.struct("a", "b", "distance")
+    other = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "distance")
+    return upper.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(one)).otherwise(F.array(one, other))))
 
 
 def join_wide(tables: list[DataFrame], common: bool = False) -> DataFrame:

@@ -88,18 +88,17 @@ _DIST = f"c AS (SELECT FILE, locus, {_MASK} AS cell FROM p WHERE {_PRESENT} = 1)
 
 @query(f"WITH {_LI}, {_DIST} SELECT * FROM dist")
 def pairwise_distance(spark, d):
-    return profiles.distances(D.lineitem_profiles(spark, d))
+    return profiles.blocked_distances(D.lineitem_profiles(spark, d))
 
 
 @query(f"WITH {_LI}, {_DIST} SELECT * FROM dist UNION ALL SELECT b AS a, a AS b, distance FROM dist WHERE a <> b")
 def symmetric_distance(spark, d):
-    return profiles.distances(D.lineitem_profiles(spark, d), symmetric=True)
+    return profiles.symmetrical(profiles.blocked_distances(D.lineitem_profiles(spark, d)))
 
 
-@query(f"WITH {_LI}, {_DIST} SELECT CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, distance FROM dist")
-def blocked_distance(spark, d):
-    p = D.lineitem_profiles(spark, d).withColumn("FILE", F.lpad(F.col("FILE").cast("string"), 12, "0"))
-    return profiles.blocked_distances(p, 64).select(F.col("a").cast("long").cast("string").alias("a"), F.col("b").cast("long").cast("string").alias("b"), "distance")
+@query(f"WITH {_EV}, {_DIST} SELECT * FROM dist")
+def joined_distance(spark, d):
+    return profiles.distances(D.event_profiles(spark, d))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS FILE, CAST(o_custkey AS VARCHAR) AS locus1, o_orderstatus AS locus2 FROM orders UNION ALL SELECT CAST(c_custkey AS VARCHAR), CAST(c_nationkey AS VARCHAR), c_mktsegment FROM customer")
