@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import importlib.util
 import os
 import tempfile
@@ -36,6 +38,22 @@ def map_arrow(df: DataFrame, function: Callable, schema: object) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a path of any file system that Spark reaches."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate tables when the driver's Python ends, if the session still can."""
+
+    def run() -> None:
+        with contextlib.suppress(Exception):
+            delete(spark, path)
+
+    atexit.register(run)
+
+
 class Stage:
     """Tables on shared storage, written between steps that are read more than once; they cut the lineage."""
 
@@ -46,6 +64,7 @@ class Stage:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             where = f"file://{tempfile.mkdtemp(prefix='locusflow-')}"
         self.spark, self.root = spark, f"{where.rstrip('/')}/{uuid.uuid4().hex}"
+        delete_at_exit(spark, self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
