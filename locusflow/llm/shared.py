@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusflow.runtime import delete, delete_at_exit
+
 #: The separators of words, as a Java character class and as the SQL text of a regex.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +39,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        delete_at_exit(spark, self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -45,10 +48,8 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more, to keep the disk's peak low."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            delete(self.spark, f"{self.root}/{name}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
