@@ -161,7 +161,7 @@ def extract_cgmlst(spark, a):
         core = profiles.core_loci(present, t)
         _wide(profiles.masked(p.join(core, "locus", "left_semi")), f"{a.output}/cgMLST{round(t * 100)}")
         core.select(F.col("locus").alias("value")).orderBy("value").coalesce(1).write.text(f"{a.output}/cgMLSTschema{round(t * 100)}")
-        sinks.write_table(profiles.core_curve(present, t, a.step).orderBy("rank"), f"{a.output}/curve{round(t * 100)}", single=True)
+    sinks.write_table(profiles.core_curves(present, tuple(a.threshold), a.step).orderBy("threshold", "rank"), f"{a.output}/curves", single=True)
 
 
 def remove_genes(spark, a):

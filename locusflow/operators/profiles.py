@@ -50,11 +50,17 @@ def core_loci(present: DataFrame, threshold: float) -> DataFrame:
     return per.select("locus", (F.col("k") / F.col("n")).alias("fraction")).where(F.col("fraction") >= threshold)
 
 
-def core_curve(present: DataFrame, threshold: float, step: int = 1) -> DataFrame:
-    """(rank, core): core loci among the first 1, 1 + step, ... samples, and among all.  Needs every pair listed."""
-    n = present.select("FILE").distinct().count()
-    chosen = running_fraction(present).where(((F.col("rank") - 1) % step == 0) | (F.col("rank") == n))
-    return chosen.groupBy("rank").agg(F.count_if(F.col("fraction") >= threshold).alias("core"))
+def core_curves(present: DataFrame, thresholds: tuple[float, ...], step: int = 1) -> DataFrame:
+    """(threshold, rank, core): core loci among the first 1, 1 + step, ... samples, and among all.  Needs every pair listed.
+
+    The running fractions are made once for all thresholds.
+    """
+    fractions = running_fraction(present)
+    last = present.select("FILE").distinct().agg(F.count("*").alias("last"))
+    chosen = fractions.join(F.broadcast(last)).where(((F.col("rank") - 1) % step == 0) | (F.col("rank") == F.col("last")))
+    counts = chosen.groupBy("rank").agg(*[F.count_if(F.col("fraction") >= t).alias(f"t{k}") for k, t in enumerate(thresholds)])
+    each = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{k}").alias("core")) for k, t in enumerate(thresholds)])
+    return counts.select("rank", F.inline(each)).select("threshold", "rank", "core")
 
 
 def complete(profiles: DataFrame, missing: str = "LNF") -> DataFrame:

@@ -76,11 +76,7 @@ def running_fraction(spark, d):
 )
 def core_size_by_threshold(spark, d):
     present = profiles.presence(profiles.complete(D.lineitem_profiles(spark, d)))
-    out = None
-    for t in (0.95, 0.99, 1.0):
-        one = profiles.core_curve(present, t, 5).select(F.lit(t).alias("threshold"), "rank", "core")
-        out = one if out is None else out.unionAll(one)
-    return out
+    return profiles.core_curves(present, (0.95, 0.99, 1.0), 5)
 
 
 _DIST = f"c AS (SELECT FILE, locus, {_MASK} AS cell FROM p WHERE {_PRESENT} = 1), s AS (SELECT DISTINCT FILE FROM p), dd AS (SELECT x.FILE AS a, y.FILE AS b, sum(CASE WHEN x.cell <> y.cell THEN 1 ELSE 0 END) AS n FROM c x JOIN c y ON x.locus = y.locus AND x.FILE <= y.FILE GROUP BY 1, 2), dist AS (SELECT i.FILE AS a, j.FILE AS b, CAST(coalesce(dd.n, 0) AS BIGINT) AS distance FROM s i JOIN s j ON i.FILE <= j.FILE LEFT JOIN dd ON dd.a = i.FILE AND dd.b = j.FILE)"
