@@ -3,7 +3,8 @@
 Numbers, units and names become typed placeholders, so that a question whose parameters were changed keeps its
 template.  Windows of five template tokens are hash-joined with those of the benchmark; an item is found in a
 document that holds at least 0.8 of its distinct windows, either with the item's own slot values or with values
-that replace them consistently (each value of the item by one value throughout the document).
+that replace them consistently: each value of the item by one value throughout the document, or, as the query and
+the pipeline do, also each slot of the item by one value within one occurrence.
 """
 
 from __future__ import annotations
@@ -57,11 +58,12 @@ def _typed(tokens: Column) -> Column:
     )
 
 
-def template_windows(rows: DataFrame, key: str) -> DataFrame:
-    """(key, window, hash, slots) per window of five tokens; fewer tokens make one window of all, none make no row.
+def template_windows(rows: DataFrame, key: str, placed: bool = False) -> DataFrame:
+    """(key, window, hash, slots, start) per window of five tokens; fewer tokens make one window of all, none make no row.
 
     A window with names has two forms, as capitals are lost in some copies: names as slots, and names as words.  Both
-    have the same ``window``, the hash of the first form.  ``slots`` are the marked values of the form in their order.
+    have the same ``window``, the hash of the first form.  ``slots`` are the marked values of the form in their order,
+    ``start`` is the place of the window's first token, from 1; ``placed`` adds ``places``, those of the slots.
     """
     tokens = rows.select(key, template_tokens(F.col("text")).alias("plain"))
     typed = tokens.select(key, _typed(F.col("plain")).alias("tokens"))
@@ -78,18 +80,26 @@ def template_windows(rows: DataFrame, key: str) -> DataFrame:
     words = F.when(F.col("named"), F.transform("tokens", lambda w: F.when(named(w), F.xxhash64(F.substring(w, 2, 1 << 20))).when(marked(w), F.ascii(w).cast("long")).otherwise(F.xxhash64(w))))
     typed = typed.select("*", words.alias("worded"))
     part = lambda i: F.slice("tokens", i, WINDOW)
-    form = lambda i, of, slots, window: F.struct(F.xxhash64(F.slice(of, i, WINDOW)).alias("h"), slots.alias("slots"), window.alias("window"))
+    at = lambda i, slot: F.transform(F.filter(F.transform(part(i), lambda w, j: F.struct(w.alias("w"), (i + j).alias("j"))), lambda x: slot(x.w)), lambda x: x.j)
+
+    def form(i: Column, of: str, slot, window: Column) -> Column:
+        slots = [none.alias("slots")] if slot is None else [F.filter(part(i), slot).alias("slots")]
+        if placed:
+            slots.append((F.lit(None).cast("array<int>") if slot is None else at(i, slot)).alias("places"))
+        return F.struct(F.xxhash64(F.slice(of, i, WINDOW)).alias("h"), *slots, window.alias("window"), i.alias("start"))
+
     same, none = F.lit(None).cast("long"), F.lit(None).cast("array<string>")
-    first = F.transform("starts", lambda i: form(i, "coded", F.filter(part(i), marked), same))
+    first = F.transform("starts", lambda i: form(i, "coded", marked, same))
     second = F.transform(
         F.filter("starts", lambda i: F.exists(part(i), named)),
-        lambda i: form(i, "worded", F.filter(part(i), lambda w: marked(w) & ~named(w)), F.xxhash64(F.slice("coded", i, WINDOW))),
+        lambda i: form(i, "worded", lambda w: marked(w) & ~named(w), F.xxhash64(F.slice("coded", i, WINDOW))),
     )
-    plain = F.transform("starts", lambda i: form(i, "coded", none, same))
+    plain = F.transform("starts", lambda i: form(i, "coded", None, same))
     each = F.when(F.size("tokens") == 0, F.array()).when(F.col("named"), F.concat(first, second)).when(F.col("slotted"), first).otherwise(plain)
+    places = [F.coalesce(F.col("x.places"), F.array().cast("array<int>")).alias("places")] if placed else []
     return (
         typed.select(key, F.explode(each).alias("x"))
-        .select(key, F.coalesce("x.window", "x.h").alias("window"), F.col("x.h").alias("h"), F.coalesce(F.col("x.slots"), F.array().cast("array<string>")).alias("slots"))
+        .select(key, F.coalesce("x.window", "x.h").alias("window"), F.col("x.h").alias("h"), F.coalesce(F.col("x.slots"), F.array().cast("array<string>")).alias("slots"), F.col("x.start").alias("start"), *places)
     )
 
 
@@ -98,9 +108,42 @@ def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+def _occurring(hits: DataFrame, sizes: DataFrame, containment: float) -> DataFrame:
+    """(doc_id, item_id, occurs): items of which one occurrence alone holds enough windows.
+
+    A hit's shift is the window's place in the document less that in the item.  An occurrence is the hits of one shift,
+    or those of shifts within one of two rows of ranges as long as the item, half a length apart: two whole copies are
+    never in one range, and a copy with tokens put in or left out is.  In a range, each window of the item is taken at
+    its commonest shift.  No place of a slot in the item may have two values in an occurrence.
+    """
+    need = F.lit(containment) * F.col("n_windows")
+    half = F.floor(F.col("width") / 2)
+    spans = F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("shift").cast("long").alias("no")),
+        F.struct(F.lit(1).alias("kind"), F.floor(F.col("shift") / F.col("width")).alias("no")),
+        F.struct(F.lit(2).alias("kind"), F.floor((F.col("shift") + half) / F.col("width")).alias("no")),
+    )
+    # Ids in structs, as null ids are equal there.
+    hits = hits.select(F.struct("doc_id", "item_id").alias("pair"), F.struct("item_id").alias("item"), "shift", "at", "window", "places")
+    sizes = sizes.select(F.struct("item_id").alias("item"), "n_windows", "width")
+    shifts = hits.groupBy("pair", "item", "shift").agg(F.countDistinct("at").alias("support")).join(sizes, "item")
+    each = shifts.select("pair", "shift", "support", "n_windows", F.explode(spans).alias("span"))
+    able = each.groupBy("pair", "span").agg(F.sum("support").alias("most"), F.first("n_windows").alias("n_windows")).where(F.col("most") >= need)
+    near = hits.join(each.select("pair", "shift", "support", "span"), ["pair", "shift"]).join(able, ["pair", "span"])
+    best = F.max(F.struct("support", (-F.col("shift")).alias("least"), F.size("places").alias("n"), "places"))["places"]
+    taken = near.groupBy("pair", "span", "n_windows", "at").agg(F.first("window").alias("window"), best.alias("places"))
+    enough = taken.groupBy("pair", "span", "n_windows").agg(F.countDistinct("window").alias("n")).where(F.col("n") >= need)
+    values = taken.select("pair", "span", F.explode("places").alias("x")).groupBy("pair", "span", "x.place").agg(F.countDistinct("x.value").alias("n"))
+    torn = values.where("n > 1").select("pair", "span").distinct()
+    return enough.join(torn, ["pair", "span"], "left_anti").select("pair.doc_id", "pair.item_id").distinct().withColumn("occurs", F.lit(True))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, occurrences: bool = False) -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, n_verbatim, reparameterised): items found in documents.
 
+    With ``occurrences`` an item is also found where one occurrence of it holds enough windows with one value for each
+    of the item's slots, whatever the rest of the document holds; without, values are judged over the whole document.
+
     n_windows are the item's distinct windows, n_found those that the document holds, n_verbatim those that it holds
     with the item's values.  Null texts hold nothing; null ids group together as one id; repeated rows count once.
     Items of fewer than five tokens are found only in documents of the same few tokens.  An empty table on either
@@ -108,36 +151,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    windows = scratch.write(template_windows(items, "item_id").distinct(), "windows")
-    sizes = windows.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"))
+    windows = scratch.write(template_windows(items, "item_id", True).distinct(), "windows")
+    sizes = windows.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"), (F.max("start") + (WINDOW - 1)).alias("width"))
     found = template_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").drop("window")
-    theirs = windows.select("h", "item_id", "window", F.col("slots").alias("own"))
+    theirs = windows.select("h", "item_id", "window", F.col("slots").alias("own"), F.col("start").alias("at"), F.col("places").alias("place"))
     met = found.join(_small(theirs), "h").where(F.size("slots") == F.size("own"))
     pairs = F.arrays_zip(F.col("own").alias("a"), F.col("slots").alias("b"))
-    met = scratch.write(met.select("doc_id", "item_id", "window", (F.col("own") == F.col("slots")).alias("same"), pairs.alias("pairs")).distinct(), "met")
+    places = F.arrays_zip(F.col("place").alias("place"), F.col("slots").alias("value"))
+    met = met.select("doc_id", "item_id", "window", "at", (F.col("start") - F.col("at")).alias("shift"), (F.col("own") == F.col("slots")).alias("same"), pairs.alias("pairs"), places.alias("places"))
+    met = scratch.write(met, "met")
     counts = met.groupBy("doc_id", "item_id").agg(F.countDistinct("window").alias("n_found"), F.countDistinct(F.when(F.col("same"), F.col("window"))).alias("n_verbatim"))
     swapped = met.where(F.size("pairs") > 0).select("doc_id", "item_id", F.explode("pairs").alias("p")).distinct()
     broken = (
         swapped.groupBy("doc_id", "item_id", F.col("p.a").alias("a")).agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "item_id").distinct().withColumn("broken", F.lit(True))
     )
+    occurring = _occurring(met, sizes, containment) if occurrences else counts.where("false").select("doc_id", "item_id", F.lit(True).alias("occurs"))
     verdict = (
         counts.join(sizes, counts.item_id.eqNullSafe(sizes.item_id)).drop(sizes.item_id)
         .alias("c").join(broken.alias("b"), F.expr("c.doc_id <=> b.doc_id and c.item_id <=> b.item_id"), "left")
-        .select("c.*", F.coalesce("b.broken", F.lit(False)).alias("broken"))
+        .join(occurring.alias("o"), F.expr("c.doc_id <=> o.doc_id and c.item_id <=> o.item_id"), "left")
+        .select("c.*", F.coalesce("b.broken", F.lit(False)).alias("broken"), F.coalesce("o.occurs", F.lit(False)).alias("occurs"))
     )
     enough = lambda n: F.col(n) >= F.lit(containment) * F.col("n_windows")
     return (
-        verdict.where(enough("n_verbatim") | (enough("n_found") & ~F.col("broken")))
+        verdict.where(enough("n_verbatim") | (enough("n_found") & ~F.col("broken")) | F.col("occurs"))
         .select("doc_id", "item_id", "n_windows", "n_found", "n_verbatim", (~enough("n_verbatim")).alias("reparameterised"))
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, occurrences: bool = False) -> DataFrame:
     """The documents in which no item was found, all columns as they were; rows without an id stay."""
     scratch = Scratch(docs.sparkSession, "clean")
-    bad = scratch.write(contaminated(docs, benchmark).where("doc_id is not null").select("doc_id").distinct(), "bad")
+    bad = scratch.write(contaminated(docs, benchmark, occurrences=occurrences).where("doc_id is not null").select("doc_id").distinct(), "bad")
     return docs.join(_small(bad), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), occurrences=True)

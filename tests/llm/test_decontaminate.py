@@ -89,3 +89,31 @@ def test_clean(spark, docs, none):
     kept = D.clean(d, b)
     assert kept.columns == d.columns and sorted(r[0] or 0 for r in kept.collect()) == [0, 3, 4, 8, 9, 10, 12, 13]
     assert D.clean(none, b).count() == 0 and D.clean(d, b.where("false")).count() == d.count()
+
+
+def test_each_occurrence_is_judged(spark):
+    """Worksheets, a copy beside a stray window of its template, an item with one value in two slots, a copy with words put in."""
+    once = swap(ITEM, {"9": "12", "3": "7"})
+    longer = once.replace("near the bridge", "near the very old stone bridge")
+    same = "Tom bought 3 red apples at the market and then his sister gave him 3 green pears to take home that evening."
+    docs = [
+        DOCS[2],
+        (20, once + " Later the slow train leaves the old station at 30 km per hour again."),
+        (21, "So it goes. " + same.replace("3 red", "4 red").replace("3 green", "8 green")),
+        (22, longer + " filler. " + swap(longer, {"12": "15", "7": "8"})),
+        (23, " ".join(once.split()[:15]) + " filler. " * 60 + " ".join(swap(ITEM, {"9": "15", "3": "8"}).split()[15:])),
+        (24, "5 6 7 8 9 " * 20),
+    ]
+    d, b = frame(spark, docs, "doc_id"), frame(spark, [(100, ITEM), (101, same)], "item_id")
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(d, b, occurrences=True).collect()}
+    assert got == {(3, 100), (20, 100), (21, 101), (22, 100)} | {(r["doc_id"], r["item_id"]) for r in D.contaminated(d, b).collect()}
+    assert not {r["doc_id"] for r in D.contaminated(d, b).collect()} & {3, 20, 21, 22}
+    assert {r[0] for r in D.clean(d, b, occurrences=True).collect()} <= {23, 24}
+
+
+def test_occurrences_lose_nothing(spark, none):
+    d, b = frame(spark, DOCS, "doc_id"), frame(spark, ITEMS + [(None, ITEM)], "item_id")
+    got = {(r[0], r[1]): tuple(r[2:]) for r in D.contaminated(d, b, occurrences=True).collect()}
+    want = brute(DOCS, ITEMS)
+    assert want.items() <= got.items() and {x for x in got if x[1] is not None} - set(want) == {(3, 100)} and (3, None) in got
+    assert D.contaminated(none, b, occurrences=True).count() == 0
