@@ -52,15 +52,18 @@ def expand_matches(hits: DataFrame, proteins: DataFrame, distinct: DataFrame, ti
     return out.join(first, ["genome_ord", "dna_hash"], "left")
 
 
-def shared_minimizers(queries: DataFrame, references: DataFrame, threshold: float = 0.2, top: int = 30, k: int = 5, window: int = 5) -> DataFrame:
+def shared_minimizers(queries: DataFrame, references: DataFrame, threshold: float = 0.2, top: int | None = 30, k: int = 5, window: int = 5) -> DataFrame:
     """(query, reference, similarity, rank): share of a query's distinct minimizers that a reference has, best first.
 
     Both sides are (id, seq).  A sequence without minimizers has no partners.  Ties rank by reference.
+    ``top`` None keeps every partner, without a rank.
     """
     q = queries.select(F.col("id").alias("query"), minimizers("seq", k, window).alias("m"))
     q = q.select("query", F.size("m").alias("n"), F.explode("m").alias("word"))
     r = references.select(F.col("id").alias("reference"), F.explode(minimizers("seq", k, window)).alias("word"))
     sims = q.join(r, "word").groupBy("query", "reference").agg((F.count("*") / F.first("n")).alias("similarity")).where(F.col("similarity") >= threshold)
+    if top is None:
+        return sims
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "reference"))
     return sims.withColumn("rank", rank).where(F.col("rank") <= top)
 

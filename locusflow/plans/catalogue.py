@@ -559,8 +559,10 @@ def core_profiles(spark, d):
 
 # Beyond SQL: folds and alignment, held against plain versions in the tests.
 def _item_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every two items that share a tenth of the minimizers of the first, and every item that has text with itself."""
     items = D.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.upper("text").alias("seq"))
-    near = matching.shared_minimizers(items, items, 0.1, 5)
+    own = items.where("seq <> ''").select(F.col("id").alias("query"), F.col("id").alias("reference"))
+    near = matching.shared_minimizers(items, items, 0.1, None).select("query", "reference").unionAll(own).distinct()
     return near.join(items.select(F.col("id").alias("query"), F.col("seq").alias("query_seq")), "query").join(items.select(F.col("id").alias("reference"), F.col("seq").alias("target_seq")), "reference")
 
 
@@ -572,7 +574,14 @@ def smith_waterman(spark, d):
 
 @query()
 def bsr_eliminate(spark, d):
-    pairs = _item_pairs(spark, d).select(F.lit("all").alias("cluster"), "query", "query_seq", F.col("reference").alias("target"), "target_seq")
+    from locusflow.llm.graph import components
+    from locusflow.llm.shared import Scratch
+
+    scratch = Scratch(spark, "bsr_eliminate")
+    pairs = scratch.write(_item_pairs(spark, d).select("query", "query_seq", F.col("reference").alias("target"), "target_seq"), "pairs")
+    links = components(pairs.select(F.col("query").cast("long").alias("u"), F.col("target").cast("long").alias("v")), scratch)
+    roots = links.select(F.col("node").cast("string").alias("query"), F.col("root").cast("string").alias("root"))
+    pairs = pairs.join(roots, "query", "left").select(F.coalesce("root", "query").alias("cluster"), "query", "query_seq", "target", "target_seq").repartition("query", "target")
     lengths = D.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("seqid"), F.length("text").alias("length"))
     return cluster.eliminate_by_bsr(matching.align_pairs(pairs), lengths, 0.6)
 

@@ -98,3 +98,19 @@ def test_inexact_fold_by_hand(spark, duck):
             s["cell"] = []
     got = {(r["locus"], r["genome_ord"], r["ord"]): (r["class"], round(r["bsr"], 6)) for r in catalogue.queries()["inexact_fold"](spark, SF).collect()}
     assert got == want
+
+
+def test_item_pairs_have_no_rank_cut(spark, tmp_path):
+    """Eight near copies all meet each other, short items meet themselves, and a component is eliminated as a whole."""
+    copies = [(i, "the quick brown fox jumps over the lazy dog near the old river bank" + " and on" * (i % 3)) for i in range(8)]
+    apart = [(20, "zwölf boxkämpfer jagen viktor quer über den großen sylter deich"), (21, "abc"), (22, ""), (23, None)]
+    spark.createDataFrame(copies + apart, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["query"], r["target"]): r["score"] for r in catalogue.queries()["smith_waterman"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(str(a), str(b)) for a in range(8) for b in range(8)} | {("20", "20"), ("21", "21")}
+    length, out = {str(i): len(t) for i, t in copies}, set()
+    for (q, t), score in sorted(got.items()):
+        if q != t and not {q, t} & out and score / got[q, q] >= 0.6:
+            out.add(q if length[t] > length[q] else t)
+    assert len(out) == 7
+    rows = catalogue.queries()["bsr_eliminate"](spark, str(tmp_path)).collect()
+    assert sorted((r["cluster"], r["seqid"]) for r in rows) == sorted(("0", x) for x in out)
