@@ -3,19 +3,23 @@
 Numbers, units and names become typed placeholders, so that a question whose parameters were changed keeps its
 template.  Windows of five template tokens are hash-joined with those of the benchmark; an item is found in a
 document that holds at least 0.8 of its distinct windows, either with the item's own slot values or with values
-that replace them consistently: each value of the item by one value throughout the document, or, as the query and
-the pipeline do, also each slot of the item by one value within one occurrence.
+that replace them consistently: each slot of the item by one value within one occurrence, or each value of the item by
+one value throughout the document.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm.shared import Scratch, table
+from locusflow.llm.shared import Scratch, row_key, table
 
 WINDOW = 5
 CONTAINMENT = 0.8
+#: Items of fewer tokens than a window are looked for inside longer documents from so many tokens on, as they are.
+SHORTEST = 3
 #: Rows up to which a table of ids or of benchmark windows is sent to every executor; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -28,79 +32,106 @@ UNITS = (
     "dollar", "dollars", "euro", "euros", "cent", "cents", "usd", "eur", "percent", "degrees", "meter", "meters", "metre", "metres",
     "gram", "grams", "kilogram", "kilograms", "kilometer", "kilometers", "kilometre", "kilometres", "mph", "kph",
 )
-NUMBER_WORDS = ("two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "hundred", "thousand", "million")
+NUMBER_WORDS = (
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen",
+    "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "dozen", "hundred", "thousand",
+    "million", "billion",
+)
 
-_NAME, _NUMBER, _UNIT = "\u0001", "\u0002", "\u0003"
+_NAME, _NUMBER = "\u0001", "\u0002"
+#: Codes of tokens: even hashes of words, these for slots; a name is its word's hash plus one.
+_NUMBER_CODE, _UNIT_CODE, _NAME_CODE = 4, 6, 1
 
 
 def template_tokens(text: Column) -> Column:
-    """Lower-case tokens without punctuation; the first character of a slot is its type's mark, its value follows.
+    """Lower-case tokens without punctuation; a mark stands before names, which are capitalised words, and numbers.
 
-    A name is a capitalised word that neither starts the text nor a line nor follows the end of a sentence.  Tokens
-    of punctuation alone vanish.  Null gives no tokens.
+    Tokens of punctuation alone vanish.  Null gives no tokens.
     """
     clean = F.coalesce(text, F.lit(""))
-    clean = F.when(clean.rlike(f"[{_NAME}-{_UNIT}]"), F.regexp_replace(clean, f"[{_NAME}-{_UNIT}]", " ")).otherwise(clean)
-    named = F.regexp_replace(clean, r"(?<=[^\s.!?:]) +(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", f" {_NAME}$1")
-    spaced = F.regexp_replace(named, r"([0-9])(\p{L})", "$1 $2")
-    numbered = F.regexp_replace(spaced, r"[0-9]+(?:[.,:][0-9]+)*", f"{_NUMBER}$0")
-    kept = F.regexp_replace(numbered, rf"[^\p{{L}}\p{{N}}.,:{_NAME}{_NUMBER}]+|[.,:](?![0-9])", " ")
-    digits = F.when(text.rlike("[0-9]"), kept).otherwise(F.regexp_replace(named, rf"[^\p{{L}}\p{{N}}{_NAME}]+", " "))
-    return F.filter(F.split(F.lower(digits), " "), lambda w: w != F.lit(""))
-
-
-def _typed(tokens: Column) -> Column:
-    """Units after a number and number words get their marks."""
-    after_number = lambda i: F.coalesce(F.get(tokens, i - 1).startswith(_NUMBER), F.lit(False))
+    clean = F.when(clean.contains(_NAME) | clean.contains(_NUMBER), F.regexp_replace(clean, f"[{_NAME}{_NUMBER}]", " ")).otherwise(clean)
+    named = F.regexp_replace(clean, r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{Ll}+(?![\p{L}\p{N}])", f"{_NAME}$0")
+    numbered = F.regexp_replace(F.regexp_replace(named, r"([0-9])(\p{L})", "$1 $2"), r"[0-9]+(?:[.,:][0-9]+)*", f"{_NUMBER}$0")
+    digits = F.split(F.lower(numbered), rf"[^\p{{L}}\p{{N}}.,:{_NAME}{_NUMBER}]+|[.,:](?![0-9])")
+    return F.array_remove(F.when(text.rlike("[0-9]"), digits).otherwise(F.split(F.lower(named), rf"[^\p{{L}}\p{{N}}{_NAME}]+")), "")
+
+
+def _codes(tokens: Column) -> Column:
+    """A number for each token: see the codes above.  A unit is one only after a number."""
+    word = lambda w: F.xxhash64(w).bitwiseAND(F.lit(~1))
+    number = lambda w: w.startswith(_NUMBER) | w.isin(*NUMBER_WORDS)
+    after_number = lambda i: F.coalesce(number(F.get(tokens, i - 1)), F.lit(False))
+    long = lambda n: F.lit(n).cast("long")
     return F.transform(
         tokens,
-        lambda w, i: F.when(w.isin(*NUMBER_WORDS), F.concat(F.lit(_NUMBER), w)).when(w.isin(*UNITS) & after_number(i), F.concat(F.lit(_UNIT), w)).otherwise(w),
+        lambda w, i: F.when(w.startswith(_NAME), word(F.substring(w, 2, 1 << 20)) + 1)
+        .when(number(w), long(_NUMBER_CODE))
+        .when(w.isin(*UNITS) & after_number(i), long(_UNIT_CODE))
+        .otherwise(word(w)),
     )
 
 
-def template_windows(rows: DataFrame, key: str, placed: bool = False) -> DataFrame:
-    """(key, window, hash, slots, start) per window of five tokens; fewer tokens make one window of all, none make no row.
+def _value(token: Column) -> Column:
+    return F.when(token.startswith(_NAME) | token.startswith(_NUMBER), F.substring(token, 2, 1 << 20)).otherwise(token)
+
+
+def _named(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(1)) == 1
+
+
+def _hashes(length: int, start: Column) -> tuple[Column, Column]:
+    """Hashes of the window of so many codes from ``start``: names as slots, and names as words."""
+    codes = [F.get("code", start + (k - 1)) for k in range(length)]
+    return F.xxhash64(*[F.when(_named(c), F.lit(_NAME_CODE).cast("long")).otherwise(c) for c in codes]), F.xxhash64(*[c.bitwiseAND(F.lit(~1)) for c in codes])
+
+
+def _coded(rows: DataFrame, key: str) -> DataFrame:
+    tokens = rows.select(key, template_tokens(F.col("text")).alias("tokens"))
+    return tokens.select(key, "tokens", _codes(F.col("tokens")).alias("code"))
+
+
+def item_windows(items: DataFrame, key: str = "item_id") -> DataFrame:
+    """(key, window, length, at, h, place, own, swaps) of each window of each form.
 
     A window with names has two forms, as capitals are lost in some copies: names as slots, and names as words.  Both
-    have the same ``window``, the hash of the first form.  ``slots`` are the marked values of the form in their order,
-    ``start`` is the place of the window's first token, from 1; ``placed`` adds ``places``, those of the slots.
+    have the same ``window``, the hash of the first form.  ``at`` is the place of the window's first token, from 1, ``place``
+    and ``own`` are the places and values of the form's slots.  ``swaps`` says that at least half of the item's tokens are no
+    slots of the form, so that other values make the item re-parameterised and not another text.  Fewer tokens than five
+    make one window of all, whose values stay; none make no row.
     """
-    tokens = rows.select(key, template_tokens(F.col("text")).alias("plain"))
-    typed = tokens.select(key, _typed(F.col("plain")).alias("tokens"))
-    marked = lambda w: F.ascii(w) <= 3
-    named = lambda w: F.ascii(w) == 1
-    typed = typed.select(
-        key,
-        "tokens",
-        F.transform("tokens", lambda w: F.when(marked(w), F.ascii(w).cast("long")).otherwise(F.xxhash64(w))).alias("coded"),
-        F.exists("tokens", marked).alias("slotted"),
-        F.exists("tokens", named).alias("named"),
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tokens") - (WINDOW - 1))).alias("starts"),
-    )
-    words = F.when(F.col("named"), F.transform("tokens", lambda w: F.when(named(w), F.xxhash64(F.substring(w, 2, 1 << 20))).when(marked(w), F.ascii(w).cast("long")).otherwise(F.xxhash64(w))))
-    typed = typed.select("*", words.alias("worded"))
-    part = lambda i: F.slice("tokens", i, WINDOW)
-    at = lambda i, slot: F.transform(F.filter(F.transform(part(i), lambda w, j: F.struct(w.alias("w"), (i + j).alias("j"))), lambda x: slot(x.w)), lambda x: x.j)
-
-    def form(i: Column, of: str, slot, window: Column) -> Column:
-        slots = [none.alias("slots")] if slot is None else [F.filter(part(i), slot).alias("slots")]
-        if placed:
-            slots.append((F.lit(None).cast("array<int>") if slot is None else at(i, slot)).alias("places"))
-        return F.struct(F.xxhash64(F.slice(of, i, WINDOW)).alias("h"), *slots, window.alias("window"), i.alias("start"))
-
-    same, none = F.lit(None).cast("long"), F.lit(None).cast("array<string>")
-    first = F.transform("starts", lambda i: form(i, "coded", marked, same))
-    second = F.transform(
-        F.filter("starts", lambda i: F.exists(part(i), named)),
-        lambda i: form(i, "worded", lambda w: marked(w) & ~named(w), F.xxhash64(F.slice("coded", i, WINDOW))),
-    )
-    plain = F.transform("starts", lambda i: form(i, "coded", None, same))
-    each = F.when(F.size("tokens") == 0, F.array()).when(F.col("named"), F.concat(first, second)).when(F.col("slotted"), first).otherwise(plain)
-    places = [F.coalesce(F.col("x.places"), F.array().cast("array<int>")).alias("places")] if placed else []
-    return (
-        typed.select(key, F.explode(each).alias("x"))
-        .select(key, F.coalesce("x.window", "x.h").alias("window"), F.col("x.h").alias("h"), F.coalesce(F.col("x.slots"), F.array().cast("array<string>")).alias("slots"), F.col("x.start").alias("start"), *places)
-    )
+    coded = _coded(items, key)
+    length = F.least(F.lit(WINDOW), F.size("tokens"))
+    each = coded.select("*", length.alias("length"), F.explode(F.when(length > 0, F.sequence(F.lit(1), F.size("tokens") - length + 1)).otherwise(F.array().cast("array<int>"))).alias("at"))
+    hashes = lambda k: reduce(lambda rest, n: F.when(F.col("length") == n, _hashes(n, F.col("at"))[k]).otherwise(rest), range(1, WINDOW), _hashes(WINDOW, F.col("at"))[k])
+    as_slot = lambda c: _named(c) | c.isin(_NUMBER_CODE, _UNIT_CODE)
+    as_word = lambda c: c.isin(_NUMBER_CODE, _UNIT_CODE)
+
+    def form(h: str, slot) -> Column:
+        place = F.filter(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1), lambda j: slot(F.get("code", j - 1)))
+        swaps = (F.col("length") == WINDOW) & (2 * F.size(F.filter("code", slot)) <= F.size("code"))
+        return F.struct(F.col(h).alias("h"), place.alias("place"), F.transform(place, lambda j: _value(F.get("tokens", j - 1))).alias("own"), swaps.alias("swaps"))
+
+    each = each.select("*", hashes(0).alias("window"), hashes(1).alias("worded"))
+    forms = F.when(F.col("window") == F.col("worded"), F.array(form("window", as_slot))).otherwise(F.array(form("window", as_slot), form("worded", as_word)))
+    return each.select(key, "window", "length", "at", F.explode(forms).alias("x")).select(key, "window", "length", "at", "x.*")
+
+
+def document_windows(docs: DataFrame, lengths: list[int], key: str = "doc_id") -> DataFrame:
+    """(key, start, length, h, near) of each window of each form, for windows of the given lengths; ``near`` are its tokens.
+
+    Windows shorter than five tokens are made in documents of that many tokens, and in longer ones from SHORTEST on.
+    Hashes come from places in the document's array, so that no window is built as an array to be hashed.
+    """
+    out = None
+    for n in lengths:
+        able = F.size("tokens") >= n if n >= SHORTEST else F.size("tokens") == n
+        starts = F.when(able, F.sequence(F.lit(1), F.size("tokens") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        slots, words = _hashes(n, F.col("start"))
+        each = _coded(docs, key).select("*", F.explode(starts).alias("start")).select(key, "start", F.slice("tokens", F.col("start"), n).alias("near"), slots.alias("a"), words.alias("b"))
+        both = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
+        each = each.select(key, "start", F.lit(n).alias("length"), F.explode(both).alias("h"), "near")
+        out = each if out is None else out.unionAll(each)
+    return out
 
 
 def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -138,7 +169,7 @@ def _occurring(hits: DataFrame, sizes: DataFrame, containment: float) -> DataFra
     return enough.join(torn, ["pair", "span"], "left_anti").select("pair.doc_id", "pair.item_id").distinct().withColumn("occurs", F.lit(True))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, occurrences: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, occurrences: bool = True) -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, n_verbatim, reparameterised): items found in documents.
 
     With ``occurrences`` an item is also found where one occurrence of it holds enough windows with one value for each
@@ -146,20 +177,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
 
     n_windows are the item's distinct windows, n_found those that the document holds, n_verbatim those that it holds
     with the item's values.  Null texts hold nothing; null ids group together as one id; repeated rows count once.
-    Items of fewer than five tokens are found only in documents of the same few tokens.  An empty table on either
-    side gives no rows.  Only doc_id, item_id and the texts are read.
+    Items of three or four tokens are found as they are anywhere, shorter ones only as the whole of a document.  An item
+    of which over half the tokens are slots is found as it is only.  An empty table on either side gives no rows.
+    Only doc_id, item_id and the texts are read.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    windows = scratch.write(template_windows(items, "item_id", True).distinct(), "windows")
-    sizes = windows.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"), (F.max("start") + (WINDOW - 1)).alias("width"))
-    found = template_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id").drop("window")
-    theirs = windows.select("h", "item_id", "window", F.col("slots").alias("own"), F.col("start").alias("at"), F.col("places").alias("place"))
-    met = found.join(_small(theirs), "h").where(F.size("slots") == F.size("own"))
+    windows = scratch.write(item_windows(items).distinct(), "windows")
+    sizes = windows.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"), F.max(F.col("at") + F.col("length") - 1).alias("width"))
+    lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())
+    found = document_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lengths or [WINDOW])
+    met = found.join(_small(windows), ["h", "length"])
+    met = scratch.write(met.select("doc_id", "item_id", "window", "at", (F.col("start") - F.col("at")).alias("shift"), "swaps", "own", "place", "near"), "met")
+    slots = F.transform("place", lambda j: _value(F.get("near", j - F.col("at"))))
+    met = met.withColumn("slots", slots).withColumn("same", F.col("own") == F.col("slots")).where("swaps or same")
     pairs = F.arrays_zip(F.col("own").alias("a"), F.col("slots").alias("b"))
-    places = F.arrays_zip(F.col("place").alias("place"), F.col("slots").alias("value"))
-    met = met.select("doc_id", "item_id", "window", "at", (F.col("start") - F.col("at")).alias("shift"), (F.col("own") == F.col("slots")).alias("same"), pairs.alias("pairs"), places.alias("places"))
-    met = scratch.write(met, "met")
+    places = F.arrays_zip("place", F.col("slots").alias("value"))
+    met = met.select("doc_id", "item_id", "window", "at", "shift", "same", pairs.alias("pairs"), places.alias("places"))
     counts = met.groupBy("doc_id", "item_id").agg(F.countDistinct("window").alias("n_found"), F.countDistinct(F.when(F.col("same"), F.col("window"))).alias("n_verbatim"))
     swapped = met.where(F.size("pairs") > 0).select("doc_id", "item_id", F.explode("pairs").alias("p")).distinct()
     broken = (
@@ -179,12 +213,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, occurrences: bool = False) -> DataFrame:
-    """The documents in which no item was found, all columns as they were; rows without an id stay."""
+def clean(docs: DataFrame, benchmark: DataFrame, occurrences: bool = True) -> DataFrame:
+    """The documents in which no item was found, all columns as they were; rows without an id are judged by their text."""
     scratch = Scratch(docs.sparkSession, "clean")
-    bad = scratch.write(contaminated(docs, benchmark, occurrences=occurrences).where("doc_id is not null").select("doc_id").distinct(), "bad")
-    return docs.join(_small(bad), "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("_key", row_key())
+    found = contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, occurrences=occurrences)
+    bad = scratch.write(found.select(F.col("doc_id").alias("_key")).distinct(), "bad")
+    return keyed.join(_small(bad), "_key", "left_anti").select(*docs.columns)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), occurrences=True)
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

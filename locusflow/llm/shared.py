@@ -66,6 +66,11 @@ def residue(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def row_key() -> Column:
+    """doc_id, or for a row without one a hash of its text, above 2**62: rows without an id and with equal texts share it."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62)))
+
+
 def utf8_cells(column: pa.Array) -> list[bytes | None]:
     """The cells of a string column as UTF-8, without decoding."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.llm.graph import components
-from locusflow.llm.shared import Scratch, batches_with, utf8_cells, word_pieces
+from locusflow.llm.shared import Scratch, batches_with, row_key, utf8_cells, word_pieces
 from locusflow.runtime import map_arrow
 
 SHINGLE = 4
@@ -225,17 +225,18 @@ BROADCAST_ROWS = 1_000_000
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates: that of its smallest doc_id, all columns as they were.
 
-    Of rows that share the id that stands for a group one stays.  Rows without a doc_id all stay, as nothing tells them
-    apart.
+    Of rows that share the id that stands for a group one stays.  A row without a doc_id has its text's hash for one,
+    above all usual ids: it stays if its group has no row with an id, and then one of them does.
     """
-    found = near_duplicates(docs)
+    keyed = docs.withColumn("_key", row_key())
+    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
     ids = Scratch(docs.sparkSession, "keep").write(
-        found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stands")), "ids"
+        found.groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stands")), "ids"
     )
-    away, many = ids.where("stands = 0 or n > 1").select("doc_id"), ids.where("stands = 1 and n > 1").select("doc_id")
-    out = docs.join(F.broadcast(away) if away.count() <= BROADCAST_ROWS else away, "doc_id", "left_anti").select(*docs.columns)
+    away, many = ids.where("stands = 0 or n > 1").select("_key"), ids.where("stands = 1 and n > 1").select("_key")
+    out = keyed.join(F.broadcast(away) if away.count() <= BROADCAST_ROWS else away, "_key", "left_anti").select(*docs.columns)
     if many.limit(1).count():
-        out = out.unionAll(docs.join(many, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+        out = out.unionAll(keyed.join(many, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns))
     return out
 
 

@@ -13,49 +13,54 @@ def swap(text, table):
 
 def brute_tokens(text):
     """Tokens as (type or '', value), read word by word."""
-    out = []
-    text = re.sub(r"(?<=[^\s.!?:]) +([A-ZÄÖÜ][a-zäöüß]+)(?!\w)", lambda m: " \x01" + m.group(1), text)
-    for w in re.findall(r"\x01?[^\W\d_]+|\d+(?:[.,:]\d+)*", text):
-        if w[0] == "\x01":
-            out.append(("name", w[1:].lower()))
-        elif w[0].isdigit() or w.lower() in D.NUMBER_WORDS:
+    out, number = [], lambda w: w[0].isdigit() or w.lower() in D.NUMBER_WORDS
+    words = re.findall(r"[^\W\d_]+|\d+(?:[.,:]\d+)*", text)
+    for i, w in enumerate(words):
+        if re.fullmatch("[A-ZÄÖÜ][a-zäöüß]+", w):
+            out.append(("name", w.lower()))
+        elif number(w):
             out.append(("number", w.lower()))
-        elif w.lower() in D.UNITS and out and out[-1][0] == "number" and out[-1][1][0].isdigit():
+        elif w.lower() in D.UNITS and i and number(words[i - 1]) and not re.fullmatch("[A-Z][a-z]+", words[i - 1]):
             out.append(("unit", w.lower()))
         else:
             out.append(("", w.lower()))
     return out
 
 
-def windows(text):
-    """(window, form, slots) of both forms: names as slots and names as words."""
+def windows(text, size=5):
+    """(window, form, slots, swaps) of both forms: names as slots and names as words."""
     t = brute_tokens(text)
-    for i in range(max(1, len(t) - 4)) if t else ():
-        w = t[i : i + 5]
-        window = tuple(x if x[0] == "" else (x[0],) for x in w)
-        yield window, window, tuple(x for x in w if x[0])
-        w = [("", v) if k == "name" else (k, v) for k, v in w]
-        yield window, tuple(x if x[0] == "" else (x[0],) for x in w), tuple(x for x in w if x[0])
+    plain = [("", v) if k == "name" else (k, v) for k, v in t]
+    swaps = [size == 5 and 2 * sum(x[0] != "" for x in each) <= len(t) for each in (t, plain)]
+    for i in range(len(t) - size + 1):
+        forms = [(tuple(x if x[0] == "" else (x[0],) for x in w), tuple(x[1] for x in w if x[0])) for w in (t[i : i + size], plain[i : i + size])]
+        for (h, s), ok in zip(forms, swaps, strict=True):
+            yield forms[0][0], h, s, ok
 
 
 def brute(docs, items):
     out = {}
     for d, text in docs:
-        mine = defaultdict(set)
-        for _, h, s in windows(text or ""):
-            mine[h].add(s)
         for i, q in items:
-            own = set(windows(q or ""))
-            n = len({w for w, _, _ in own})
-            found = len({w for w, h, _ in own if h in mine})
-            same = len({w for w, h, s in own if s in mine.get(h, ())})
+            n_tokens = len(brute_tokens(q or ""))
+            size = min(5, n_tokens)
+            if not size or (size < D.SHORTEST and len(brute_tokens(text or "")) != size):
+                continue
+            mine = defaultdict(set)
+            for _, h, s, _ in windows(text or "", size):
+                mine[h].add(s)
+            own = set(windows(q, size))
+            n = len({w for w, _, _, _ in own})
+            found = len({w for w, h, s, ok in own if (h in mine if ok else s in mine.get(h, ()))})
+            same = len({w for w, h, s, _ in own if s in mine.get(h, ())})
             to = defaultdict(set)
-            for _, h, s in own:
+            for _, h, s, ok in own:
                 for other in mine.get(h, ()):
                     for a, b in zip(s, other, strict=True):
-                        to[a].add(b)
+                        if ok or s == other:
+                            to[a].add(b)
             steady = all(len(v) == 1 for v in to.values())
-            if n and (same >= 0.8 * n or (found >= 0.8 * n and steady)):
+            if same >= 0.8 * n or (found >= 0.8 * n and steady):
                 out[d, i] = (n, found, same, same < 0.8 * n)
     return out
 
@@ -70,8 +75,9 @@ DOCS = [
     (7, " ".join(w + "***" for w in OTHER.split())),
     (8, " ".join(OTHER.split()[:9])),
     (9, None), (10, ""), (11, "yes no"), (12, "yes no maybe"), (13, "5 6 7 8 9 " * 200),
+    (14, "And then it rained. How far did it go? " + swap(OTHER, {"Der": "Ein"})), (15, "we ask who was king and where"), (16, "I ask: who was queen"),
 ]
-ITEMS = [(100, ITEM), (101, OTHER), (102, "Yes, no!"), (103, None), (104, "")]
+ITEMS = [(100, ITEM), (101, OTHER), (102, "Yes, no!"), (103, None), (104, ""), (105, "Who was King?")]
 
 
 def frame(spark, rows, key):
@@ -79,16 +85,33 @@ def frame(spark, rows, key):
 
 
 def test_against_brute_force(spark):
-    got = D.contaminated(frame(spark, DOCS, "doc_id"), frame(spark, ITEMS, "item_id")).collect()
+    got = D.contaminated(frame(spark, DOCS, "doc_id"), frame(spark, ITEMS, "item_id"), occurrences=False).collect()
     assert {(r[0], r[1]): tuple(r[2:]) for r in got} == brute(DOCS, ITEMS)
-    assert {r[0] for r in got} >= {1, 2, 5, 6, 7, 11} and not {r[0] for r in got} & {3, 4, 8, 9, 10, 12, 13}
+    assert {r[0] for r in got} >= {1, 2, 5, 6, 7, 11, 14, 15} and not {r[0] for r in got} & {4, 8, 9, 10, 12, 13, 16}
 
 
 def test_clean(spark, docs, none):
     d, b = frame(spark, DOCS + [(None, ITEM)], "doc_id"), frame(spark, ITEMS, "item_id")
     kept = D.clean(d, b)
-    assert kept.columns == d.columns and sorted(r[0] or 0 for r in kept.collect()) == [0, 3, 4, 8, 9, 10, 12, 13]
+    assert kept.columns == d.columns and sorted(r[0] or 0 for r in kept.collect()) == [4, 8, 9, 10, 12, 13, 16]
     assert D.clean(none, b).count() == 0 and D.clean(d, b.where("false")).count() == d.count()
+    twice = frame(spark, [(None, ITEM), (None, "A clean text without an id, which stays."), (None, ITEM)], "doc_id")
+    assert [r["text"][:7] for r in D.clean(twice, b).collect()] == ["A clean"]
+
+
+def test_names_at_the_start_of_sentences(spark):
+    """A renamed question whose sentences all start with the name, number words, and items that are mostly slots."""
+    item = "Tom buys two red apples at the market. Tom eats one of them on the way. Tom then gives twelve plums to his sister."
+    title = "Who Was The First King Of All The Western Isles And Hills"
+    docs = [
+        (1, swap(item, {"Tom": "Anna", "two": "nineteen", "one": "sixty", "twelve": "thirteen"})),
+        (2, "Intro here. " + swap(item, {"Tom": "Maria"}).lower()),
+        (3, swap(item, {"Tom": "Anna"}).replace("Anna then", "Paul then").replace("Anna eats", "Carla eats") + " Unrelated text follows."),
+        (4, "What Is The Last Tale Of Both The Eastern Moors And Lakes"),
+        (5, "Intro: " + title.lower()),
+    ]
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(frame(spark, docs, "doc_id"), frame(spark, [(1, item), (2, title)], "item_id")).collect()}
+    assert {(1, 1), (5, 2)} <= got and not {(4, 2), (3, 2), (2, 2)} & got
 
 
 def test_each_occurrence_is_judged(spark):
@@ -106,9 +129,9 @@ def test_each_occurrence_is_judged(spark):
     ]
     d, b = frame(spark, docs, "doc_id"), frame(spark, [(100, ITEM), (101, same)], "item_id")
     got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(d, b, occurrences=True).collect()}
-    assert got == {(3, 100), (20, 100), (21, 101), (22, 100)} | {(r["doc_id"], r["item_id"]) for r in D.contaminated(d, b).collect()}
-    assert not {r["doc_id"] for r in D.contaminated(d, b).collect()} & {3, 20, 21, 22}
-    assert {r[0] for r in D.clean(d, b, occurrences=True).collect()} <= {23, 24}
+    assert got == {(3, 100), (20, 100), (21, 101), (22, 100)} | {(r["doc_id"], r["item_id"]) for r in D.contaminated(d, b, occurrences=False).collect()}
+    assert not {r["doc_id"] for r in D.contaminated(d, b, occurrences=False).collect()} & {3, 20, 21, 22}
+    assert {r[0] for r in D.clean(d, b).collect()} <= {23, 24}
 
 
 def test_occurrences_lose_nothing(spark, none):
