@@ -1,10 +1,10 @@
 """License scan by MinHash bands over overlapping windows, native.
 
 Texts and templates become hashed word shingles.  Windows as long as each length of template overlap by three
-quarters; eight bands of two MinHash values retrieve the templates of a window, and exact containment of the
-template's shingles in the window's surroundings verifies them.  A window next to a whole copy has similarity
-0.77 or more, so that some band agrees with probability above 0.999.  Texts that share no shingle with any template,
-whose windows have similarity 0 with all of them, make no windows.
+quarters; 24 bands of one MinHash value retrieve the templates of a window, and exact containment of the template's
+shingles in the window's surroundings verifies them.  At a containment of 0.8 some window has a similarity of 0.4 or
+more, so that no band agrees with probability below 1e-5; next to a whole copy it is 0.77 or more, and that below 1e-15.
+Texts that share no shingle with any template, whose windows have similarity 0 with all of them, make no windows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from locusflow.llm.shared import Scratch, table
 
 SHINGLE = 5
-BANDS, BAND_ROWS = 8, 2
+BANDS, BAND_ROWS = 24, 1
 CONTAINMENT = 0.8
 
 #: Notices by which texts name their license.
@@ -66,7 +66,7 @@ def _seeded(seed: int):
 
 
 def _bands(window: Column) -> Column:
-    """Band hashes of a window's shingles: each of two MinHash values."""
+    """Band hashes of a window's shingles: each of BAND_ROWS MinHash values."""
     low = [F.array_min(F.transform(window, _seeded(k))) for k in range(BANDS * BAND_ROWS)]
     return F.array(*[F.xxhash64(F.lit(b), *low[b * BAND_ROWS : (b + 1) * BAND_ROWS]) for b in range(BANDS)])
 

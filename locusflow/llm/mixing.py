@@ -2,9 +2,9 @@
 
 Rows get hash-random keys and are dealt by a range of the key within their source, so a source with a third
 of the rows is spread over all ranges.  Ranges are summed first; their prefix sums, on one row per source and
-range, give every range its offset, and a window inside the range gives every row its own.  The prefix sum is
-cut at the exact budget of the source: whole epochs first, then the rows of the last epoch up to the budget,
-of which the last is taken in part.
+range, give every range its offset.  The prefix sum is cut at the exact budget of the source: whole epochs first, then
+the rows of the last epoch up to the budget, of which the last is taken in part.  Ranges before and behind the cut
+decide for their rows; the one range with the cut is sorted, and a window inside it gives every row its own sum.
 """
 
 from __future__ import annotations
@@ -64,39 +64,69 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, range_rows: int = RANGE_ROWS) -> DataFrame:
+#: Rows up to which the table of ranges is sent to every executor; a larger one is joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def _random_key() -> Column:
+    return F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("0" * 32))
+
+
+def _range_plan(sizes: DataFrame, weights: tuple[int, ...], range_rows: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(source, part, ahead, part_size, source_size, target) of each range, and how many digits of the key name a range."""
+    # The first digits of the key name the range; their number changes the work, never the order.
+    digits, n = 2, sizes.count()
+    while 16**digits * range_rows < n:
+        digits += 1
+    ranges = scratch.write(sizes.groupBy("source", F.substring("key", 1, digits).alias("part")).agg(F.sum("size").alias("part_size")), "ranges")
+    goal = targets(ranges.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights)
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("source", "part", "part_size", F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("ahead"))
+    joined = offsets.alias("o").join(goal.alias("g"), F.expr("o.source <=> g.source"))
+    return scratch.write(joined.select("o.source", "part", "ahead", "part_size", "source_size", "target"), "plan"), digits
+
+
+def _taken(rows: DataFrame, size: Column, columns: list[str], plan: DataFrame, digits: int) -> DataFrame:
+    """``columns`` of ``rows``, then size, source_size, target and taken.
+
+    A range that ends before the source's cut, or starts behind it, decides for its rows; only the range with the cut
+    is sorted, for the running sums inside it.
+    """
+    budget = F.round("p.target").cast("long")
+    epochs = F.when(F.col("p.source_size") > 0, F.floor(budget / F.col("p.source_size"))).otherwise(0).cast("long")
+    rest = budget - epochs * F.col("p.source_size")
+    ahead, end = F.col("p.ahead"), F.col("p.ahead") + F.col("p.part_size")
+    side = F.when(end <= rest, 1).when(ahead >= rest, -1).otherwise(0)
+    plan = plan.alias("p").select("p.*", epochs.alias("epochs"), (rest - ahead).alias("room"), side.alias("side"))
+    plan = (F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan).alias("p")
+    on = F.col("r._source").eqNullSafe(F.col("p.source")) & (F.col("r._part") == F.col("p.part"))
+    keyed = rows.select("*", F.col("source").cast("string").alias("_source"), _random_key().alias("_key")).withColumn("_part", F.substring("_key", 1, digits))
+    placed = keyed.alias("r").join(plan, on).select(*[F.col(f"r.`{c}`") for c in rows.columns], "_source", "_key", "_part", *[F.col(f"p.{c}").alias(f"_{c}") for c in ("epochs", "room", "side", "source_size", "target")])
+    out = [*columns, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target")]
+    decided = placed.where("_side <> 0").withColumn("_size", size)
+    decided = decided.select(*out, (F.col("_epochs") * F.col("_size") + F.when(F.col("_side") == 1, F.col("_size")).otherwise(0)).alias("taken"))
+    order = Window.partitionBy("_source", "_part").orderBy("_key", F.col("doc_id").asc_nulls_last(), "_size").rowsBetween(Window.unboundedPreceding, -1)
+    cut = placed.where("_side = 0").withColumn("_size", size).withColumn("_inside", F.coalesce(F.sum("_size").over(order), F.lit(0)))
+    last = F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), F.col("_room") - F.col("_inside")))
+    return decided.unionAll(cut.select(*out, (F.col("_epochs") * F.col("_size") + last).alias("taken")))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, range_rows: int = RANGE_ROWS, whole: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of each row of ``docs``; taken counts repeats.
 
     Size is the number of words (null: 0).  A null source is a source of its own, the last.  Rows with equal ids
     are ordered by size; full repeats share what falls on them in one of the possible orders, which is always the
-    same set of numbers.  Texts without words take 0.  No rows give no rows.  Other columns are not read.
+    same set of numbers.  Texts without words take 0.  No rows give no rows.  With ``whole`` all columns of ``docs`` are
+    returned, but those named as the four new ones, which these replace; without, other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    key = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("0" * 32))
-    rows = scratch.write(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), key.alias("key")),
-        "sizes",
-    )
-    # The first digits of the key name the range; their number changes the work, never the order.
-    digits = 2
-    while 16**digits * range_rows < rows.count():
-        digits += 1
-    rows = rows.withColumn("part", F.substring("key", 1, digits))
-    ranges = scratch.write(rows.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "ranges")
-    goal = targets(ranges.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights)
-    ahead = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select("source", "part", F.coalesce(F.sum("part_size").over(ahead), F.lit(0)).alias("ahead"))
-    plan = scratch.write(
-        offsets.alias("o").join(goal.alias("g"), F.expr("o.source <=> g.source")).select("o.source", "part", "ahead", "source_size", "target"), "plan"
-    )
-    inside = Window.partitionBy("source", "part").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("r")
-    joined = placed.join(F.broadcast(plan.alias("p")) if plan.count() <= 100_000 else plan.alias("p"), F.expr("r.source <=> p.source and r.part = p.part"))
-    budget = F.round("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - epochs * F.col("source_size")
-    last = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("ahead") - F.col("inside")))
-    return joined.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", (epochs * F.col("size") + last).alias("taken"))
+    size = word_count(F.col("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), _random_key().alias("key"))
+    sizes = scratch.write(plain, "sizes")
+    plan, digits = _range_plan(sizes, weights, range_rows, scratch)
+    if whole:
+        return _taken(docs, size, [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")], plan, digits)
+    return _taken(sizes, F.col("size"), ["doc_id", "source"], plan, digits)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,13 +228,18 @@ def _shard_results(contents: DataFrame, length: int, shards: int) -> DataFrame:
 
     def judge(rows: list[dict], shard: int) -> pa.RecordBatch:
         found = repeated_windows([r["content"] for r in rows], [r["n"] for r in rows], length)
-        out = []
+        out, votes = [], set()
         for r, marks in zip(rows, found, strict=True):
             if r["ones"]:
                 out += [(r["key"], r["p"] + x, r["p"] + y + length - 1, None, None) for x, y in _runs(marks)]
             if r["hot"]:
                 view = memoryview(r["content"])
-                out += [(r["key"], r["p"] + i if r["ones"] else None, r["p"] + i + length, xxhash.xxh3_128_digest(view[i : i + length]), shard) for i in range(r["n"])]
+                digests = [xxhash.xxh3_128_digest(view[i : i + length]) for i in range(r["n"])]
+                if r["ones"]:
+                    out += [(r["key"], r["p"] + i, r["p"] + i + length, d, shard) for i, d in enumerate(digests)]
+                else:
+                    votes.update(digests)
+        out += [(None, None, None, d, shard) for d in votes]
         cols = zip(*out, strict=True) if out else [[]] * 5
         types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([*c], t) for c, t in zip(cols, types, strict=True)], ["key", "start", "end", "digest", "shard"])
@@ -257,28 +262,27 @@ def _shard_results(contents: DataFrame, length: int, shards: int) -> DataFrame:
 
 
 def _merged_hot(windows: DataFrame) -> DataFrame:
-    """(key, start, end) of windows whose digest another shard has: each partition sorts the digests of its runs and searches them."""
+    """(key, start, end) of windows whose digest another shard has as well.
+
+    Each shard's run of distinct digests is merged with the others': a partition sorts the digests dealt to it, at most
+    one of each shard, and finds by binary search how many shards have one.  What is found is joined back to the windows,
+    so that a digest with any number of windows is split like every skewed join.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
+        parts = [b.column(0) for b in batches if b.num_rows]
         if not parts:
             return
-        all_rows = pa.Table.from_batches(parts).to_pydict()
-        digest = np.array([int.from_bytes(d[:8], "big") for d in all_rows["digest"]], np.uint64)
-        rest = np.array([int.from_bytes(d[8:], "big") for d in all_rows["digest"]], np.uint64)
-        pairs = np.unique(np.stack([digest, rest, np.array(all_rows["shard"], np.int64).view(np.uint64)], 1), axis=0)
-        sorted_runs = np.ascontiguousarray(pairs[:, :2].astype(">u8")).view("V16").ravel()
-        wanted = np.ascontiguousarray(np.stack([digest, rest], 1).astype(">u8")).view("V16").ravel()
-        code = {d: i for i, d in enumerate(dict.fromkeys(sorted_runs.tolist()))}
-        runs = np.array([code[d] for d in sorted_runs.tolist()])
-        at = np.array([code[d] for d in wanted.tolist()])
-        shared = np.searchsorted(runs, at, "right") - np.searchsorted(runs, at, "left") > 1
-        keep = [i for i in np.flatnonzero(shared).tolist() if all_rows["start"][i] is not None]
-        yield pa.RecordBatch.from_arrays([pa.array([all_rows[c][i] for i in keep], t) for c, t in (("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()))], ["key", "start", "end"])
+        runs = np.sort(np.frombuffer(b"".join(d for part in parts for d in part.to_pylist()), "S16").view("V16"))
+        at = np.arange(len(runs))
+        first, last = np.searchsorted(runs, runs, "left"), np.searchsorted(runs, runs, "right")
+        yield pa.RecordBatch.from_arrays([pa.array([d.tobytes() for d in runs[(first == at) & (last - first > 1)]], pa.binary())], ["digest"])
 
     spark = windows.sparkSession
+    pairs = windows.select("digest", "shard").distinct()
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), windows.count() // 500_000)
-    return map_arrow(windows.repartition(n, "digest"), run, "key long, start int, end int")
+    shared = map_arrow(pairs.repartition(n, "digest").select("digest"), run, "digest binary")
+    return windows.where("start is not null").join(shared, "digest").select("key", "start", "end")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

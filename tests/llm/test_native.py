@@ -37,3 +37,13 @@ def test_rules_empty(spark, none):
 def test_word_count(spark, text, words):
     df = spark.createDataFrame([(text,)], "text string")
     assert df.select(mixing.word_count(F.col("text"))).first()[0] == words
+
+
+def test_mix_keeps_whole_rows(spark, docs):
+    """With all columns: the same numbers, every row's own text, clashing names replaced; ranges of any size agree."""
+    rows = docs.withColumn("target", F.lit("clash"))
+    got, plain = mixing.mix(rows, whole=True), mixing.mix(docs)
+    assert got.columns == [*docs.columns, "size", "source_size", "target", "taken"]
+    key = lambda df: sorted(map(str, df.select("doc_id", "source", "size", "source_size", "target", "taken").collect()))
+    assert key(got) == key(plain) == key(mixing.mix(docs, range_rows=1))
+    assert sorted(map(str, got.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
