@@ -20,7 +20,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, as it is or re-parameterised, go."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), occurrences=True)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that each document gives to the mix; documents of which it takes none go."""
-    mixed = mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
-    return mixed.where("taken > 0")
+    """The documents with the words that each gives to the mix, repeats counted; documents of which it takes none go."""
+    return mixing.mix(docs, whole=True).where("taken > 0")
 
 
 STAGES = [
