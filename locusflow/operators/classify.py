@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
-from itertools import groupby
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusflow.runtime import ship
+from locusflow.runtime import fold_sorted
 
 #: The classes in the order of the reports; the label of a locus that was not looked for to the end.
 CLASSES = ("EXC", "INF", "PLOT3", "PLOT5", "LOTSC", "NIPH", "NIPHEM", "ALM", "ASM", "PAMA", "LNF")
@@ -79,6 +77,58 @@ def filter_by_modes(lengths: DataFrame, threshold: float, by: str = "locus", val
 INEXACT = "locus string, genome_ord int, ord int, allele_id string, dna_hash string, prot_hash string, class string, bsr double, candidate boolean, mode int, length int"
 
 
+class _InexactFold:
+    """The matches of a locus, genome by genome; what is kept is what was seen: distinct sequences, sizes, one genome's rows."""
+
+    def __init__(self, threshold: float | None, bsr: float):
+        self.threshold, self.bsr = threshold, bsr
+        self.sizes, self.mode = Counter(), None
+        self.known_dna, self.known_protein = set(), set()
+        self.genome, self.cell, self.own_length = None, [], None
+
+    def step(self, m) -> list[tuple]:
+        if m.lengths is not None:
+            self.sizes = Counter(m.lengths)
+            self.mode = self.sizes.most_common(1)[0][0] if self.sizes else None
+            return []
+        done = self.end() if m.genome_ord != self.genome else []
+        self.genome = m.genome_ord
+        ratio, low, high = m.bsr, None, None
+        if self.threshold is not None and self.mode is not None:
+            low, high = self.mode - self.mode * self.threshold, self.mode + self.mode * self.threshold
+        if m.dna_hash in self.known_dna:
+            kind, ratio = "EXC", 1.0
+        elif m.prot_hash in self.known_protein:
+            kind, ratio = "INF", 1.0
+            self.known_dna.add(m.dna_hash)
+        elif isinstance(m.tip_class, str):
+            kind = m.tip_class
+        elif low is not None and m.dna_length < low:
+            kind = "ASM"
+        elif high is not None and m.dna_length > high:
+            kind = "ALM"
+        else:
+            kind = "INF"
+            self.known_dna.add(m.dna_hash)
+            self.known_protein.add(m.prot_hash)
+        if kind == "INF":
+            self.own_length = m.dna_length
+        self.cell.append([m.locus, m.genome_ord, m.ord, m.allele_id, m.dna_hash, m.prot_hash, kind, ratio, False, self.mode, m.dna_length])
+        return done
+
+    def end(self) -> list[tuple]:
+        """The rows of the genome that is over; a lone INF counts for the mode and may be a candidate."""
+        kinds = [r[6] for r in self.cell]
+        if kinds.count("INF") == 1 and set(kinds) <= {"INF", "ASM", "ALM"}:
+            self.sizes[self.own_length] += 1
+            self.mode = max(self.sizes, key=self.sizes.__getitem__)
+            if self.bsr <= self.cell[0][7] < self.bsr + 0.1:
+                for r in self.cell:
+                    r[8] = r[6] == "INF"
+        done, self.cell, self.own_length = self.cell, [], None
+        return done
+
+
 def classify_inexact(matches: DataFrame, lengths: DataFrame, threshold: float | None, bsr: float) -> DataFrame:
     """Classes of inexact matches, genome by genome within each locus.
 
@@ -86,50 +136,13 @@ def classify_inexact(matches: DataFrame, lengths: DataFrame, threshold: float |
     ``lengths``: locus, lengths (array, allele order).  Within a locus the state is what was seen before: a known
     sequence is EXC, a sequence of a known protein INF; else the contig's tip, then the size against the running mode,
     decide, and what is left is INF.  A genome with one INF adds its length to the mode, and is a candidate for
-    representative if its first ratio is within a tenth of the threshold.  One locus is one group: it is bounded by
-    the distinct sequences that match it.
+    representative if its first ratio is within a tenth of the threshold.  A locus is folded in order by one task, through
+    which its rows stream; it holds the distinct sequences that match the locus, not its rows.
     """
-    ship(matches.sparkSession)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["genome_ord", "ord", "dna_hash"], kind="stable")
-        first = rows["lengths"].iloc[0]
-        sizes = Counter(first if first is not None else ())
-        mode = sizes.most_common(1)[0][0] if sizes else None
-        known_dna, known_protein, out = set(), set(), []
-        for _, cell in groupby(rows.itertuples(index=False), key=lambda m: m.genome_ord):
-            start, own_length = len(out), None
-            for m in cell:
-                ratio, kind = m.bsr, None
-                if m.dna_hash in known_dna:
-                    kind, ratio = "EXC", 1.0
-                elif m.prot_hash in known_protein:
-                    kind, ratio = "INF", 1.0
-                    known_dna.add(m.dna_hash)
-                elif isinstance(m.tip_class, str):
-                    kind = m.tip_class
-                elif threshold is not None and mode is not None and m.dna_length < mode - mode * threshold:
-                    kind = "ASM"
-                elif threshold is not None and mode is not None and m.dna_length > mode + mode * threshold:
-                    kind = "ALM"
-                else:
-                    kind = "INF"
-                    known_dna.add(m.dna_hash)
-                    known_protein.add(m.prot_hash)
-                if kind == "INF":
-                    own_length = m.dna_length
-                out.append([m.locus, m.genome_ord, m.ord, m.allele_id, m.dna_hash, m.prot_hash, kind, ratio, False, mode, m.dna_length])
-            kinds = [r[6] for r in out[start:]]
-            lone = kinds == ["INF"] or (kinds.count("INF") == 1 and set(kinds) <= {"INF", "ASM", "ALM"})
-            if lone:
-                sizes[own_length] += 1
-                mode = max(sizes, key=sizes.__getitem__)
-                if bsr <= out[start][7] < bsr + 0.1:
-                    for r in out[start:]:
-                        r[8] = r[6] == "INF"
-        return pd.DataFrame(out, columns=[c.split()[0] for c in INEXACT.split(", ")])
-
-    return matches.join(lengths.select("locus", "lengths"), "locus", "left").groupBy("locus").applyInPandas(fold, INEXACT)
+    rows = matches.select("locus", F.lit(1).alias("late"), "genome_ord", "ord", "allele_id", "dna_hash", "prot_hash", "bsr", "dna_length", "tip_class")
+    first = lengths.where("lengths is not null").select("locus", F.lit(0).alias("late"), F.lit(0).alias("genome_ord"), F.lit(0).alias("ord"), F.lit(0).alias("dna_length"), F.lit(0.0).alias("bsr"), "lengths")
+    both = rows.unionByName(first, allowMissingColumns=True)
+    return fold_sorted(both, "locus", ["late", "genome_ord", "ord", "dna_hash"], lambda: _InexactFold(threshold, bsr), INEXACT)
 
 
 def paralogous_hashes(valid: DataFrame) -> DataFrame:

@@ -5,63 +5,92 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.functions.sequence import minimizers
+from locusflow.operators.components import components
+from locusflow.operators.matching import align_pairs
 from locusflow.operators.numbering import with_row_number
-from locusflow.runtime import ship
+from locusflow.runtime import Stage, fold_sorted, ship
 
 #: Groups that are clustered apart before their representatives are; a parameter of the result, not of the cluster.
 GROUPS = 40
 
-CLUSTERS = "representative string, member string, similarity double, length int"
-
 
 def _listed(by: str, key: object, ids: Iterable[str], name: str = "seqid") -> pd.DataFrame:
     return pd.DataFrame([(key, x) for x in ids], columns=[by, name], dtype=object)
 
 
-def _greedy(rows: pd.DataFrame, similarity: float, top: int) -> list[tuple[str, str, float, int]]:
-    """Members in order: each joins the ``top`` most similar representatives (ties by identifier), or becomes one."""
-    index: dict[str, list[str]] = {}
-    out = []
-    for r in rows.itertuples(index=False):
-        words = list(r.words)
-        shared: dict[str, int] = {}
-        for w in words:
-            for rep in index.get(w, ()):
-                shared[rep] = shared.get(rep, 0) + 1
-        near = sorted(((-n / len(words), rep) for rep, n in shared.items() if n / len(words) >= similarity))[:top]
-        if near:
-            out += [(rep, r.seqid, -s, r.length) for s, rep in near]
-        else:
-            for w in words:
-                index.setdefault(w, []).append(r.seqid)
-            out.append((r.seqid, r.seqid, 1.0, r.length))
-    return out
+def similar(rows: DataFrame, similarity: float, earlier: bool = False) -> DataFrame:
+    """(group, member, other, similarity): the share of a member's words that another row of its group has, from ``similarity`` on.
+
+    ``rows``: group, seqid, words (distinct), and place if only ``earlier`` rows count as others.  A row that shares so
+    much has in common at least one of the member's rarest words, as many as are left when the others would not do:
+    only these are joined, so that words that all rows have bring no pairs together.
+    """
+    n = F.size("words")
+    least = F.greatest(F.lit(1), F.ceil(n * similarity - 1e-9))
+    place = ["place"] if earlier else []
+    each = rows.select("group", "seqid", *place, n.alias("n"), least.alias("least"), F.explode("words").alias("word"))
+    known = each.groupBy("group", "word").agg(F.count("*").alias("rows"))
+    rarest = F.row_number().over(Window.partitionBy("group", "seqid").orderBy("rows", "word"))
+    asked = each.join(known, ["group", "word"]).withColumn("rank", rarest).where(F.col("rank") <= F.col("n") - F.col("least") + 1)
+    on = (F.col("a.group") == F.col("b.group")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.seqid") != F.col("b.seqid"))
+    if earlier:
+        on &= F.col("b.place") < F.col("a.place")
+    pairs = asked.alias("a").join(each.alias("b"), on).select("a.group", F.col("a.seqid").alias("member"), F.col("b.seqid").alias("other")).distinct()
+    words = lambda name, column: rows.select("group", F.col("seqid").alias(name), F.col("words").alias(column))
+    whole = pairs.join(words("member", "mine"), ["group", "member"]).join(words("other", "theirs"), ["group", "other"])
+    share = F.size(F.array_intersect("mine", "theirs")) / F.size("mine")
+    return whole.select("group", "member", "other", share.alias("similarity")).where(F.col("similarity") >= similarity)
+
+
+def _greedy(rows: DataFrame, similarity: float, top: int, stage: Stage, label: str) -> DataFrame:
+    """(representative, member, similarity, length) within each group: rows by place, each joins the ``top`` most similar
+    representatives before it (ties by identifier), or becomes one.
+
+    ``rows``: group, seqid, place, length, words.  A row without an undecided similar row before it, and without such a
+    representative, is a representative; rows similar to it are members.  Rounds over written tables decide all rows
+    as one pass in order would.
+    """
+    links = stage.write(similar(rows, similarity, True).select("member", F.col("other").alias("representative"), "similarity"), f"{label}-links")
+    left, edges, chosen, step = rows.select("seqid"), links.select("member", "representative"), [], 0
+    while True:
+        new = stage.write(left.join(edges.select(F.col("member").alias("seqid")).distinct(), "seqid", "left_anti"), f"{label}-new{step}")
+        chosen.append(new)
+        joined = stage.write(edges.join(new, edges.representative == new.seqid, "left_semi").select(F.col("member").alias("seqid")).distinct(), f"{label}-joined{step}")
+        left = stage.write(left.join(new, "seqid", "left_anti").join(joined, "seqid", "left_anti"), f"{label}-left{step}")
+        if left.isEmpty():
+            break
+        gone = joined.select(F.col("seqid").alias("member"))
+        edges = edges.join(gone, "member", "left_anti").join(gone.withColumnRenamed("member", "representative"), "representative", "left_anti")
+        edges = stage.write(edges.select("member", "representative"), f"{label}-edges{step}")
+        step += 1
+    reps = chosen[0]
+    for more in chosen[1:]:
+        reps = reps.unionAll(more)
+    best = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("similarity"), "representative"))
+    near = links.join(reps.withColumnRenamed("seqid", "representative"), "representative", "left_semi").withColumn("rank", best).where(F.col("rank") <= top)
+    own = reps.select(F.col("seqid").alias("representative"), F.col("seqid").alias("member"), F.lit(1.0).alias("similarity"))
+    lengths = rows.select(F.col("seqid").alias("member"), "length")
+    return near.select("representative", "member", "similarity").unionAll(own).join(lengths, "member").select("representative", "member", "similarity", "length")
 
 
 def greedy_clusters(proteins: DataFrame, similarity: float = 0.2, top: int = 1, groups: int = GROUPS, k: int = 5, window: int = 5) -> DataFrame:
     """(representative, member, similarity, length) of (seqid, seq): longest first, ties by seqid.
 
     Sequences are cut by that order into ``groups`` that are clustered apart; then the representatives are clustered in
-    the same order, and the members of one that joined another follow it.  The second pass is one group: it holds the
-    representatives of all groups, far fewer than the sequences.
+    the same order, and the members of one that joined another follow it.  No group is gathered: see _greedy().
     """
-    ship(proteins.sparkSession)
+    stage = Stage(proteins.sparkSession)
     sized = proteins.select("seqid", F.length("seq").alias("length"), minimizers("seq", k, window).alias("words"))
-    n = proteins.count()
-    per = max(1, -(-n // groups))
-    placed = with_row_number(sized.withColumn("_size", -F.col("length")), "place", "_size", "seqid").withColumn("group", F.floor((F.col("place") - 1) / per).cast("int"))
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "seqid"], ascending=[False, True], kind="stable")
-        return pd.DataFrame(_greedy(rows, similarity, top), columns=["representative", "member", "similarity", "length"])
-
-    first = placed.groupBy("group").applyInPandas(one, CLUSTERS)
-    reps = sized.join(first.where("representative = member").select(F.col("member").alias("seqid")), "seqid")
-    second = reps.withColumn("group", F.lit(0)).groupBy("group").applyInPandas(one, CLUSTERS)
+    per = max(1, -(-proteins.count() // groups))
+    placed = with_row_number(sized.withColumn("_size", -F.col("length")), "place", "_size", "seqid").drop("_size")
+    placed = stage.write(placed.withColumn("group", F.floor((F.col("place") - 1) / per).cast("int")), "placed")
+    first = stage.write(_greedy(placed, similarity, top, stage, "first"), "first")
+    reps = placed.join(first.where("representative = member").select(F.col("member").alias("seqid")), "seqid", "left_semi").withColumn("group", F.lit(0))
+    second = _greedy(reps, similarity, top, stage, "second")
     moved = second.select(F.col("member").alias("old"), F.col("representative").alias("new"), F.col("similarity").alias("s2"))
     joined = first.join(moved, first.representative == moved.old)
     same = F.col("representative") == F.col("member")
@@ -74,27 +103,62 @@ def prune_near_representative(clusters: DataFrame, cutoff: float = 0.9) -> DataF
     return clusters.join(near, "member", "left_anti").select("representative", "member", "similarity", "length")
 
 
+class _Pruning:
+    """Members longest first; of each pair the shorter goes, or the other on ties; a member that is out is not looked at."""
+
+    def __init__(self):
+        self.out, self.now, self.skip = set(), None, False
+
+    def step(self, r) -> list[tuple]:
+        if r.member != self.now:
+            self.now, self.skip = r.member, r.member in self.out
+        loser = r.other if r.size >= r.other_size else r.member
+        if self.skip or loser in self.out:
+            return []
+        self.out.add(loser)
+        return [(r.group, loser)]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 def prune_within(clusters: DataFrame, seqs: DataFrame, cutoff: float = 0.9, k: int = 5, window: int = 5) -> DataFrame:
     """(representative, member) to leave out: of two members of a cluster that share the cutoff of the minimizers of the
     one looked at, the shorter, or the other on ties.  Members are looked at longest first, ties by seqid; one that is
     out already is not looked at."""
-    ship(clusters.sparkSession)
     words = seqs.select(F.col("seqid").alias("member"), F.length("seq").alias("size"), minimizers("seq", k, window).alias("words"))
-    members = clusters.where("representative <> member").select("representative", "member").join(words, "member")
+    members = clusters.where("representative <> member").select(F.col("representative").alias("group"), "member").join(words, "member")
+    pairs = similar(members.withColumnRenamed("member", "seqid"), cutoff)
+    sizes = members.select("group", "member", "size")
+    pairs = pairs.join(sizes, ["group", "member"]).join(sizes.select("group", F.col("member").alias("other"), F.col("size").alias("other_size")), ["group", "other"])
+    found = fold_sorted(pairs.select("group", "member", "other", "size", "other_size"), "group", [F.desc("size"), "member", "other"], _Pruning, "group string, member string")
+    return found.withColumnRenamed("group", "representative")
+
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "member"], ascending=[False, True], kind="stable")
-        size = dict(zip(rows["member"], rows["size"], strict=True))
-        sets = {m: set(w) for m, w in zip(rows["member"], rows["words"], strict=True)}
-        out: list[str] = []
-        for m in rows["member"]:
-            if m in out or not sets[m]:
-                continue
-            sims = [c for c in rows["member"] if c != m and len(sets[m] & sets[c]) / len(sets[m]) >= cutoff]
-            out += [c if size[m] >= size[c] else m for c in sims]
-        return _listed("representative", rows["representative"].iloc[0], sorted(set(out)), "member")
+class _Elimination:
+    """Hits in order: of a query and a target that are both in, the shorter goes, or the target on ties."""
 
-    return members.groupBy("representative").applyInPandas(fold, "representative string, member string")
+    def __init__(self):
+        self.out = set()
+
+    def step(self, r) -> list[tuple]:
+        if r.query in self.out or (r.own > 0 and r.target in self.out):
+            return []
+        loser = r.query if not r.own > 0 or r.t_len > r.q_len else r.target
+        self.out.add(loser)
+        return [(r.key, loser)]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+def _rated(hits: DataFrame, by: str, level: float, alone: bool) -> DataFrame:
+    """Hits between two sequences whose score by the query's with itself reaches ``level``; with ``alone`` also those of
+    queries without a score with themselves, whose ``own`` is 0."""
+    own = hits.where("query = target").groupBy(by, "query").agg(F.max("score").alias("own"))
+    both = hits.where("query <> target").join(own, [by, "query"], "left").withColumn("own", F.coalesce("own", F.lit(0.0)).cast("double"))
+    good = F.try_divide("score", "own") >= level
+    return both.where(good | (F.col("own") <= 0) if alone else good)
 
 
 def eliminate_by_bsr(hits: DataFrame, lengths: DataFrame, threshold: float = 0.6, by: str = "cluster") -> DataFrame:
@@ -102,45 +166,60 @@ def eliminate_by_bsr(hits: DataFrame, lengths: DataFrame, threshold: float = 0.6
 
     A query that is in and a target that is in, at a ratio of the threshold or more, lose the shorter of them, the target
     on ties.  A query without a score with itself is left out.  ``hits``: by, query, target, score; ``lengths``: seqid, length.
+    Only hits that can put something out are folded, and they stream through.
     """
-    ship(hits.sparkSession)
-    sized = hits.join(lengths.select(F.col("seqid").alias("query"), F.col("length").alias("q_len")), "query").join(
+    sized = _rated(hits.select(by, "query", "target", "score"), by, threshold, True).join(lengths.select(F.col("seqid").alias("query"), F.col("length").alias("q_len")), "query").join(
         lengths.select(F.col("seqid").alias("target"), F.col("length").alias("t_len")), "target"
     )
+    kind = hits.schema[by].dataType.simpleString()
+    rows = sized.select(F.col(by).alias("key"), "query", "target", "own", "q_len", "t_len")
+    return fold_sorted(rows, "key", ["query", "target"], _Elimination, f"key {kind}, seqid string").withColumnRenamed("key", by)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["query", "target"], kind="stable")
-        own = {r.query: r.score for r in rows.itertuples(index=False) if r.query == r.target}
-        out: dict[str, None] = {}
-        for r in rows.itertuples(index=False):
-            if r.query == r.target or r.query in out:
-                continue
-            if not own.get(r.query):
-                out[r.query] = None
-            elif r.score / own[r.query] >= threshold and r.target not in out:
-                out[r.query if r.t_len > r.q_len else r.target] = None
-        return _listed(by, rows[by].iloc[0], out)
 
-    kind = hits.schema[by].dataType.simpleString()
-    return sized.groupBy(by).applyInPandas(fold, f"{by} {kind}, seqid string")
+def near_pairs(seqs: DataFrame, similarity: float, k: int = 5, window: int = 5) -> DataFrame:
+    """(group, query, query_seq, target, target_seq) of (group, seqid, seq): every two of a group of which the target has
+    that share of the query's minimizers, one at least, and every sequence that is not empty with itself."""
+    rows = seqs.select("group", "seqid", minimizers("seq", k, window).alias("words"))
+    near = similar(rows, similarity).select("group", F.col("member").alias("query"), F.col("other").alias("target"))
+    own = seqs.where("seq <> ''").select("group", F.col("seqid").alias("query"), F.col("seqid").alias("target"))
+    texts = lambda name: seqs.select("group", F.col("seqid").alias(name), F.col("seq").alias(f"{name}_seq"))
+    both = near.unionAll(own).distinct().join(texts("query"), ["group", "query"]).join(texts("target"), ["group", "target"])
+    return both.select("group", "query", "query_seq", "target", "target_seq")
+
+
+def eliminate_near(seqs: DataFrame, lengths: DataFrame, similarity: float, threshold: float, stage: Stage) -> DataFrame:
+    """(cluster, seqid) to leave out of (seqid, seq), within the connected components of all near pairs; a component is
+    named after its least sequence."""
+    numbered = stage.write(with_row_number(seqs.select("seqid", "seq"), "number", "seqid"), "numbered")
+    pairs = stage.write(near_pairs(numbered.select(F.lit(0).alias("group"), "seqid", "seq"), similarity).drop("group"), "near")
+    number = lambda name, of: numbered.select(F.col("seqid").alias(of), F.col("number").cast("long").alias(name))
+    links = pairs.where("query <> target").select("query", "target").join(number("u", "query"), "query").join(number("v", "target"), "target")
+    roots = components(links.select("u", "v"), stage).select(F.col("node").alias("u"), F.col("root").alias("cluster"))
+    of = number("u", "query").join(roots, "u", "left").select("query", F.coalesce("cluster", "u").alias("root")).join(number("root", "cluster"), "root").drop("root")
+    return eliminate_by_bsr(align_pairs(pairs.join(of, "query").repartition("query", "target")), lengths, threshold)
+
+
+class _Selection:
+    """Hits in order: a query that is in puts its target out."""
+
+    def __init__(self):
+        self.out = set()
+
+    def step(self, r) -> list[tuple]:
+        if r.query in self.out or r.target in self.out:
+            return []
+        self.out.add(r.target)
+        return [(r.locus, r.target)]
+
+    def end(self) -> list[tuple]:
+        return []
 
 
 def select_representatives(hits: DataFrame, candidates: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(locus, seqid) that stay as new representatives: hits by the query's length, short ones first; a query that is in
     puts a target at a tenth above the threshold out.  ``hits``: locus, query, target, q_len, score; ``candidates``: locus, seqid."""
-    ship(hits.sparkSession)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        own = {r.query: r.score for r in rows.itertuples(index=False) if r.query == r.target}
-        locus = rows["locus"].iloc[0]
-        rows = rows[rows["query"] != rows["target"]].sort_values(["q_len", "query", "target"], kind="stable")
-        out: set[str] = set()
-        for r in rows.itertuples(index=False):
-            if own.get(r.query) and r.score / own[r.query] >= threshold + 0.1 and r.query not in out:
-                out.add(r.target)
-        return _listed("locus", locus, sorted(out))
-
-    gone = hits.groupBy("locus").applyInPandas(fold, "locus string, seqid string")
+    rated = _rated(hits.select("locus", "query", "target", "q_len", "score"), "locus", threshold + 0.1, False)
+    gone = fold_sorted(rated, "locus", ["q_len", "query", "target"], _Selection, "locus string, seqid string")
     return candidates.join(gone, ["locus", "seqid"], "left_anti")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusflow.functions.sequence import sequence_hash
-from locusflow.runtime import ship
+from locusflow.runtime import bounded, ship
 
 GENES = "genome string, contig string, contig_len int, begin int, end int, protid int, strand int, dna string"
 
@@ -123,20 +123,21 @@ def star_alignment(seqs: list[str]) -> list[str]:
 
 
 def aligned_loci(proteins: DataFrame) -> DataFrame:
-    """(locus, FILE, aligned) of (locus, FILE, seq): one locus is one group, its distinct sequences are aligned."""
+    """(locus, FILE, aligned) of (locus, FILE, seq): the distinct sequences of a locus, its alleles, are one group."""
     ship(proteins.sparkSession)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("FILE", kind="stable")
-        return pd.DataFrame({"locus": rows["locus"].astype(object), "FILE": rows["FILE"].astype(object), "aligned": star_alignment(list(rows["seq"]))})
+        rows = rows.sort_values("seq", kind="stable")
+        return pd.DataFrame({"locus": rows["locus"].astype(object), "seq": rows["seq"].astype(object), "aligned": star_alignment(list(rows["seq"]))})
 
-    return proteins.groupBy("locus").applyInPandas(run, "locus string, FILE string, aligned string")
+    alleles = proteins.select("locus", "seq").distinct().groupBy("locus").applyInPandas(run, "locus string, seq string, aligned string")
+    return proteins.join(alleles, ["locus", "seq"]).select("locus", "FILE", "aligned")
 
 
 def concatenated(aligned: DataFrame) -> DataFrame:
     """(FILE, aligned): the loci's alignments in their order, gaps where a sample has none."""
     widths = aligned.groupBy("locus").agg(F.max(F.length("aligned")).alias("width"))
-    every = aligned.select("FILE").distinct().join(F.broadcast(widths)).join(aligned, ["FILE", "locus"], "left")
+    every = aligned.select("FILE").distinct().join(bounded(widths)).join(aligned, ["FILE", "locus"], "left")
     cell = F.coalesce("aligned", F.repeat(F.lit("-"), F.col("width")))
     return every.groupBy("FILE").agg(F.array_sort(F.collect_list(F.struct("locus", cell.alias("a")))).alias("x")).select("FILE", F.array_join(F.transform("x", lambda x: x["a"]), "").alias("aligned"))
 
@@ -157,8 +158,15 @@ def neighbour_joining(names: list[str], d: np.ndarray) -> str:
     return f"({names[0]}:{d[0, 1]:.6g},{names[1]}:0);" if len(names) == 2 else f"{names[0]};" if names else ";"
 
 
-def tree(distances: DataFrame) -> str:
-    """Newick text from (a, b, distance) of all pairs, both ways; as many samples as a tree can show."""
+#: Samples up to which a tree is drawn: the matrix of their distances goes to the driver.
+TREE_SAMPLES = 2000
+
+
+def tree(distances: DataFrame, samples: int = TREE_SAMPLES) -> str:
+    """Newick text from (a, b, distance) of all pairs, both ways.  More than ``samples`` samples are refused, not cut."""
+    n = distances.select("a").distinct().count()
+    if n > samples:
+        raise ValueError(f"{n} samples: a tree is drawn of {samples} at most")
     rows = distances.toPandas()
     wide = rows.pivot(index="a", columns="b", values="distance").sort_index().sort_index(axis=1)
     return neighbour_joining([str(x) for x in wide.index], wide.to_numpy())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from locusflow.functions.sequence import is_present, mask_cell, sequence_hash
 from locusflow.operators.numbering import with_row_number
+from locusflow.runtime import bounded
 
 
 def masked(profiles: DataFrame, missing: str = "0") -> DataFrame:
@@ -66,7 +67,7 @@ def core_curves(present: DataFrame, thresholds: tuple[float, ...], step: int = 1
 def complete(profiles: DataFrame, missing: str = "LNF") -> DataFrame:
     """``profiles`` with a row for every sample and locus, by a join of the two short lists."""
     samples, loci = profiles.select("FILE").distinct(), profiles.select("locus").distinct()
-    return samples.join(F.broadcast(loci)).join(profiles, ["FILE", "locus"], "left").withColumn("cell", F.coalesce("cell", F.lit(missing)))
+    return samples.join(bounded(loci)).join(profiles, ["FILE", "locus"], "left").withColumn("cell", F.coalesce("cell", F.lit(missing)))
 
 
 def distances(profiles: DataFrame, symmetric: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from locusflow.config import Config
 from locusflow.functions.sequence import ID_REPLACEMENTS, replace_in_order, sequence_hash
 from locusflow.functions.translate import translated
 from locusflow.operators import classify, cluster, dedup, matching
-from locusflow.runtime import Stage
+from locusflow.runtime import Stage, bounded
 
 
 @dataclass
@@ -110,9 +110,9 @@ class AlleleCaller:
         return found
 
     def _new_representatives(self, fresh: DataFrame) -> DataFrame:
-        a = fresh.select("locus", F.col("id").alias("query"), F.col("seq").alias("query_seq"))
-        b = fresh.select("locus", F.col("id").alias("target"), F.col("seq").alias("target_seq"))
-        hits = matching.align_pairs(a.join(b, "locus")).withColumn("q_len", F.length("query_seq"))
+        """Candidates of a locus meet those with which they share a minimizer, and themselves."""
+        pairs = cluster.near_pairs(fresh.select(F.col("locus").alias("group"), F.col("id").alias("seqid"), "seq"), 0.0)
+        hits = matching.align_pairs(pairs.withColumnRenamed("group", "locus")).withColumn("q_len", F.length("query_seq"))
         kept = cluster.select_representatives(hits, fresh.select("locus", F.col("id").alias("seqid")), self.config.bsr)
         return kept.select("locus", F.col("seqid").alias("id")).join(fresh, ["locus", "id"])
 
@@ -127,7 +127,7 @@ class AlleleCaller:
         missing = "LNF" if self.mode == 4 else classify.PROBABLE_LNF
         cell = F.coalesce(ids.cell, cells["class"], F.lit(missing))
         profiles = (
-            genomes.join(F.broadcast(wanted)).join(cells.drop("dna_hash", "n"), ["locus", "genome_ord"], "left").join(ids.select("locus", "genome_ord", "cell"), ["locus", "genome_ord"], "left")
+            genomes.join(bounded(wanted)).join(cells.drop("dna_hash", "n"), ["locus", "genome_ord"], "left").join(ids.select("locus", "genome_ord", "cell"), ["locus", "genome_ord"], "left")
             .select("FILE", "genome_ord", "locus", "locus_ord", cell.alias("cell"))
         )
         novel = ids.where(F.col("cell").startswith("INF-")).join(dedup.distinct_dna(cds).select("dna_hash", "dna"), "dna_hash")
@@ -160,16 +160,12 @@ def create_catalogue(cds: DataFrame, config: Config = Config()) -> DataFrame:
     within = cluster.prune_within(kept, seqs, config.intra_filter)
     kept = stage.write(kept.join(within, ["representative", "member"], "left_anti"), "pruned")
     lengths = prot.select("seqid", F.length("protein").alias("length"))
-    members = kept.select(F.col("representative").alias("cluster"), F.col("member").alias("seqid")).join(seqs, "seqid")
-    a = members.select("cluster", F.col("seqid").alias("query"), F.col("seq").alias("query_seq"))
-    b = members.select("cluster", F.col("seqid").alias("target"), F.col("seq").alias("target_seq"))
-    first = stage.write(cluster.eliminate_by_bsr(matching.align_pairs(a.join(b, "cluster")), lengths, config.bsr), "first")
+    members = kept.select(F.col("representative").alias("group"), F.col("member").alias("seqid")).join(seqs, "seqid")
+    pairs = cluster.near_pairs(members, 0.0).withColumnRenamed("group", "cluster")
+    first = stage.write(cluster.eliminate_by_bsr(matching.align_pairs(pairs), lengths, config.bsr), "first")
     gone = near.unionAll(within.select(F.col("member").alias("seqid"))).unionAll(first.select("seqid")).distinct()
     left = stage.write(seqs.join(gone, "seqid", "left_anti"), "survivors")
-    pairs = matching.shared_minimizers(left.select(F.col("seqid").alias("id"), "seq"), left.select(F.col("seqid").alias("id"), "seq"), 0.1, 500)
-    pairs = pairs.join(left.select(F.col("seqid").alias("query"), F.col("seq").alias("query_seq")), "query").join(left.select(F.col("seqid").alias("reference"), F.col("seq").alias("target_seq")), "reference")
-    hits = matching.align_pairs(pairs.select(F.lit("all").alias("cluster"), "query", "query_seq", F.col("reference").alias("target"), "target_seq"))
-    last = cluster.eliminate_by_bsr(hits, lengths, config.bsr)
+    last = cluster.eliminate_near(left, lengths, 0.1, config.bsr, stage)
     out = left.join(last.select("seqid"), "seqid", "left_anti").join(prot.select("seqid", "dna", "protein"), "seqid")
     return out.select(replace_in_order("seqid", ID_REPLACEMENTS).alias("locus"), "dna", "protein")
 

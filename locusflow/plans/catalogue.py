@@ -11,6 +11,7 @@ from locusflow.functions import sequence as S
 from locusflow.functions.translate import codons, translate_native, translated
 from locusflow.operators import annotate, classify, cluster, dedup, evaluate, matching, profiles, store
 from locusflow.plans import derived as D
+from locusflow.runtime import Stage, bounded
 from locusflow.sources import fasta, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -346,7 +347,7 @@ def paralog_groups(spark, d):
 
 
 @query(
-    "WITH r AS (SELECT DISTINCT c_mktsegment AS locus, c_custkey AS genome_ord, CASE WHEN c_custkey % 4 = 0 THEN 'INF' ELSE 'EXC' END AS class, CAST(c_nationkey AS VARCHAR) AS dna_hash FROM customer), k AS (SELECT CAST(c_nationkey AS VARCHAR) AS dna_hash, CAST(c_nationkey + 1 AS VARCHAR) AS id FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey % 3 = 0)), "
+    "WITH r AS (SELECT DISTINCT c_mktsegment AS locus, c_custkey AS genome_ord, CASE WHEN c_custkey % 4 = 0 THEN 'INF' ELSE 'EXC' END AS class, CAST(c_nationkey AS VARCHAR) AS dna_hash FROM customer), k AS (SELECT CAST(c_nationkey AS VARCHAR) AS dna_hash, CAST(c_nationkey + 1 AS VARCHAR) AS id FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 3000))), "
     "f AS (SELECT r.*, k.id AS known, row_number() OVER (PARTITION BY locus, r.dna_hash ORDER BY CASE WHEN class = 'INF' THEN 0 ELSE 1 END, genome_ord) AS nth FROM r LEFT JOIN k ON k.dna_hash = r.dna_hash), "
     "nw AS (SELECT locus, dna_hash, row_number() OVER (PARTITION BY locus ORDER BY CASE WHEN class = 'INF' THEN 0 ELSE 1 END, genome_ord) + (SELECT max(CAST(id AS INT)) FROM k) AS new_id FROM f WHERE known IS NULL AND nth = 1) "
     "SELECT f.locus, genome_ord, f.dna_hash, CASE WHEN known IS NULL AND nth = 1 THEN 'INF' ELSE class END AS class, coalesce(known, CASE WHEN nth = 1 THEN 'INF-' ELSE '' END || new_id) AS cell FROM f LEFT JOIN nw ON nw.locus = f.locus AND nw.dna_hash = f.dna_hash"
@@ -354,7 +355,8 @@ def paralog_groups(spark, d):
 def assign_ids(spark, d):
     c = D.table(spark, d, "customer")
     rows = c.select(F.col("c_mktsegment").alias("locus"), F.col("c_custkey").alias("genome_ord"), F.when(F.col("c_custkey") % 4 == 0, "INF").otherwise("EXC").alias("class"), F.col("c_nationkey").cast("string").alias("dna_hash"))
-    known = c.where("c_nationkey % 3 = 0").select("c_nationkey").distinct().join(F.broadcast(c.select(F.col("c_mktsegment").alias("locus")).distinct()))
+    seen = D.table(spark, d, "supplier").where("s_acctbal < 3000").select(F.col("s_nationkey").alias("c_nationkey"))
+    known = c.select("c_nationkey").distinct().join(seen, "c_nationkey", "left_semi").join(bounded(c.select(F.col("c_mktsegment").alias("locus")).distinct()))
     alleles = known.select("locus", F.col("c_nationkey").cast("string").alias("dna_hash"), (F.col("c_nationkey") + 1).cast("string").alias("allele_id"), F.col("c_nationkey").alias("allele_ord"))
     return classify.assign_ids(rows, alleles)
 
@@ -423,17 +425,18 @@ def summary_stats(spark, d):
 
 # Stores, merges, annotations.
 @query(
-    "WITH l AS (SELECT c_mktsegment AS locus, c_name AS dna, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS VARCHAR) AS id, c_custkey % 3 = 0 AS novel FROM customer WHERE c_custkey % 5 <> 0), r AS (SELECT c_mktsegment AS locus, c_name AS dna, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS VARCHAR) AS id FROM customer WHERE c_custkey % 2 = 0), "
+    "WITH l AS (SELECT c_mktsegment AS locus, c_name AS dna, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS VARCHAR) AS id, c_custkey % 3 = 0 AS novel FROM customer), r AS (SELECT c_mktsegment AS locus, CASE WHEN c_acctbal < 3000 THEN c_name || '-r' ELSE c_name END AS dna, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS VARCHAR) AS id FROM customer), "
     "b AS (SELECT coalesce(l.locus, r.locus) AS locus, coalesce(l.dna, r.dna) AS dna, l.id AS old_id, r.id AS remote_id, novel, CASE WHEN r.id IS NOT NULL THEN r.id WHEN NOT novel THEN l.id END AS fixed FROM l FULL JOIN r ON l.locus = r.locus AND l.dna = r.dna) "
     "SELECT locus, dna, coalesce(fixed, CAST(max(CAST(fixed AS INT)) OVER (PARTITION BY locus) + row_number() OVER (PARTITION BY locus, fixed IS NULL ORDER BY CAST(old_id AS INT)) AS VARCHAR)) AS allele_id, fixed IS NULL AS is_local, old_id, CASE WHEN old_id IS NULL THEN 'added' WHEN remote_id IS NULL AND novel THEN 'renumbered' WHEN remote_id IS NULL THEN 'kept' WHEN remote_id <> old_id THEN 'switched' ELSE 'same' END AS status FROM b"
 )
 def sync_merge(spark, d):
     from pyspark.sql import Window
 
-    c = D.table(spark, d, "customer").select(F.col("c_mktsegment").alias("locus"), F.col("c_name").alias("dna"), "c_custkey")
-    number = F.row_number().over(Window.partitionBy("locus").orderBy("c_custkey")).cast("string")
-    local = c.where("c_custkey % 5 <> 0").select("locus", number.alias("allele_id"), (F.col("c_custkey") % 3 == 0).alias("is_local"), "dna")
-    remote = c.where("c_custkey % 2 = 0").select("locus", number.alias("allele_id"), F.lit(False).alias("is_local"), "dna")
+    c = D.table(spark, d, "customer").select(F.col("c_mktsegment").alias("locus"), F.col("c_name").alias("dna"), "c_custkey", "c_acctbal")
+    number = lambda *order: F.row_number().over(Window.partitionBy("locus").orderBy(*order)).cast("string")
+    local = c.select("locus", number("c_custkey").alias("allele_id"), (F.col("c_custkey") % 3 == 0).alias("is_local"), "dna")
+    changed = F.when(F.col("c_acctbal") < 3000, F.concat("dna", F.lit("-r"))).otherwise(F.col("dna"))
+    remote = c.select("locus", number("c_acctbal", "c_custkey").alias("allele_id"), F.lit(False).alias("is_local"), changed.alias("dna"))
     return store.synchronise(local, remote)
 
 
@@ -518,17 +521,18 @@ def surrogate_numbers(spark, d):
     return fasta.numbered(D.table(spark, d, "part").select("p_name").distinct(), "p_name")
 
 
-@query(f"WITH {_LI}, a AS (SELECT DISTINCT locus, CAST(n AS VARCHAR) AS allele_id, 'ACGT' || locus || '-' || n AS dna FROM prof WHERE n % 2 = 0) SELECT FILE, p.locus, a.dna FROM p JOIN a ON a.locus = p.locus AND a.allele_id = regexp_replace(replace(cell, 'INF-', ''), '[*]', '')")
+@query(f"WITH {_LI}, a AS (SELECT DISTINCT locus, CAST(n AS VARCHAR) AS allele_id, 'ACGT' || locus || '-' || n AS dna FROM prof WHERE n > 10) SELECT FILE, p.locus, a.dna FROM p JOIN a ON a.locus = p.locus AND a.allele_id = regexp_replace(replace(cell, 'INF-', ''), '[*]', '')")
 def allele_sequences(spark, d):
     g = D.table(spark, d, "lineitem").groupBy(F.col("l_suppkey"), (F.col("l_partkey") % 50).alias("locus")).agg(F.count("*").alias("n"))
-    alleles = g.where("n % 2 = 0").select("locus", F.col("n").cast("string").alias("allele_id"), F.concat(F.lit("ACGT"), "locus", F.lit("-"), "n").alias("dna")).distinct()
+    alleles = g.where("n > 10").select("locus", F.col("n").cast("string").alias("allele_id"), F.concat(F.lit("ACGT"), "locus", F.lit("-"), "n").alias("dna")).distinct()
     return profiles.allele_sequences(D.lineitem_profiles(spark, d), alleles)[0].select("FILE", "locus", "dna")
 
 
-@query(f"WITH {_EV}, q AS (SELECT FILE, locus, replace(cell, 'INF-', '') AS cell FROM p WHERE cell <> 'LNF'), s AS (SELECT FILE, sha256('{{' || string_agg('\"' || locus || '\":\"' || cell || '\"', ',' ORDER BY locus) || '}}') AS profile_id FROM q GROUP BY FILE) SELECT profile_id FROM s GROUP BY profile_id HAVING max(FILE % 3) > 0 AND min(FILE % 3) > 0")
+@query(f"WITH {_EV}, q AS (SELECT FILE, locus, replace(cell, 'INF-', '') AS cell FROM p WHERE cell <> 'LNF'), s AS (SELECT FILE, sha256('{{' || string_agg('\"' || locus || '\":\"' || cell || '\"', ',' ORDER BY locus) || '}}') AS profile_id FROM q GROUP BY FILE) SELECT DISTINCT profile_id FROM s WHERE profile_id NOT IN (SELECT profile_id FROM s WHERE FILE IN (SELECT c_custkey FROM customer WHERE c_acctbal < 3000))")
 def insert_new_profiles(spark, d):
     stored = store.profile_json(D.event_profiles(spark, d))
-    return store.insert_new(stored.where("FILE % 3 = 0"), stored).select("profile_id")
+    known = D.table(spark, d, "customer").where("c_acctbal < 3000").select(F.col("c_custkey").alias("FILE"))
+    return store.insert_new(stored.join(known, "FILE", "left_semi"), stored).select("profile_id")
 
 
 @query(f"WITH {_EV}, q AS (SELECT FILE, locus, CASE WHEN locus = 'click' AND replace(cell, 'INF-', '') = '4' THEN '99' ELSE replace(cell, 'INF-', '') END AS cell FROM p WHERE cell <> 'LNF') SELECT FILE, '{{' || string_agg('\"' || locus || '\":\"' || cell || '\"', ',' ORDER BY locus) || '}}' AS profile FROM q GROUP BY FILE")
@@ -558,32 +562,21 @@ def core_profiles(spark, d):
 
 
 # Beyond SQL: folds and alignment, held against plain versions in the tests.
-def _item_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every two items that share a tenth of the minimizers of the first, and every item that has text with itself."""
-    items = D.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.upper("text").alias("seq"))
-    own = items.where("seq <> ''").select(F.col("id").alias("query"), F.col("id").alias("reference"))
-    near = matching.shared_minimizers(items, items, 0.1, None).select("query", "reference").unionAll(own).distinct()
-    return near.join(items.select(F.col("id").alias("query"), F.col("seq").alias("query_seq")), "query").join(items.select(F.col("id").alias("reference"), F.col("seq").alias("target_seq")), "reference")
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return D.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("seqid"), F.upper("text").alias("seq"))
 
 
 @query()
 def smith_waterman(spark, d):
-    pairs = _item_pairs(spark, d).select("query", "query_seq", F.col("reference").alias("target"), "target_seq")
+    """Every two items that share a tenth of the minimizers of the first, and every item that has text with itself."""
+    pairs = cluster.near_pairs(_items(spark, d).withColumn("group", F.lit(0)), 0.1)
     return matching.align_pairs(pairs.repartition("query", "target")).select("query", "target", "score", "qstart", "qend")
 
 
 @query()
 def bsr_eliminate(spark, d):
-    from locusflow.llm.graph import components
-    from locusflow.llm.shared import Scratch
-
-    scratch = Scratch(spark, "bsr_eliminate")
-    pairs = scratch.write(_item_pairs(spark, d).select("query", "query_seq", F.col("reference").alias("target"), "target_seq"), "pairs")
-    links = components(pairs.select(F.col("query").cast("long").alias("u"), F.col("target").cast("long").alias("v")), scratch)
-    roots = links.select(F.col("node").cast("string").alias("query"), F.col("root").cast("string").alias("root"))
-    pairs = pairs.join(roots, "query", "left").select(F.coalesce("root", "query").alias("cluster"), "query", "query_seq", "target", "target_seq").repartition("query", "target")
-    lengths = D.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("seqid"), F.length("text").alias("length"))
-    return cluster.eliminate_by_bsr(matching.align_pairs(pairs), lengths, 0.6)
+    items = _items(spark, d)
+    return cluster.eliminate_near(items, items.select("seqid", F.length("seq").alias("length")), 0.1, 0.6, Stage(spark))
 
 
 @query()

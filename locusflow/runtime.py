@@ -9,10 +9,12 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -38,6 +40,40 @@ def map_arrow(df: DataFrame, function: Callable, schema: object) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def fold_sorted(df: DataFrame, by: str, order: list, start: Callable, schema: str) -> DataFrame:
+    """What a fold over the rows of each ``by``, in the order of ``order``, gives: for folds that no window expresses.
+
+    Spark sorts, spilling as it must, and the rows stream through: a task holds one key's state, never its rows.
+    ``start()`` makes a state; its ``step(row)`` and ``end()`` give lists of tuples of ``schema``.
+    """
+    ship(df.sparkSession)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, key = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.itertuples(index=False):
+                if state is None or getattr(row, by) != key:
+                    out += state.end() if state else []
+                    state, key = start(), getattr(row, by)
+                out += state.step(row)
+            yield pd.DataFrame(out, columns=names, dtype=object)
+        if state:
+            yield pd.DataFrame(state.end(), columns=names, dtype=object)
+
+    return df.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
+
+
+#: Rows up to which a table is sent to every executor; a larger one is joined without a hint.
+BROADCAST_ROWS = 100_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table with a broadcast hint if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a path of any file system that Spark reaches."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -69,3 +105,8 @@ class Stage:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            delete(self.spark, f"{self.root}/{name}")
