@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from locusflow.functions import sequence as S
 from locusflow.functions.translate import codons, translate_native, translated
 from locusflow.operators import annotate, classify, cluster, dedup, evaluate, matching, profiles, store
+from locusflow.plans import calling
 from locusflow.plans import derived as D
 from locusflow.runtime import Stage, bounded
 from locusflow.sources import fasta, sinks
+from locusflow.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -561,6 +563,80 @@ def core_profiles(spark, d):
     return profiles.masked(p.join(profiles.core_loci(profiles.presence(p), 0.95), "locus", "left_semi")).select("FILE", "locus", "cell")
 
 
+# Sources and scalars.
+@query("SELECT source, count(*) AS records, min(length(text)) AS min_length, max(length(text)) AS max_length, avg(length(text)) AS mean_length FROM documents GROUP BY source")
+def fasta_statistics(spark, d):
+    return fasta.statistics(D.table(spark, d, "documents").select("source", F.col("text").alias("seq")))
+
+
+@query("SELECT event_id, split_part(event_type, '.', 1) || '-protein' || row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seqid FROM events")
+def cds_names(spark, d):
+    records = D.table(spark, d, "events").select(F.concat(F.lit("/genomes/"), "event_type", F.lit(".contigs.fasta")).alias("source"), F.col("event_id").alias("rec_ord"), F.lit("x").alias("seqid"), "event_id")
+    return fasta.rename_cds(records).select("event_id", "seqid")
+
+
+@query("SELECT page_id, regexp_replace(split_part(url, '/', -1), '[.][^.]*$', '') AS base, split_part(split_part(url, '/', -1), '.', 1) AS genome, contains(url, 'page') OR contains(url, 'ref') AS some, regexp_extract(url, '[0-9]+', 0) AS number FROM pages")
+def identifier_parts(spark, d):
+    return D.table(spark, d, "pages").select("page_id", S.basename("url").alias("base"), S.genome_of("url").alias("genome"), S.contains_any(F.col("url"), ["page", "ref"]).alias("some"), S.first_match("url", "[0-9]+").alias("number"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') = '69' AS outdated FROM events")
+def profile_json(spark, d):
+    k = F.get_json_object("props", "$.k")
+    return D.table(spark, d, "events").select("event_id", k.alias("k"), (k == "69").alias("outdated"))
+
+
+_MESSAGES = "m AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'Extra in frame stop codon found' WHEN 1 THEN 'First codon ''AAA'' is not a start codon' WHEN 2 THEN 'Final codon ''AAA'' is not a stop codon' WHEN 3 THEN 'sequence length is not a multiple of 3' WHEN 4 THEN 'ambiguous or invalid characters' ELSE 'other' END || ', ' || p_name AS message FROM part)"
+
+
+@query(f"WITH {_MESSAGES} SELECT p_partkey, CASE WHEN message LIKE 'Extra%' THEN 'In-frame Stop Codon' WHEN message LIKE 'First%' THEN 'Missing Start Codon' WHEN message LIKE 'Final%' THEN 'Missing Stop Codon' WHEN message LIKE 'sequence%' THEN 'Incomplete ORF' WHEN message LIKE 'ambiguous%' THEN 'Ambiguous Bases' END AS category FROM m")
+def error_categories(spark, d):
+    heads = ["Extra in frame stop codon found", "First codon 'AAA' is not a start codon", "Final codon 'AAA' is not a stop codon", "sequence length is not a multiple of 3", "ambiguous or invalid characters", "other"]
+    message = F.concat(F.element_at(F.array(*map(F.lit, heads)), F.col("p_size") % 6 + 1), F.lit(", "), "p_name")
+    return D.table(spark, d, "part").select("p_partkey", S.error_category(message).alias("category"))
+
+
+# Whole runs: calling, building and adapting.
+_ORDER_DNA = f"'ATG' || substr({D.BASES.format('o_orderpriority || o_orderstatus')}, 1, 30) || 'TAA'"
+
+
+@query(
+    "WITH g AS (SELECT DISTINCT o_custkey AS f FROM orders), l AS (SELECT DISTINCT o_orderpriority AS locus FROM orders WHERE o_orderstatus IN ('F', 'O')), m AS (SELECT o_custkey AS f, o_orderpriority AS locus, count(*) AS n, min(o_orderstatus) AS s FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2) "
+    "SELECT CAST(f AS VARCHAR) AS FILE, locus, CASE WHEN n = 1 THEN CASE s WHEN 'F' THEN '1' ELSE '2' END WHEN n > 1 THEN 'NIPHEM' ELSE 'PLNF' END AS cell FROM g CROSS JOIN l LEFT JOIN m USING (f, locus)"
+)
+def exact_calls(spark, d):
+    calls = calling.AlleleCaller(D.order_alleles(spark, d), mode=1).run(D.order_cds(spark, d).drop("o_orderpriority", "o_orderstatus"))
+    return calls.profiles.select("FILE", "locus", "cell")
+
+
+@query(f"SELECT CAST(o_custkey AS VARCHAR) AS genome, CAST(o_orderkey AS INT) AS protid, o_orderpriority AS locus, CASE o_orderstatus WHEN 'F' THEN '1' ELSE '2' END AS allele_id, sha256({_ORDER_DNA}) AS dna_hash FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def incremental_calls(spark, d):
+    """A stream of files with coding sequences, called as they come; what is there is read and the stream ends."""
+    stage = Stage(spark)
+    stage.write(D.order_cds(spark, d).select("genome", "genome_ord", "protid", "dna"), "arrived")
+    out = f"{stage.root}/calls"
+    incremental.call_incrementally(incremental.read_cds_stream(spark, f"{stage.root}/arrived"), D.order_alleles(spark, d), out, f"{stage.root}/state").awaitTermination()
+    return spark.read.parquet(out).select("genome", "protid", "locus", "allele_id", "dna_hash")
+
+
+@query()
+def all_calls(spark, d):
+    """Mode 4 with the first variant of each gene known: the others are found by protein, cluster and representative."""
+    alleles = D.supplier_alleles(spark, d).where("allele_ord = 1")
+    calls = calling.AlleleCaller(alleles, mode=4).run(D.supplier_genes(spark, d).select("genome", "genome_ord", "protid", "dna"))
+    return calls.profiles.select("FILE", "locus", "cell")
+
+
+@query()
+def created_catalogue(spark, d):
+    return calling.create_catalogue(D.supplier_genes(spark, d).select("genome", "genome_ord", "protid", "seqid", "dna"))
+
+
+@query(f"WITH {D.GENES} SELECT locus, count(DISTINCT dna) AS total_alleles, count(DISTINCT dna) AS valid_alleles, 1 AS number_representatives FROM genes GROUP BY locus")
+def adapted_catalogue(spark, d):
+    return calling.adapt_catalogue(D.supplier_alleles(spark, d))["summary"]
+
+
 # Beyond SQL: folds and alignment, held against plain versions in the tests.
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return D.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("seqid"), F.upper("text").alias("seq"))

@@ -63,3 +63,47 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").alias("query"), F.col("l_partkey").alias("target"), (F.col("l_partkey") % 50).alias("locus"), F.col("l_extendedprice").alias("score"),
         F.col("l_orderkey").alias("rep_ord"), F.col("l_linenumber").alias("line"), F.lit(1).alias("qstart"), F.col("l_quantity").cast("int").alias("qend"), F.col("l_quantity").cast("int").alias("slen"),
     )
+
+
+def order_cds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as coding sequences: a customer is a genome; priority and status make the sequence."""
+    dna = F.concat(F.lit("ATG"), F.substring(bases(F.concat("o_orderpriority", "o_orderstatus")), 1, 30), F.lit("TAA"))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("genome"), F.col("o_custkey").cast("int").alias("genome_ord"), F.col("o_orderkey").cast("int").alias("protid"), dna.alias("dna"), "o_orderpriority", "o_orderstatus"
+    )
+
+
+def order_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue for them: a priority is a locus, the statuses F and O are its alleles; P is not known."""
+    known = order_cds(spark, sf_dir).where("o_orderstatus in ('F', 'O')").select("o_orderpriority", "o_orderstatus", "dna").distinct()
+    place = F.when(F.col("o_orderstatus") == "F", 1).otherwise(2)
+    return known.select(
+        F.col("o_orderpriority").alias("locus"), F.substring("o_orderpriority", 1, 1).cast("int").alias("locus_idx"), place.alias("allele_ord"), place.cast("string").alias("allele_id"), F.lit(False).alias("is_local"), "dna"
+    )
+
+
+def supplier_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as genes without stops in frame: those of a nation are variants of one; five to a genome."""
+    coding = lambda text: F.translate(F.upper(F.sha2(text.cast("binary"), 256)), "0123456789ABCDEF", "ACGCAGGCCAGAGCCA")
+    family = F.substring(F.concat(*[coding(F.concat("s_nationkey", F.lit(f"-{k}"))) for k in range(4)]), 1, 255)
+    variant = F.overlay(family, F.element_at(F.array(F.lit("GCC"), F.lit("ACC"), F.lit("CAC"), F.lit("GAC")), (F.col("s_suppkey") % 4 + 1).cast("int")), (F.col("s_suppkey") % 60 * 3 + 10).cast("int"))
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("g"), F.floor(F.col("s_suppkey") / 5)).alias("genome"), F.floor(F.col("s_suppkey") / 5).cast("int").alias("genome_ord"), F.col("s_suppkey").cast("int").alias("protid"),
+        F.concat(F.lit("g"), F.floor(F.col("s_suppkey") / 5), F.lit("-protein"), "s_suppkey").alias("seqid"),
+        F.concat(F.lit("n"), "s_nationkey").alias("locus"), F.col("s_nationkey").alias("locus_idx"), F.concat(F.lit("ATG"), variant, F.lit("TAA")).alias("dna"),
+    )
+
+
+_FAMILY = "substr(" + " || ".join(f"translate(upper(sha256(s_nationkey || '-{k}')), '0123456789ABCDEF', 'ACGCAGGCCAGAGCCA')" for k in range(4)) + ", 1, 255)"
+GENES = f"""genes AS (
+  SELECT 'n' || s_nationkey AS locus, 'ATG' || substr(f, 1, pos - 1) || v || substr(f, pos + 3) || 'TAA' AS dna FROM (
+    SELECT s_nationkey, {_FAMILY} AS f, s_suppkey % 60 * 3 + 10 AS pos, ['GCC', 'ACC', 'CAC', 'GAC'][s_suppkey % 4 + 1] AS v FROM supplier))"""
+
+
+def supplier_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Their catalogue: all variants of a nation's gene, in the order of their first supplier."""
+    from pyspark.sql import Window
+
+    first = supplier_genes(spark, sf_dir).groupBy("locus", "locus_idx", "dna").agg(F.min("protid").alias("first"))
+    place = F.row_number().over(Window.partitionBy("locus").orderBy("first"))
+    return first.select("locus", "locus_idx", place.alias("allele_ord"), place.cast("string").alias("allele_id"), F.lit(False).alias("is_local"), "dna")

@@ -114,3 +114,27 @@ def test_item_pairs_have_no_rank_cut(spark, tmp_path):
     assert len(out) == 7
     rows = catalogue.queries()["bsr_eliminate"](spark, str(tmp_path)).collect()
     assert sorted((r["cluster"], r["seqid"]) for r in rows) == sorted(("0", x) for x in out)
+
+
+def test_whole_runs_by_hand(spark, duck):
+    """Every nation's gene is called in every genome, and makes one locus of a catalogue built from the genomes."""
+    from locusflow.plans import derived as D
+
+    rows = duck.sql(f"WITH {D.GENES}, s AS (SELECT *, row_number() OVER () AS r FROM supplier), g AS (SELECT *, row_number() OVER () AS r FROM genes) SELECT s_suppkey, locus, dna FROM s JOIN g USING (r)").fetchall()
+    first, per = {}, {}
+    for k, locus, dna in sorted(rows):
+        first.setdefault(locus, dna)
+        per.setdefault((f"g{k // 5}", locus), []).append(dna)
+    got = {(r["FILE"], r["locus"]): r["cell"] for r in catalogue.queries()["all_calls"](spark, SF).collect()}
+    assert set(got) == {(f"g{k // 5}", locus) for k, _, _ in rows for locus in first}
+    for cell, name in got.items():
+        mine = per.get(cell, [])
+        if not mine:
+            assert name == "LNF"
+        elif len(mine) > 1:
+            assert name == ("NIPHEM" if set(mine) == {first[cell[1]]} else name) and name in ("NIPH", "NIPHEM")
+        else:
+            assert name == "1" if mine[0] == first[cell[1]] else name.removeprefix("INF-").isdigit()
+    made = [r["locus"] for r in catalogue.queries()["created_catalogue"](spark, SF).collect()]
+    nation = {f"g{k // 5}-protein{k}": locus for k, locus, _ in rows}
+    assert sorted(nation[m] for m in made) == sorted(first)
