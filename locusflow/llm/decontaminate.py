@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm.shared import Scratch, row_key, table
+from locusflow.llm.shared import Scratch, documents, row_key, table
 
 WINDOW = 5
 CONTAINMENT = 0.8
@@ -223,4 +223,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, occurrences: bool = True) -> Da
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm.shared import batches_with, residue, str_cells, table
+from locusflow.llm.shared import batches_with, documents, residue, str_cells
 from locusflow.runtime import map_arrow
 
 DIMS = 1 << 14
@@ -183,7 +183,7 @@ def held_out(doc_id="doc_id"):
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = fit(docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang"))
     found = identify(docs, model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

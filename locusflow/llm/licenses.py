@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm.shared import Scratch, table
+from locusflow.llm.shared import Scratch, documents
 
 SHINGLE = 5
 BANDS, BAND_ROWS = 24, 1
@@ -132,7 +132,7 @@ def scan(docs: DataFrame, notices=NOTICES, containment: float = CONTAINMENT) ->
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(documents(spark, sf_dir))
 
 
 def _quoted(text: str) -> str:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusflow.llm.shared import SPACE_CLASS, Scratch, table
+from locusflow.llm.shared import SPACE_CLASS, Scratch, documents
 
 #: Fixed values of the mix: the weights of the sources in their order, repeated; share of all words; epochs at most.
 WEIGHTS = (5, 2, 1)
@@ -130,7 +130,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, range_rows: int = R
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP3_SQL = r"""

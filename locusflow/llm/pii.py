@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm.shared import batches_with, str_cells, table
+from locusflow.llm.shared import batches_with, documents, str_cells
 from locusflow.runtime import map_arrow
 
 #: The base kinds in their order, and the further kinds after them.
@@ -210,4 +210,4 @@ def mask_pii(docs: DataFrame) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_pii(table(spark, sf_dir, "documents"))
+    return find_pii(documents(spark, sf_dir))

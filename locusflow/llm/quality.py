@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm.shared import batches_with, residue, table, utf8_cells, word_pieces
+from locusflow.llm.shared import batches_with, documents, residue, table, utf8_cells, word_pieces
 from locusflow.runtime import map_arrow
 
 THRESHOLD = 0.3
@@ -192,7 +192,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     held = F.coalesce(residue(F.col("doc_id"), FOLDS) == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

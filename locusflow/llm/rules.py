@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm.shared import table, words_of
+from locusflow.llm.shared import documents, words_of
 
 MIN_WORDS = 20
 WINDOW = 8
@@ -93,7 +93,8 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[], Column]] = RULES, sampl
     some = docs.sparkSession.read.parquet(*files) if files and files[0].endswith(".parquet") else docs
     some = some if {"doc_id", "text"} <= set(some.columns) else docs
     every = max(1, some.count() // sample_rows)
-    sample = base_measures(some.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).cache()
+    chosen = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id", "text")
+    sample = base_measures(chosen.repartition(docs.sparkSession.sparkContext.defaultParallelism)).cache()
     order = ordered_rules(sample, rules)
     sample.unpersist()
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words"))
@@ -109,7 +110,7 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[], Column]] = RULES, sampl
 
 
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = judge(table(spark, sf_dir, "documents"))
+    judged = judge(documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

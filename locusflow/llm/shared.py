@@ -56,6 +56,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows up to which a table of fewer files than there are cores is dealt anew.
+SPREAD_ROWS = 200_000
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over all cores: a small table of few files would be read by as few tasks.
+
+    Only small tables are dealt anew, so that it costs one small shuffle; large ones come in files and parts enough.
+    """
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    if len(docs.inputFiles()) >= cores or docs.limit(SPREAD_ROWS + 1).count() > SPREAD_ROWS:
+        return docs
+    return docs.repartition(2 * cores)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, native; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != F.lit(""))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.operators.components import components
-from locusflow.llm.shared import Scratch, batches_with, row_key, utf8_cells, word_pieces
+from locusflow.llm.shared import Scratch, batches_with, documents, row_key, utf8_cells, word_pieces
 from locusflow.runtime import map_arrow
 
 SHINGLE = 4
@@ -241,7 +241,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from locusflow.llm.shared import table
-
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", hex_of().alias("fingerprint"), "component_id")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm.shared import Scratch, batches_with, table, utf8_cells
+from locusflow.llm.shared import Scratch, batches_with, documents, utf8_cells
 from locusflow.runtime import map_arrow
 
 LENGTH = 200
@@ -348,4 +348,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kind
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(documents(spark, sf_dir)).drop("kept")

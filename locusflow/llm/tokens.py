@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm.shared import batches_with, str_cells, table
+from locusflow.llm.shared import batches_with, documents, str_cells
 from locusflow.runtime import map_arrow
 
 LIMIT = 1024
@@ -161,4 +161,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
