@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from locusflow.llm import decontaminate, mixing, pii, quality, simhash
-from locusflow.llm.shared import Scratch, table
+from locusflow.llm.shared import Scratch, documents, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    docs, scratch = documents(spark, sf_dir), Scratch(spark, "pipeline")
     for name, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
     return docs
