@@ -9,21 +9,27 @@ from locusflow.functions.sequence import sequence_hash
 
 
 def distinct_dna(cds: DataFrame) -> DataFrame:
-    """(dna_hash, dna, rep, genomes, n): distinct upper-cased sequences of ``cds`` (genome, genome_ord, protid, dna).
+    """(dna_hash, dna, rep, n): distinct upper-cased sequences of ``cds`` (genome, genome_ord, protid, dna).
 
-    ``rep`` is the first occurrence; ``genomes`` are the ordinals of all, repeats included, sorted.
+    ``rep`` is the first occurrence.  The others stay rows of their own, see occurrences(): a sequence that all genomes
+    have is never one row with all of them.
     """
     upper = cds.withColumn("dna", F.upper("dna")).withColumn("dna_hash", sequence_hash("dna"))
     first = F.struct("genome_ord", "protid", "genome")
     return upper.groupBy("dna_hash").agg(
-        F.first("dna").alias("dna"), F.min(first).alias("rep"), F.array_sort(F.collect_list("genome_ord")).alias("genomes"), F.count("*").alias("n")
+        F.first("dna").alias("dna"), F.min(first).alias("rep"), F.count("*").alias("n")
     )
 
 
+def occurrences(cds: DataFrame) -> DataFrame:
+    """(dna_hash, genome_ord, ord) of every coding sequence; ``ord`` is its place in the genome."""
+    return cds.select(sequence_hash(F.upper("dna")).alias("dna_hash"), "genome_ord", F.col("protid").cast("int").alias("ord"))
+
+
 def distinct_proteins(distinct: DataFrame) -> DataFrame:
-    """(prot_hash, protein, members): distinct proteins of distinct sequences (dna_hash, protein, rep)."""
+    """(prot_hash, protein, rep, n): distinct proteins of distinct sequences (dna_hash, protein, rep), the first and their number."""
     hashed = distinct.withColumn("prot_hash", sequence_hash("protein"))
-    return hashed.groupBy("prot_hash").agg(F.first("protein").alias("protein"), F.array_sort(F.collect_list(F.struct("rep", "dna_hash"))).alias("members"))
+    return hashed.groupBy("prot_hash").agg(F.first("protein").alias("protein"), F.min("rep").alias("rep"), F.count("*").alias("n"))
 
 
 def duplicate_groups(seqs: DataFrame, key: str = "seqid", value: str = "seq", order: str = "rec_ord") -> DataFrame:
@@ -37,6 +43,6 @@ def propagate(distinct: DataFrame, cds: DataFrame) -> DataFrame:
     return cds.withColumn("dna_hash", sequence_hash(F.upper("dna"))).join(distinct, "dna_hash")
 
 
-def invalid_counts(invalid: DataFrame, distinct: DataFrame) -> DataFrame:
+def invalid_counts(invalid: DataFrame, occurring: DataFrame) -> DataFrame:
     """(genome_ord, n): occurrences of invalid distinct sequences in each genome."""
-    return distinct.join(invalid.select("dna_hash"), "dna_hash", "left_semi").select(F.explode("genomes").alias("genome_ord")).groupBy("genome_ord").agg(F.count("*").alias("n"))
+    return occurring.join(invalid.select("dna_hash"), "dna_hash", "left_semi").groupBy("genome_ord").agg(F.count("*").alias("n"))

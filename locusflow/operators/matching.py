@@ -16,8 +16,8 @@ def first_locus(alleles: DataFrame, key: str = "dna_hash") -> DataFrame:
     return alleles.groupBy(key).agg(F.min_by("locus", place).alias("locus"), F.min_by("allele_id", place).alias("allele_id"), F.min("locus_idx").alias("locus_idx"))
 
 
-def dna_exact(distinct: DataFrame, alleles: DataFrame, loci: DataFrame | None = None) -> DataFrame:
-    """(locus, genome_ord, ord, allele_id, dna_hash, class, bsr): every genome of a known sequence is EXC.
+def dna_exact(occurring: DataFrame, alleles: DataFrame, loci: DataFrame | None = None) -> DataFrame:
+    """(locus, genome_ord, ord, allele_id, dna_hash, class, bsr): every occurrence (dna_hash, genome_ord, ord) of a known sequence is EXC.
 
     The first locus of a hash is chosen before the restriction to the called ``loci``, so a shared allele whose first
     locus is not called is dropped, not given to another.
@@ -25,27 +25,25 @@ def dna_exact(distinct: DataFrame, alleles: DataFrame, loci: DataFrame | None =
     known = first_locus(alleles)
     if loci is not None:
         known = known.join(loci.select("locus"), "locus", "left_semi")
-    hit = distinct.join(known.select("dna_hash", "locus", "allele_id"), "dna_hash")
-    each = hit.select("locus", "allele_id", "dna_hash", F.posexplode("genomes").alias("ord", "genome_ord"))
-    return each.select("locus", "genome_ord", "ord", "allele_id", "dna_hash", F.lit("EXC").alias("class"), F.lit(1.0).alias("bsr"))
+    hit = occurring.join(known.select("dna_hash", "locus", "allele_id"), "dna_hash")
+    return hit.select("locus", "genome_ord", "ord", "allele_id", "dna_hash", F.lit("EXC").alias("class"), F.lit(1.0).alias("bsr"))
 
 
-def protein_exact(distinct: DataFrame, alleles: DataFrame, loci: DataFrame | None = None) -> DataFrame:
-    """As dna_exact, on prot_hash: the first genome of each distinct sequence is INF, the others EXC."""
+def protein_exact(distinct: DataFrame, occurring: DataFrame, alleles: DataFrame, loci: DataFrame | None = None) -> DataFrame:
+    """As dna_exact, on prot_hash: the first occurrence of each distinct sequence (dna_hash, prot_hash, rep) is INF, the others EXC."""
     known = first_locus(alleles, "prot_hash")
     if loci is not None:
         known = known.join(loci.select("locus"), "locus", "left_semi")
-    hit = distinct.join(known.select("prot_hash", "locus", "allele_id"), "prot_hash")
-    each = hit.select("locus", "allele_id", "dna_hash", F.posexplode("genomes").alias("ord", "genome_ord"))
-    kind = F.when(F.col("ord") == 0, "INF").otherwise("EXC")
-    return each.select("locus", "genome_ord", "ord", "allele_id", "dna_hash", kind.alias("class"), F.lit(1.0).alias("bsr"))
+    hit = distinct.select("dna_hash", "prot_hash", "rep").join(known.select("prot_hash", "locus", "allele_id"), "prot_hash").join(occurring, "dna_hash")
+    first = (F.col("genome_ord") == F.col("rep.genome_ord")) & (F.col("ord") == F.col("rep.protid"))
+    return hit.select("locus", "genome_ord", "ord", "allele_id", "dna_hash", F.when(first, "INF").otherwise("EXC").alias("class"), F.lit(1.0).alias("bsr"))
 
 
-def expand_matches(hits: DataFrame, proteins: DataFrame, distinct: DataFrame, tips: DataFrame | None = None) -> DataFrame:
-    """Protein hits (prot_hash, ...) on every genome that has a sequence of the protein, with its contig-tip record if any."""
-    members = proteins.select("prot_hash", F.explode("members").alias("m")).select("prot_hash", F.col("m.dna_hash").alias("dna_hash"))
-    each = hits.join(members, "prot_hash").join(distinct.select("dna_hash", F.length("dna").alias("dna_length"), "genomes"), "dna_hash")
-    out = each.select("*", F.posexplode("genomes").alias("ord", "genome_ord")).drop("genomes")
+def expand_matches(hits: DataFrame, distinct: DataFrame, occurring: DataFrame, tips: DataFrame | None = None) -> DataFrame:
+    """Protein hits (prot_hash, ...) on every occurrence of a sequence (dna_hash, prot_hash, dna) of the protein, with its
+    contig-tip record if any."""
+    each = hits.join(distinct.select("prot_hash", "dna_hash", F.length("dna").alias("dna_length")), "prot_hash")
+    out = each.join(occurring, "dna_hash")
     if tips is None:
         return out
     first = tips.groupBy("genome_ord", "dna_hash").agg(F.min(F.struct("begin", "end", "contig_len", "strand")).alias("tip"))

@@ -49,26 +49,27 @@ class AlleleCaller:
         """Call ``cds`` (genome, genome_ord, protid, dna); ``tips`` (genome_ord, dna_hash, contig_len, begin, end, strand)."""
         stage, c = self.stage, self.config
         distinct = stage.write(dedup.distinct_dna(cds), "distinct")
-        exact = stage.write(matching.dna_exact(distinct, self.alleles, loci), "exact")
+        occurring = stage.write(dedup.occurrences(cds), "occurrences")
+        exact = stage.write(matching.dna_exact(occurring, self.alleles, loci), "exact")
         columns = ["locus", "genome_ord", "ord", "allele_id", "dna_hash", "class", "bsr"]
         found, invalid = [exact.select(*columns)], distinct.where("false").select("dna_hash", F.lit("").alias("error"))
         if self.mode > 1:
-            rest = distinct.join(exact.select("dna_hash"), "dna_hash", "left_anti")
+            rest = distinct.join(exact.select("dna_hash").distinct(), "dna_hash", "left_anti")
             coded = stage.write(translated(rest, "dna", c.translation_table, c.minimum_length), "translated")
             invalid = coded.where("error is not null").select("dna_hash", "error")
             good = coded.where("error is null").withColumn("prot_hash", sequence_hash("protein"))
-            same = stage.write(matching.protein_exact(good, self.alleles, loci), "protein")
+            same = stage.write(matching.protein_exact(good, occurring, self.alleles, loci), "protein")
             found.append(same.select(*columns))
             if self.mode > 2:
                 left = stage.write(good.join(same.select("dna_hash"), "dna_hash", "left_anti"), "left")
-                found += [m.select(*columns) for m in self._inexact(left, tips, loci)]
+                found += [m.select(*columns) for m in self._inexact(left, occurring, tips, loci)]
         matches = found[0]
         for more in found[1:]:
             matches = matches.unionAll(more)
         matches = stage.write(matches, "matches")
         return self._finish(cds, matches, invalid, loci)
 
-    def _inexact(self, left: DataFrame, tips: DataFrame | None, loci: DataFrame | None) -> list[DataFrame]:
+    def _inexact(self, left: DataFrame, occurring: DataFrame, tips: DataFrame | None, loci: DataFrame | None) -> list[DataFrame]:
         stage, c, found = self.stage, self.config, []
         lengths = self.alleles.groupBy("locus").agg(F.array_sort(F.collect_list(F.struct("allele_ord", F.length("dna").alias("n")))).alias("l"))
         lengths = lengths.select("locus", F.transform("l", lambda x: x["n"]).alias("lengths"))
@@ -86,7 +87,7 @@ class AlleleCaller:
             hits = matching.align_pairs(pairs.repartition("query", "target")).withColumn("slen", F.length("target_seq"))
             scores = matching.self_scores(reps.select(F.col("id").alias("seqid"), F.col("seq").alias("protein")))
             rated = matching.filter_bsr(matching.best_hit(hits, order=("query",)), scores, level).withColumn("rep_nt", F.length("query_seq") * 3 + 3)
-            each = matching.expand_matches(rated.withColumnRenamed("target", "prot_hash"), proteins, left, tips)
+            each = matching.expand_matches(rated.withColumnRenamed("target", "prot_hash"), left, occurring, tips)
             kind = F.lit(None).cast("string")
             if tips is not None:
                 t = F.col("tip")

@@ -172,7 +172,7 @@ def exact_match_first(spark, d):
     docs = D.table(spark, d, "documents")
     alleles = docs.where("source <> 'src0'").select(F.col("lang").alias("locus"), F.col("doc_id").alias("locus_idx"), F.lit(1).alias("allele_ord"), F.col("doc_id").cast("string").alias("allele_id"), F.col("text").alias("dna"))
     cds = docs.select(F.col("source").alias("genome"), F.col("doc_id").alias("genome_ord"), F.lit(1).alias("protid"), F.col("text").alias("dna"))
-    return matching.dna_exact(dedup.distinct_dna(cds), matching.hash_alleles(alleles)).select(F.col("genome_ord").alias("doc_id"), "locus", "allele_id")
+    return matching.dna_exact(dedup.occurrences(cds), matching.hash_alleles(alleles)).select(F.col("genome_ord").alias("doc_id"), "locus", "allele_id")
 
 
 @query("SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY sha256(upper(text)) ORDER BY doc_id) = 1 THEN 'INF' ELSE 'EXC' END AS class FROM documents")
@@ -181,7 +181,7 @@ def inf_exc_first_occurrence(spark, d):
     cds = docs.select(F.col("source").alias("genome"), F.col("doc_id").alias("genome_ord"), F.lit(1).alias("protid"), F.col("text").alias("dna"))
     distinct = dedup.distinct_dna(cds).withColumn("prot_hash", F.col("dna_hash"))
     alleles = distinct.select(F.lit("one").alias("locus"), F.lit(1).alias("locus_idx"), F.lit(1).alias("allele_ord"), F.lit("1").alias("allele_id"), "prot_hash")
-    return matching.protein_exact(distinct, alleles).select(F.col("genome_ord").alias("doc_id"), "class")
+    return matching.protein_exact(distinct, dedup.occurrences(cds), alleles).select(F.col("genome_ord").alias("doc_id"), "class")
 
 
 # k-mers and sequences.
@@ -509,7 +509,7 @@ def unclassified_cds(spark, d):
     docs = D.table(spark, d, "documents")
     cds = docs.select(F.col("source").alias("genome"), F.col("doc_id").alias("genome_ord"), F.lit(1).alias("protid"), F.col("text").alias("dna"))
     distinct = dedup.distinct_dna(cds)
-    matched = distinct.select("dna_hash", F.explode("genomes").alias("doc_id")).join(docs.where("source = 'src0'").select("doc_id"), "doc_id")
+    matched = dedup.occurrences(cds).select("dna_hash", F.col("genome_ord").alias("doc_id")).join(docs.where("source = 'src0'").select("doc_id"), "doc_id")
     return classify.unclassified(distinct, matched).select("dna_hash", "n")
 
 

@@ -59,13 +59,15 @@ def test_sizes_and_modes(spark):
 def test_dedup_and_exact(spark):
     cds = spark.createDataFrame([("g2", 2, 1, "acgt"), ("g1", 1, 1, "ACGT"), ("g1", 1, 2, "ACGT"), ("g1", 1, 3, "TTTT")], "genome string, genome_ord int, protid int, dna string")
     distinct = dedup.distinct_dna(cds)
-    got = {r["dna"]: (r["rep"]["genome"], r["genomes"], r["n"]) for r in distinct.collect()}
-    assert got == {"ACGT": ("g1", [1, 1, 2], 3), "TTTT": ("g1", [1], 1)}
+    got = {r["dna"]: (r["rep"]["genome"], r["n"]) for r in distinct.collect()}
+    assert got == {"ACGT": ("g1", 3), "TTTT": ("g1", 1)}
+    occurring = dedup.occurrences(cds)
+    assert sorted((r["genome_ord"], r["ord"]) for r in occurring.collect()) == [(1, 1), (1, 2), (1, 3), (2, 1)]
     alleles = matching.hash_alleles(spark.createDataFrame([("L2", 2, 1, "1", "ACGT"), ("L1", 1, 5, "7", "ACGT"), ("L1", 1, 6, "8", "ACGT")], "locus string, locus_idx int, allele_ord int, allele_id string, dna string"))
-    exact = matching.dna_exact(distinct, alleles)
+    exact = matching.dna_exact(occurring, alleles)
     assert sorted((r["locus"], r["allele_id"], r["genome_ord"]) for r in exact.collect()) == [("L1", "7", 1), ("L1", "7", 1), ("L1", "7", 2)]
     only = spark.createDataFrame([("L2",)], "locus string")
-    assert matching.dna_exact(distinct, alleles, only).count() == 0
+    assert matching.dna_exact(occurring, alleles, only).count() == 0
 
 
 def test_paralogous(spark):
