@@ -23,6 +23,9 @@ SHORTEST = 3
 #: Rows up to which a table of ids or of benchmark windows is sent to every executor; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
+#: Rows up to which bare hashes are sent.
+BROADCAST_HASHES = 2_000_000
+
 #: Units that become a placeholder after a number, and words that count as numbers.
 UNITS = (
     "mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yd", "yard", "yards", "mi", "mile", "miles",
@@ -139,6 +142,14 @@ def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def _joined(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """Windows of documents with those of items that have their hash.  If the items' are too many to be broadcast, their
+    hashes alone are, up to a bound of their own, so that only windows that are met are shuffled."""
+    if windows.count() <= BROADCAST_ROWS:
+        return found.join(F.broadcast(windows), ["h", "length"])
+    return found.join(_small(windows.select("h").distinct(), BROADCAST_HASHES), "h", "left_semi").join(windows, ["h", "length"])
+
+
 def _occurring(hits: DataFrame, sizes: DataFrame, containment: float) -> DataFrame:
     """(doc_id, item_id, occurs): items of which one occurrence alone holds enough windows.
 
@@ -187,7 +198,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     sizes = windows.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"), F.max(F.col("at") + F.col("length") - 1).alias("width"))
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())
     found = document_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lengths or [WINDOW])
-    met = found.join(_small(windows), ["h", "length"])
+    met = _joined(found, windows)
     met = scratch.write(met.select("doc_id", "item_id", "window", "at", (F.col("start") - F.col("at")).alias("shift"), "swaps", "own", "place", "near"), "met")
     slots = F.transform("place", lambda j: _value(F.get("near", j - F.col("at"))))
     met = met.withColumn("slots", slots).withColumn("same", F.col("own") == F.col("slots")).where("swaps or same")

@@ -194,7 +194,8 @@ def fingerprint_links(distinct: DataFrame, scratch: Scratch, radius: int = RADIU
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, tile: int = TILE) -> DataFrame:
-    """(doc_id, fp, component_id) of each row of ``docs``: component_id is the smallest doc_id linked to it.
+    """(doc_id, fp, component_id, root) of each row of ``docs``: component_id is the smallest doc_id linked to it, ``root``
+    the least fingerprint, which tells components apart where ids repeat.
 
     Rows with the same fingerprint are linked; fingerprints link at ``radius`` or fewer differing bits.  A null
     text counts as empty (fingerprint 0); a null doc_id keeps its row and never is the smallest unless alone;
@@ -209,9 +210,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
         distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes"
     )
     least = scratch.write(classes.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    of = scratch.write(classes.join(least, "root").select("fp", "component_id"), "components")
+    of = scratch.write(classes.join(least, "root").select("fp", "component_id", "root"), "components")
     scratch.drop("tiles", "pairs", "links", "distinct", "classes", "least")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(of, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def hex_of(fp: str = "fp"):
@@ -223,20 +224,27 @@ BROADCAST_ROWS = 1_000_000
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates: that of its smallest doc_id, all columns as they were.
+    """One row of each group of near-duplicates: one of those with its smallest doc_id, all columns as they were.
 
-    Of rows that share the id that stands for a group one stays.  A row without a doc_id has its text's hash for one,
-    above all usual ids: it stays if its group has no row with an id, and then one of them does.
+    A row without a doc_id has its text's hash for one, above all usual ids: it stays if its group has no row with an id,
+    and then one of them does.  Rows that share an id but not a group are rows of their own; of those that share both,
+    the one with the least hash of all its columns stays.
     """
+    scratch = Scratch(docs.sparkSession, "keep")
     keyed = docs.withColumn("_key", row_key())
-    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
-    ids = Scratch(docs.sparkSession, "keep").write(
-        found.groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stands")), "ids"
-    )
-    away, many = ids.where("stands = 0 or n > 1").select("_key"), ids.where("stands = 1 and n > 1").select("_key")
+    found = scratch.write(near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_key"), "found")
+    stands = F.max((F.col("_key") == F.col("component_id")).cast("int"))
+    ids = scratch.write(found.groupBy("_key").agg(F.count("*").alias("n"), stands.alias("stands")).where("stands = 0 or n > 1"), "ids")
+    away, many = ids.select("_key"), ids.where("stands = 1").select("_key")
     out = keyed.join(F.broadcast(away) if away.count() <= BROADCAST_ROWS else away, "_key", "left_anti").select(*docs.columns)
     if many.limit(1).count():
-        out = out.unionAll(keyed.join(many, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns))
+        # Rows of repeated ids find their groups by their fingerprints, which are made once for each text of an id.
+        rows = keyed.join(many, "_key", "left_semi").withColumn("_row", F.xxhash64("_key", "text"))
+        fps = fingerprints(rows.select(F.col("_row").alias("doc_id"), "text").dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("_row"), F.col("fp").alias("_fp"))
+        roots = found.where("_key = component_id").select("_key", F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
+        placed = rows.join(fps, "_row").join(roots, ["_key", "_fp"])
+        one = placed.groupBy("_key", "_root").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+        out = out.unionAll(one.select("row.*"))
     return out
 
 

@@ -134,6 +134,15 @@ def test_each_occurrence_is_judged(spark):
     assert {r[0] for r in D.clean(d, b).collect()} <= {23, 24}
 
 
+def test_many_windows_are_joined_by_shuffle(spark, monkeypatch):
+    d, b = frame(spark, DOCS, "doc_id"), frame(spark, ITEMS, "item_id")
+    want = sorted(D.contaminated(d, b).collect())
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    assert sorted(D.contaminated(d, b).collect()) == want
+    monkeypatch.setattr(D, "BROADCAST_HASHES", 0)
+    assert sorted(D.contaminated(d, b).collect()) == want
+
+
 def test_occurrences_lose_nothing(spark, none):
     d, b = frame(spark, DOCS, "doc_id"), frame(spark, ITEMS + [(None, ITEM)], "item_id")
     got = {(r[0], r[1]): tuple(r[2:]) for r in D.contaminated(d, b, occurrences=True).collect()}

@@ -84,11 +84,11 @@ def test_forest_joins_all_links():
 def test_keep_one(spark):
     """Rows without an id fall with their group; alone, one of them stays."""
     text, other = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
-    rows = [(3, text, "x"), (2, text, "y"), (2, text, "y"), (9, "other words here now", None), (None, other, "z"), (None, other, "z"), (None, text, "z"), (None, None, "q")]
+    rows = [(3, text, "x"), (2, text, "y"), (2, text, "y"), (9, "other words here now", None), (None, other, "z"), (None, other, "z"), (None, text, "z"), (None, None, "q"), (20, other.replace("b", "c"), "m"), (20, other.replace("b", "d"), "n"), (20, other.replace("b", "c"), "m"), (20, text, "o")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
     got = S.keep_one(docs)
     assert got.columns == docs.columns
-    assert sorted((r[0] or 0, r[2] or "") for r in got.collect()) == [(0, "q"), (0, "z"), (2, "y"), (9, "")]
+    assert sorted((r[0] or 0, r[2] or "") for r in got.collect()) == [(0, "q"), (0, "z"), (2, "y"), (9, ""), (20, "m"), (20, "n")]
 
 
 def test_long_text():
