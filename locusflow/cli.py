@@ -12,6 +12,7 @@ from locusflow import __version__
 from locusflow.config import Config
 from locusflow.functions.translate import translated
 from locusflow.operators import annotate, classify, evaluate, profiles, store
+from locusflow.operators.numbering import with_row_number
 from locusflow.plans import calling
 from locusflow.sources import fasta, sinks
 
@@ -84,7 +85,8 @@ def _listed(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def _cds(spark: SparkSession, paths: list[str]) -> DataFrame:
     seqs = fasta.rename_cds(fasta.read_fasta(spark, paths, upper=True))
-    order = seqs.select("genome").distinct().select("genome", F.row_number().over(fasta.Window.orderBy(F.lower("genome"), "genome")).alias("genome_ord"))
+    names = seqs.select("genome").distinct().withColumn("_low", F.lower("genome"))
+    order = with_row_number(names, "genome_ord", "_low", "genome").select("genome", F.col("genome_ord").cast("int"))
     return seqs.join(order, "genome").select("genome", "genome_ord", "protid", "seqid", F.col("seq").alias("dna"))
 
 

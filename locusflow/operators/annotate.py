@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusflow.functions.sequence import contains_any, header_field, header_product, sequence_hash
@@ -19,8 +19,7 @@ def proteome_terms(records: DataFrame) -> DataFrame:
 def informative_name(names: DataFrame, by: str = "prot_hash", name: str = "name", order: str = "ord") -> DataFrame:
     """(by, name): the first name that says something, else the first."""
     dull = contains_any(name, list(UNINFORMATIVE))
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(dull.cast("int"), order))
-    return names.withColumn("_r", rank).where("_r = 1").select(by, name)
+    return names.groupBy(by).agg(F.min_by(name, F.struct(dull.cast("int").alias("dull"), order)).alias(name))
 
 
 def lookup_names(proteins: DataFrame, names: DataFrame) -> DataFrame:

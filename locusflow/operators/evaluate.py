@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusflow.functions.sequence import error_category, missing_between, quartiles
+from locusflow.functions.sequence import error_category, missing_between
 from locusflow.operators.classify import CLASSES, modes
 from locusflow.operators.numbering import with_row_number
 
@@ -14,13 +14,25 @@ INVALID = ("PLOT3", "PLOT5", "LOTSC", "NIPH", "NIPHEM", "ALM", "ASM", "PAMA")
 
 
 def length_statistics(lengths: DataFrame, by: str = "locus", value: str = "length") -> DataFrame:
-    """(by, n, min, max, mean, sd, q1, median, q3, size_range): mean rounded half to even, sd 0 for one value."""
+    """(by, n, min, max, mean, sd, q1, median, q3, size_range): mean rounded half to even, sd 0 for one value.
+
+    q1 and q3 are the medians of the lower and upper floor(n/2) values.  Order statistics come from the counts of the
+    distinct values, whose running sums tell where each place falls; a group's values are never gathered.
+    """
     a = lengths.groupBy(by).agg(
-        F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.bround(F.avg(value), 0).alias("mean"),
-        F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.array_sort(F.collect_list(value)).alias("sorted"),
-    )
-    a = a.withColumn("q", quartiles(F.col("sorted")))
-    return a.select(by, "n", "min", "max", "mean", "sd", "q.q1", "q.median", "q.q3", F.concat_ws("-", "min", "max").alias("size_range"))
+        F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.bround(F.avg(value), 0).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd")
+    )
+    group = Window.partitionBy(by)
+    counts = size_histogram(lengths.where(F.col(value).isNotNull()), by, value)
+    placed = counts.select(by, value, F.sum("n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)).alias("end"), F.sum("n").over(group).alias("k"))
+    k, half = F.col("k"), F.floor(F.col("k") / 2)
+    at = lambda i: F.min(F.when(F.col("end") > i, F.col(value)))
+    median = lambda first, n: F.bround(((at(first + F.floor((n - 1) / 2)) + at(first + F.floor(n / 2))) / 2).cast("double"), 0)
+    of = {"q1": median(F.lit(0), half), "median": median(F.lit(0), k), "q3": median(k - half, half)}
+    one = F.when(F.max("k") == 1, F.min(value).cast("double"))
+    q = placed.groupBy(by).agg(*[F.coalesce(one, x).alias(name) for name, x in of.items()])
+    both = a.alias("a").join(q.alias("q"), F.col(f"a.{by}").eqNullSafe(F.col(f"q.{by}")), "left")
+    return both.select("a.*", "q1", "median", "q3", F.concat_ws("-", "min", "max").alias("size_range"))
 
 
 def size_histogram(lengths: DataFrame, by: str = "locus", value: str = "length") -> DataFrame:
