@@ -58,6 +58,8 @@ def test_each_stage_on_its_input(spark, steps):
     assert list(masked.columns) == list(start.columns)
 
     per = mixed.groupby("source").agg(t=("taken", "sum"), g=("target", "first"))
+    assert list(mixed.columns) == [*start.columns, "size", "source_size", "target", "taken"]
+    assert dict(zip(mixed.doc_id, mixed.text, strict=True)).items() <= dict(zip(masked.doc_id, masked.text, strict=True)).items()
     assert (abs(per.t - per.g) <= 1).all() and (mixed.taken <= 2 * mixed["size"]).all()
 
 
