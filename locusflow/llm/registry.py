@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusflow.llm import decontaminate, language, licenses, mixing, pii, quality, rules, simhash, substrings, tokens
+from locusflow.llm import bpe, decontaminate, language, licenses, mixing, pii, quality, rules, simhash, substrings, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_pii": pii.op8_pii,
         "op9_quality": quality.op9_quality,
         "op10_licenses": licenses.op10_licenses,
+        "op13_bpe": bpe.op13_bpe,
     }
 
 
