@@ -2,11 +2,11 @@
 
 Each window of ``length`` bytes has an anchor: the position of the least hash among the ``gram``-byte strings inside
 it, the leftmost on ties.  Equal windows have equal anchors, so only windows whose anchor occurs twice can
-repeat; consecutive windows with one anchor are a segment.  Equal segments are counted by hash; of segments
-that differ but share an anchor, one of each kind goes to the shard of the anchor, whose suffix array (Larsson and
-Sadakane's refinement by doubling) and common prefixes (Kasai's rule, as far as the length matters) tell which windows
-repeat.  An anchor with more kinds than a shard takes is dealt over several, whose windows are merged by
-binary search among their sorted digests.
+repeat; consecutive windows with one anchor are a segment.  Hashes only route: of equal segments two go to the shard of
+their anchor, where they stand for all, and of others one.  The shard's suffix array (Larsson and Sadakane's refinement
+by doubling) and common prefixes (Kasai's rule, as far as the length matters) tell which windows repeat.  An anchor with
+more kinds than a shard takes is dealt over several, whose windows are merged by binary search among their sorted
+digests.
 """
 
 from __future__ import annotations
@@ -207,42 +207,46 @@ def _segment_rows(docs: DataFrame, length: int, gram: int, full: bool) -> DataFr
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``wanted`` (key, a, s, p, n, ones, shard, hot) with the segment's bytes."""
+    """``wanted`` (key, a, s, p, n, ones, shard, hot), one row of each kind of segment, with the segment's bytes."""
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("a", "s", "p", "n", "ones", "shard", "hot")).alias("segs"))
+    names = ["key", "a", "s", "p", "n", "ones", "shard", "hot", "content"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_with(batches, 256):
             rows = []
             for key, text, segs in zip(batch.column(0).to_pylist(), utf8_cells(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                rows += [(key, x["p"], x["n"], x["ones"], x["shard"], x["hot"], text[x["p"] : x["p"] + x["n"] + length - 1]) for x in segs]
-            cols = zip(*rows, strict=True) if rows else [[]] * 7
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([*c], t) for c, t in zip(cols, types, strict=True)], ["key", "p", "n", "ones", "shard", "hot", "content"])
+                rows += [(key, *(x[name] for name in names[1:-1]), text[x["p"] : x["p"] + x["n"] + length - 1]) for x in segs]
+            cols = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array([*c], t) for c, t in zip(cols, types, strict=True)], names)
 
     joined = docs.select("key", "text").join(lists, "key")
-    return map_arrow(joined.select("key", "text", "segs"), run, "key long, p int, n int, ones boolean, shard long, hot boolean, content binary")
+    return map_arrow(joined.select("key", "text", "segs"), run, "key long, a long, s long, p int, n int, ones boolean, shard long, hot boolean, content binary")
 
 
 def _shard_results(contents: DataFrame, length: int, shards: int) -> DataFrame:
-    """(key, start, end, digest, shard): repeated runs of segments that occur once; windows of hot anchors by digest, not yet judged."""
+    """(key, start, end, a, s, digest, shard): repeated runs of segments that occur once; of kinds of segments, a and s, by
+    their first byte; windows of hot anchors by digest, not yet judged."""
 
     def judge(rows: list[dict], shard: int) -> pa.RecordBatch:
-        found = repeated_windows([r["content"] for r in rows], [r["n"] for r in rows], length)
+        # A kind that occurs again stands twice in the shard's text, so that its suffixes meet each other.
+        twice = [r for r in rows if not r["ones"]]
+        found = repeated_windows([r["content"] for r in rows + twice], [r["n"] for r in rows + twice], length)
         out, votes = [], set()
-        for r, marks in zip(rows, found, strict=True):
-            if r["ones"]:
-                out += [(r["key"], r["p"] + x, r["p"] + y + length - 1, None, None) for x, y in _runs(marks)]
+        for r, marks in zip(rows, found, strict=False):
+            place = (r["key"], r["p"], None, None) if r["ones"] else (None, 0, r["a"], r["s"])
+            out += [(place[0], place[1] + x, place[1] + y + length - 1, *place[2:], None, None) for x, y in _runs(marks)]
             if r["hot"]:
                 view = memoryview(r["content"])
                 digests = [xxhash.xxh3_128_digest(view[i : i + length]) for i in range(r["n"])]
                 if r["ones"]:
-                    out += [(r["key"], r["p"] + i, r["p"] + i + length, d, shard) for i, d in enumerate(digests)]
+                    out += [(r["key"], r["p"] + i, r["p"] + i + length, None, None, d, shard) for i, d in enumerate(digests)]
                 else:
                     votes.update(digests)
-        out += [(None, None, None, d, shard) for d in votes]
-        cols = zip(*out, strict=True) if out else [[]] * 5
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([*c], t) for c, t in zip(cols, types, strict=True)], ["key", "start", "end", "digest", "shard"])
+        out += [(None, None, None, None, None, d, shard) for d in votes]
+        cols = zip(*out, strict=True) if out else [[]] * 7
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([*c], t) for c, t in zip(cols, types, strict=True)], ["key", "start", "end", "a", "s", "digest", "shard"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, shard = [], None
@@ -258,7 +262,7 @@ def _shard_results(contents: DataFrame, length: int, shards: int) -> DataFrame:
 
     tasks = min(shards, max(4 * contents.sparkSession.sparkContext.defaultParallelism, -(-shards // SHARDS_PER_TASK)))
     dealt = contents.repartition(tasks, "shard").sortWithinPartitions("shard")
-    return map_arrow(dealt, run, "key long, start int, end int, digest binary, shard long")
+    return map_arrow(dealt, run, "key long, start int, end int, a long, s long, digest binary, shard long")
 
 
 def _merged_hot(windows: DataFrame) -> DataFrame:
@@ -297,17 +301,16 @@ def repeated_spans(keyed: DataFrame, scratch: Scratch, length: int = LENGTH, gra
     twice = scratch.write(_segment_rows(keyed, length, gram, False).groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"), "twice")
     met = scratch.write(_segment_rows(keyed, length, gram, True).join(twice, "a", "left_semi"), "met")
     classes = scratch.write(met.groupBy("a", "s").agg(F.count("*").alias("c"), F.min(F.struct("key", "p", "n")).alias("rep")), "classes")
-    mixed = scratch.write(
-        classes.groupBy("a").agg(F.count("*").alias("nd"), F.sum((F.col("c") == 1).cast("long")).alias("ones")).where("nd > 1 and ones > 0").select("a", "nd"), "mixed"
-    )
-    chosen = classes.join(mixed, "a").select("a", "s", "nd", (F.col("c") == 1).alias("ones"), "rep.*")
-    total = classes.join(mixed, "a").agg(F.sum(F.col("rep.n") + (length - 1))).first()[0] or 0
+    kinds_of = scratch.write(classes.groupBy("a").agg(F.count("*").alias("nd")), "kinds")
+    total = classes.agg(F.sum((F.col("rep.n") + (length - 1)) * F.least("c", F.lit(2)))).first()[0] or 0
     shards = max(keyed.sparkSession.sparkContext.defaultParallelism, -(-total // shard_bytes))
     salt = F.pmod(F.xxhash64("s"), F.ceil(F.col("nd") / kinds))
-    wanted = chosen.select("key", "a", "s", "p", "n", "ones", F.pmod(F.xxhash64("a", salt), F.lit(shards)).alias("shard"), (F.col("nd") > kinds).alias("hot"))
+    shard = F.pmod(F.xxhash64("a", salt), F.lit(shards)).alias("shard")
+    wanted = classes.join(kinds_of, "a").select("rep.key", "a", "s", "rep.p", "rep.n", (F.col("c") == 1).alias("ones"), shard, (F.col("nd") > kinds).alias("hot"))
     judged = scratch.write(_shard_results(_contents(keyed, wanted, length), length, int(shards)), "judged")
-    whole = met.join(classes.where("c > 1").select("a", "s"), ["a", "s"]).select("key", F.col("p").alias("start"), (F.col("p") + F.col("n") + (length - 1)).alias("end"))
-    parts = judged.where("digest is null").select("key", "start", "end")
+    alike = judged.where("s is not null").select("a", "s", "start", "end")
+    whole = met.join(alike, ["a", "s"]).select("key", (F.col("p") + F.col("start")).alias("start"), (F.col("p") + F.col("end")).alias("end"))
+    parts = judged.where("digest is null and s is null").select("key", "start", "end")
     hot = judged.where("digest is not null")
     return whole.unionAll(parts).unionAll(_merged_hot(hot)) if hot.limit(1).count() else whole.unionAll(parts)
 
