@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -143,15 +144,32 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     base = [(k, a, b) for k in BASE for a, b in found[k]]
     more: list[tuple[str, int, int]] = []
     if any(found[k] for k in MORE):
-        taken = [(a, b) for _, a, b in base]
+        # Stretches taken so far, apart and in order: a span meets one only if it meets that around or after its start.
+        starts, ends = _apart([(a, b) for _, a, b in base])
         for k in MORE:
+            fresh = []
             for a, b in sorted(set(found[k])):
-                if not any(a < y and x < b for x, y in taken):
+                at = bisect_right(ends, a)
+                if (at == len(starts) or starts[at] >= b) and not (fresh and a < fresh[-1][1]):
                     more.append((k, a, b))
-                    taken.append((a, b))
+                    fresh.append((a, b))
+            starts, ends = _apart([*zip(starts, ends, strict=True), *fresh])
     return base + more
 
 
+def _apart(spans_: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans_):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def joined(found: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
 

@@ -78,3 +78,31 @@ def test_query(docs, none):
     assert got == {(r["doc_id"], pii.joined(pii.spans(r["text"]))) for r in docs.collect()}
     out = pii.mask_pii(docs)
     assert out.columns == docs.columns and out.count() == docs.count() and pii.mask_pii(none).count() == 0
+
+
+def test_spans_of_many_lines_in_time():
+    """Work grows with the spans, not with their square: a log with an address and a link in every line."""
+    import time
+
+    line = "visit https://example.org/a/{0} or write to user{0}@example.org today\n"
+    text = "".join(line.format(i) for i in range(60_000))
+    began = time.perf_counter()
+    found = pii.spans(text)
+    assert time.perf_counter() - began < 30
+    assert sum(k == "email" for k, _, _ in found) == sum(k == "url" for k, _, _ in found) == 60_000
+
+
+def test_further_spans_against_the_plain_rule():
+    """The spans added are those that overlap nothing taken before, one after the other."""
+    import random
+
+    r = random.Random(3)
+    bits = ["https://a.b/c", "me@x.org", "SSN: 123-45-6789", "12 Long Street", "account: 12345678", "password=hunter2Abc", "10.0.0.1", "+49 30 1234567", " ", "\n", "/", "."]
+    for _ in range(300):
+        text = "".join(r.choice(bits) for _ in range(r.randrange(25)))
+        found = pii.spans(text)
+        taken = [(a, b) for k, a, b in found if k in pii.BASE]
+        for k, a, b in found:
+            if k in pii.MORE:
+                assert not any(a < y and x < b for x, y in taken), (text, k, a, b)
+                taken.append((a, b))
