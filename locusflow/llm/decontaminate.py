@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm.shared import Scratch, documents, row_key, table
+from locusflow.llm.shared import Scratch, documents, row_key, table, whole_row
 
 WINDOW = 5
 CONTAINMENT = 0.8
@@ -227,10 +227,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
 def clean(docs: DataFrame, benchmark: DataFrame, occurrences: bool = True) -> DataFrame:
     """The documents in which no item was found, all columns as they were; rows without an id are judged by their text."""
     scratch = Scratch(docs.sparkSession, "clean")
-    keyed = docs.withColumn("_key", row_key())
-    found = contaminated(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, occurrences=occurrences)
-    bad = scratch.write(found.select(F.col("doc_id").alias("_key")).distinct(), "bad")
-    return keyed.join(_small(bad), "_key", "left_anti").select(*docs.columns)
+    keyed = docs.select(row_key().alias("key"), whole_row(docs).alias("row"))
+    found = contaminated(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), benchmark, occurrences=occurrences)
+    bad = scratch.write(found.select(F.col("doc_id").alias("key")).distinct(), "bad")
+    return keyed.join(_small(bad), "key", "left_anti").select("row.*")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusflow.llm.shared import SPACE_CLASS, Scratch, documents
+from locusflow.llm.shared import SPACE_CLASS, Scratch, documents, whole_row
 
 #: Fixed values of the mix: the weights of the sources in their order, repeated; share of all words; epochs at most.
 WEIGHTS = (5, 2, 1)
@@ -69,7 +69,14 @@ BROADCAST_ROWS = 100_000
 
 
 def _random_key() -> Column:
-    return F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("0" * 32))
+    """The MD5 of the id, or of the text where there is none."""
+    text = F.concat(F.lit("text:"), F.coalesce(F.col("text"), F.lit("")))
+    return F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.md5(text.cast("binary")))
+
+
+def _sized(docs: DataFrame) -> list[Column]:
+    """doc_id, source, size, key and, for rows that these do not tell apart, a hash of the text."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _random_key().alias("key"), F.xxhash64("text").alias("tie")]
 
 
 def _range_plan(sizes: DataFrame, weights: tuple[int, ...], range_rows: int, scratch: Scratch) -> tuple[DataFrame, int]:
@@ -86,47 +93,45 @@ def _range_plan(sizes: DataFrame, weights: tuple[int, ...], range_rows: int, scr
     return scratch.write(joined.select("o.source", "part", "ahead", "part_size", "source_size", "target"), "plan"), digits
 
 
-def _taken(rows: DataFrame, size: Column, columns: list[str], plan: DataFrame, digits: int) -> DataFrame:
-    """``columns`` of ``rows``, then size, source_size, target and taken.
+def _taken(rows: DataFrame, plan: DataFrame, digits: int) -> DataFrame:
+    """What ``row`` of ``rows`` (row, doc_id, source, size, key, tie) holds, then size, source_size, target and taken.
 
     A range that ends before the source's cut, or starts behind it, decides for its rows; only the range with the cut
     is sorted, for the running sums inside it.
     """
-    budget = F.round("p.target").cast("long")
-    epochs = F.when(F.col("p.source_size") > 0, F.floor(budget / F.col("p.source_size"))).otherwise(0).cast("long")
-    rest = budget - epochs * F.col("p.source_size")
-    ahead, end = F.col("p.ahead"), F.col("p.ahead") + F.col("p.part_size")
+    budget = F.round("target").cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
+    rest = budget - epochs * F.col("source_size")
+    ahead, end = F.col("ahead"), F.col("ahead") + F.col("part_size")
     side = F.when(end <= rest, 1).when(ahead >= rest, -1).otherwise(0)
-    plan = plan.alias("p").select("p.*", epochs.alias("epochs"), (rest - ahead).alias("room"), side.alias("side"))
+    plan = plan.select("source", "part", "source_size", "target", epochs.alias("epochs"), (rest - ahead).alias("room"), side.alias("side"))
     plan = (F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan).alias("p")
-    on = F.col("r._source").eqNullSafe(F.col("p.source")) & (F.col("r._part") == F.col("p.part"))
-    keyed = rows.select("*", F.col("source").cast("string").alias("_source"), _random_key().alias("_key")).withColumn("_part", F.substring("_key", 1, digits))
-    placed = keyed.alias("r").join(plan, on).select(*[F.col(f"r.`{c}`") for c in rows.columns], "_source", "_key", "_part", *[F.col(f"p.{c}").alias(f"_{c}") for c in ("epochs", "room", "side", "source_size", "target")])
-    out = [*columns, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target")]
-    decided = placed.where("_side <> 0").withColumn("_size", size)
-    decided = decided.select(*out, (F.col("_epochs") * F.col("_size") + F.when(F.col("_side") == 1, F.col("_size")).otherwise(0)).alias("taken"))
-    order = Window.partitionBy("_source", "_part").orderBy("_key", F.col("doc_id").asc_nulls_last(), "_size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = placed.where("_side = 0").withColumn("_size", size).withColumn("_inside", F.coalesce(F.sum("_size").over(order), F.lit(0)))
-    last = F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), F.col("_room") - F.col("_inside")))
-    return decided.unionAll(cut.select(*out, (F.col("_epochs") * F.col("_size") + last).alias("taken")))
+    on = F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.part") == F.col("p.part"))
+    keyed = rows.withColumn("part", F.substring("key", 1, digits)).alias("r")
+    placed = keyed.join(plan, on).select("r.*", *[f"p.{c}" for c in ("epochs", "room", "side", "source_size", "target")])
+    every = F.col("epochs") * F.col("size")
+    decided = placed.where("side <> 0").withColumn("taken", every + F.when(F.col("side") == 1, F.col("size")).otherwise(0))
+    order = Window.partitionBy("source", "part").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("size").over(order), F.lit(0))
+    last = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("room") - inside))
+    cut = placed.where("side = 0").withColumn("taken", every + last)
+    return decided.unionAll(cut).select("row.*", "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, range_rows: int = RANGE_ROWS, whole: bool = False) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of each row of ``docs``; taken counts repeats.
 
-    Size is the number of words (null: 0).  A null source is a source of its own, the last.  Rows with equal ids
-    are ordered by size; full repeats share what falls on them in one of the possible orders, which is always the
+    Size is the number of words (null: 0).  A null source is a source of its own, the last.  A row without an id is
+    keyed by its text.  Rows with equal keys are ordered by size and a hash of the text; full repeats share what falls on them in one of the possible orders, which is always the
     same set of numbers.  Texts without words take 0.  No rows give no rows.  With ``whole`` all columns of ``docs`` are
     returned, but those named as the four new ones, which these replace; without, other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    size = word_count(F.col("text"))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), _random_key().alias("key"))
-    sizes = scratch.write(plain, "sizes")
+    sizes = scratch.write(docs.select(*_sized(docs)), "sizes")
     plan, digits = _range_plan(sizes, weights, range_rows, scratch)
     if whole:
-        return _taken(docs, size, [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")], plan, digits)
-    return _taken(sizes, F.col("size"), ["doc_id", "source"], plan, digits)
+        return _taken(docs.select(whole_row(docs, ("size", "source_size", "target", "taken")).alias("row"), *_sized(docs)), plan, digits)
+    return _taken(sizes.withColumn("row", F.struct("doc_id", "source")), plan, digits)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +140,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(md5(CAST(doc_id AS VARCHAR)), repeat('0', 32)) AS k,
+  SELECT doc_id, source, coalesce(md5(CAST(doc_id AS VARCHAR)), md5('text:' || coalesce(text, ''))) AS k,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
   FROM documents),
 per AS (

@@ -86,6 +86,11 @@ def row_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2).bitwiseOR(F.lit(1 << 62)))
 
 
+def whole_row(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """All columns of ``df`` as one struct, so that an operator's own columns beside it clash with none of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in without])
+
+
 def utf8_cells(column: pa.Array) -> list[bytes | None]:
     """The cells of a string column as UTF-8, without decoding."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

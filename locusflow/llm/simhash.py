@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.operators.components import components
-from locusflow.llm.shared import Scratch, batches_with, documents, row_key, utf8_cells, word_pieces
+from locusflow.llm.shared import Scratch, batches_with, documents, row_key, utf8_cells, whole_row, word_pieces
 from locusflow.runtime import map_arrow
 
 SHINGLE = 4
@@ -231,19 +231,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     the one with the least hash of all its columns stays.
     """
     scratch = Scratch(docs.sparkSession, "keep")
-    keyed = docs.withColumn("_key", row_key())
-    found = scratch.write(near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_key"), "found")
-    stands = F.max((F.col("_key") == F.col("component_id")).cast("int"))
-    ids = scratch.write(found.groupBy("_key").agg(F.count("*").alias("n"), stands.alias("stands")).where("stands = 0 or n > 1"), "ids")
-    away, many = ids.select("_key"), ids.where("stands = 1").select("_key")
-    out = keyed.join(F.broadcast(away) if away.count() <= BROADCAST_ROWS else away, "_key", "left_anti").select(*docs.columns)
+    keyed = docs.select(row_key().alias("key"), whole_row(docs).alias("row"))
+    text = F.col("row.text").alias("text")
+    found = scratch.write(near_duplicates(keyed.select(F.col("key").alias("doc_id"), text)).withColumnRenamed("doc_id", "key"), "found")
+    stands = F.max((F.col("key") == F.col("component_id")).cast("int"))
+    ids = scratch.write(found.groupBy("key").agg(F.count("*").alias("n"), stands.alias("stands")).where("stands = 0 or n > 1"), "ids")
+    away, many = ids.select("key"), ids.where("stands = 1").select("key")
+    out = keyed.join(F.broadcast(away) if away.count() <= BROADCAST_ROWS else away, "key", "left_anti").select("row.*")
     if many.limit(1).count():
         # Rows of repeated ids find their groups by their fingerprints, which are made once for each text of an id.
-        rows = keyed.join(many, "_key", "left_semi").withColumn("_row", F.xxhash64("_key", "text"))
-        fps = fingerprints(rows.select(F.col("_row").alias("doc_id"), "text").dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("_row"), F.col("fp").alias("_fp"))
-        roots = found.where("_key = component_id").select("_key", F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
-        placed = rows.join(fps, "_row").join(roots, ["_key", "_fp"])
-        one = placed.groupBy("_key", "_root").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row"))
+        rows = keyed.join(many, "key", "left_semi").withColumn("known", F.xxhash64("key", "row.text"))
+        fps = fingerprints(rows.select(F.col("known").alias("doc_id"), text).dropDuplicates(["doc_id"])).select(F.col("doc_id").alias("known"), "fp")
+        roots = found.where("key = component_id").select("key", "fp", "root").distinct()
+        placed = rows.join(fps, "known").join(roots, ["key", "fp"])
+        one = placed.groupBy("key", "root").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
         out = out.unionAll(one.select("row.*"))
     return out
 

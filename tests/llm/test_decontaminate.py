@@ -149,3 +149,11 @@ def test_occurrences_lose_nothing(spark, none):
     want = brute(DOCS, ITEMS)
     assert want.items() <= got.items() and {x for x in got if x[1] is not None} - set(want) == {(3, 100)} and (3, None) in got
     assert D.contaminated(none, b, occurrences=True).count() == 0
+
+
+def test_clean_leaves_columns_of_any_name(spark):
+    item = "the quick brown fox jumps over the lazy dog near the old mill"
+    docs = spark.createDataFrame([(1, "before " + item + " after", "u1"), (2, "nothing of the kind is said in this text", "u2")], "doc_id long, text string, _key string")
+    docs = docs.selectExpr("*", "_key as key", "_key as row")
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [tuple(r)[2:] for r in D.clean(docs, benchmark).collect()] == [("u2",) * 3]

@@ -19,6 +19,22 @@ def test_mix_properties(spark, docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mix_with_clashing_names(spark, docs):
+    clash = docs
+    for name in ("_key", "_source", "_part", "key", "part", "row", "tie", "side"):
+        clash = clash.withColumn(name, F.lit("mine"))
+    got = mixing.mix(clash, whole=True)
+    assert got.select("_key", "_source", "_part", "key", "part", "row", "tie", "side").distinct().collect() == [("mine",) * 8]
+    plain = lambda df: sorted(map(str, df.select("doc_id", "size", "target", "taken").collect()))
+    assert plain(got) == plain(mixing.mix(docs))
+
+
+def test_mix_takes_rows_without_id_like_others(spark):
+    docs = spark.createDataFrame([(None if i % 5 == 0 else i, f"t{i} " * 20, f"s{i % 2}") for i in range(2000)], "doc_id long, text string, source string")
+    per = mixing.mix(docs).groupBy(F.col("doc_id").isNull().alias("lone")).agg((F.sum("taken") / F.sum("size")).alias("share")).collect()
+    assert abs(per[0]["share"] - per[1]["share"]) < 0.15
+
+
 def test_mix_without_words(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [tuple(r) for r in mixing.mix(docs).select("size", "target", "taken").collect()] == [(0, 0.0, 0)] * 2

@@ -94,3 +94,10 @@ def test_keep_one(spark):
 def test_long_text():
     words = [str(i % 977) for i in range(200_000)]
     assert S.fingerprint(" ".join(words).encode()) == S.fingerprint("\n\n".join(words).encode())
+
+
+def test_keep_one_leaves_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "one two three four five", "u1"), (2, "one two three four five", "u2"), (3, "other words stand here now", "u3")], "doc_id long, text string, _key string")
+    docs = docs.selectExpr("*", "_key as key", "_key as row", "_key as known", "_key as _row", "_key as _fp")
+    got = S.keep_one(docs.unionAll(docs.where("doc_id = 3"))).collect()
+    assert sorted(tuple(r)[2:] for r in got) == [("u1",) * 6, ("u3",) * 6]
