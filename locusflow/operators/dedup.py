@@ -38,6 +38,12 @@ def duplicate_groups(seqs: DataFrame, key: str = "seqid", value: str = "seq", or
     return seqs.groupBy(value).agg(pairs.alias("p")).select(value, F.transform("p", lambda x: x[key]).alias("ids"))
 
 
+def longest(seqs: DataFrame, by: str = "locus", key: str = "seqid", value: str = "seq") -> DataFrame:
+    """(by, key, length): the longest sequence of each group, the first by ``key`` of those as long; a null sequence has length 0."""
+    n = F.coalesce(F.length(value), F.lit(0))
+    return seqs.groupBy(by).agg(F.min(F.struct((-n).alias("n"), F.col(key))).alias("x")).select(by, f"x.{key}", (-F.col("x.n")).alias("length"))
+
+
 def propagate(distinct: DataFrame, cds: DataFrame) -> DataFrame:
     """Results on distinct sequences (dna_hash, ...) back on every coding sequence."""
     return cds.withColumn("dna_hash", sequence_hash(F.upper("dna"))).join(distinct, "dna_hash")

@@ -53,13 +53,21 @@ def expand_matches(hits: DataFrame, distinct: DataFrame, occurring: DataFrame, t
 def shared_minimizers(queries: DataFrame, references: DataFrame, threshold: float = 0.2, top: int | None = 30, k: int = 5, window: int = 5) -> DataFrame:
     """(query, reference, similarity, rank): share of a query's distinct minimizers that a reference has, best first.
 
-    Both sides are (id, seq).  A sequence without minimizers has no partners.  Ties rank by reference.
-    ``top`` None keeps every partner, without a rank.
+    Both sides are (id, seq), with unlike ids.  A sequence without minimizers has no partners.  Ties rank by reference.
+    ``top`` None keeps every partner, without a rank.  A word that all have brings no pairs together, if there are others.
     """
-    q = queries.select(F.col("id").alias("query"), minimizers("seq", k, window).alias("m"))
-    q = q.select("query", F.size("m").alias("n"), F.explode("m").alias("word"))
-    r = references.select(F.col("id").alias("reference"), F.explode(minimizers("seq", k, window)).alias("word"))
-    sims = q.join(r, "word").groupBy("query", "reference").agg((F.count("*") / F.first("n")).alias("similarity")).where(F.col("similarity") >= threshold)
+    q = queries.select(F.col("id").alias("query"), minimizers("seq", k, window).alias("mine"))
+    r = references.select(F.col("id").alias("reference"), minimizers("seq", k, window).alias("theirs"))
+    words = r.select("reference", F.explode("theirs").alias("word"))
+    n = F.size("mine")
+    # A reference that shares enough has one of the query's rarest words, as many as are left when the others would not do.
+    asked = q.select("query", (n - F.greatest(F.lit(1), F.ceil(n * threshold - 1e-9)) + 1).alias("most"), F.explode("mine").alias("word"))
+    known = words.groupBy("word").agg(F.count("*").alias("rows"))
+    rarest = F.row_number().over(Window.partitionBy("query").orderBy("rows", "word"))
+    asked = asked.join(known, "word", "left").withColumn("place", rarest).where(F.col("place") <= F.col("most")).select("query", "word")
+    pairs = asked.join(words, "word").select("query", "reference").distinct()
+    share = F.size(F.array_intersect("mine", "theirs")) / n
+    sims = pairs.join(q, "query").join(r, "reference").select("query", "reference", share.alias("similarity")).where(F.col("similarity") >= threshold)
     if top is None:
         return sims
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "reference"))

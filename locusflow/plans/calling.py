@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from locusflow.config import Config
 from locusflow.functions.sequence import ID_REPLACEMENTS, replace_in_order, sequence_hash
 from locusflow.functions.translate import translated
-from locusflow.operators import classify, cluster, dedup, matching
+from locusflow.operators import classify, cluster, dedup, matching, search
 from locusflow.runtime import Stage, bounded
 
 
@@ -32,10 +33,10 @@ class AlleleCaller:
     the first valid allele of each locus if not given.
     """
 
-    def __init__(self, alleles: DataFrame, representatives: DataFrame | None = None, config: Config = Config(), mode: int = 4, rounds: int = 20):
+    def __init__(self, alleles: DataFrame, representatives: DataFrame | None = None, config: Config = Config(), mode: int = 4):
         if mode not in (1, 2, 3, 4):
             raise ValueError("mode must be 1, 2, 3 or 4")
-        self.spark, self.config, self.mode, self.rounds = alleles.sparkSession, config, mode, rounds
+        self.spark, self.config, self.mode = alleles.sparkSession, config, mode
         self.stage = Stage(self.spark)
         coded = translated(alleles.withColumn("dna", F.upper("dna")), "dna", config.translation_table)
         hashed = coded.withColumn("dna_hash", sequence_hash("dna")).withColumn("prot_hash", sequence_hash("protein"))
@@ -75,16 +76,20 @@ class AlleleCaller:
         lengths = lengths.select("locus", F.transform("l", lambda x: x["n"]).alias("lengths"))
         reps = self.representatives if loci is None else self.representatives.join(loci.select("locus"), "locus", "left_semi")
         reps = reps.select("locus", F.concat_ws("_", "locus", "allele_id").alias("id"), F.col("protein").alias("seq"))
-        for k in range(self.rounds if self.mode == 4 else 1):
+        for k in itertools.count() if self.mode == 4 else range(1):
             proteins = dedup.distinct_proteins(left)
-            # The first round looks at clusters; later ones at every sequence that shares a minimizer with a representative.
-            level, least, top = (c.bsr + 0.1, c.clustering_sim, 30) if k == 0 else (c.bsr, 0.0, 500)
-            near = matching.shared_minimizers(proteins.select(F.col("prot_hash").alias("id"), F.col("protein").alias("seq")), reps.select("id", "seq"), least, top)
-            pairs = near.join(reps.select(F.col("id").alias("reference"), "locus", F.col("seq").alias("query_seq")), "reference").join(
-                proteins.select(F.col("prot_hash").alias("query"), F.col("protein").alias("target_seq")), "query"
-            )
-            pairs = pairs.select(F.col("reference").alias("query"), "locus", "query_seq", F.col("query").alias("target"), "target_seq")
-            hits = matching.align_pairs(pairs.repartition("query", "target")).withColumn("slen", F.length("target_seq"))
+            level = c.bsr + 0.1 if k == 0 else c.bsr
+            # The first round looks at clusters; later ones search all proteins that are left with the representatives.
+            if k == 0:
+                near = matching.shared_minimizers(proteins.select(F.col("prot_hash").alias("id"), F.col("protein").alias("seq")), reps.select("id", "seq"), c.clustering_sim, None)
+                pairs = near.join(reps.select(F.col("id").alias("reference"), "locus", F.col("seq").alias("query_seq")), "reference").join(
+                    proteins.select(F.col("prot_hash").alias("query"), F.col("protein").alias("target_seq")), "query"
+                )
+                pairs = pairs.select(F.col("reference").alias("query"), "locus", "query_seq", F.col("query").alias("target"), "target_seq")
+                hits = matching.align_pairs(pairs.repartition("query", "target")).withColumn("slen", F.length("target_seq"))
+            else:
+                found_by = search.search(reps.select("id", "seq"), proteins.select(F.col("prot_hash").alias("id"), F.col("protein").alias("seq")), stage=stage)
+                hits = found_by.join(reps.select(F.col("id").alias("query"), "locus", F.col("seq").alias("query_seq")), "query")
             scores = matching.self_scores(reps.select(F.col("id").alias("seqid"), F.col("seq").alias("protein")))
             rated = matching.filter_bsr(matching.best_hit(hits, order=("query",)), scores, level).withColumn("rep_nt", F.length("query_seq") * 3 + 3)
             each = matching.expand_matches(rated.withColumnRenamed("target", "prot_hash"), left, occurring, tips)

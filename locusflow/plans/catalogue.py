@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locusflow.functions import sequence as S
 from locusflow.functions.translate import codons, translate_native, translated
-from locusflow.operators import annotate, classify, cluster, dedup, evaluate, matching, profiles, store
+from locusflow.operators import annotate, classify, cluster, dedup, evaluate, genes, matching, profiles, search, store
 from locusflow.plans import calling
 from locusflow.plans import derived as D
 from locusflow.runtime import Stage, bounded
@@ -154,10 +154,12 @@ def dedup_sequences(spark, d):
     return dedup.distinct_dna(cds).select("dna_hash", F.col("rep.genome_ord").alias("rep"), "n")
 
 
-@query("SELECT h.doc_id, s.sources FROM (SELECT doc_id, sha256(text) AS k FROM documents) h JOIN (SELECT sha256(text) AS k, string_agg(DISTINCT source, '|' ORDER BY source) AS sources FROM documents GROUP BY 1) s USING (k)")
+@query("SELECT h.doc_id, s.sources FROM (SELECT doc_id, sha256(upper(text)) AS k FROM documents) h JOIN (SELECT sha256(upper(text)) AS k, string_agg(DISTINCT source, '|' ORDER BY source) AS sources FROM documents GROUP BY 1) s USING (k)")
 def propagate_to_sources(spark, d):
-    docs = D.table(spark, d, "documents").select("doc_id", "source", S.sequence_hash("text").alias("dna_hash"))
-    return docs.join(docs.groupBy("dna_hash").agg(F.array_join(F.array_sort(F.collect_set("source")), "|").alias("sources")), "dna_hash").select("doc_id", "sources")
+    docs = D.table(spark, d, "documents").select("doc_id", "source", F.col("text").alias("dna"))
+    found = docs.select(S.sequence_hash(F.upper("dna")).alias("dna_hash"), "source").distinct()
+    sources = found.groupBy("dna_hash").agg(F.array_join(F.array_sort(F.collect_list("source")), "|").alias("sources"))
+    return dedup.propagate(sources, docs).select("doc_id", "sources")
 
 
 @query("SELECT text, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY text HAVING count(*) > 1")
@@ -199,13 +201,21 @@ def minimizer_set(spark, d):
 
 
 @query(
-    "WITH q AS (SELECT DISTINCT id, m FROM (" + _MINI.format(id="p_partkey", t="p_name", src="part") + ") WHERE i <= n - 8), r AS (SELECT DISTINCT id, m FROM (" + _MINI.format(id="item_id", t="text", src="benchmark") + ") WHERE i <= n - 8), "
+    f"WITH {D.PROTEINS}, q AS (SELECT DISTINCT id, m FROM (" + _MINI.format(id="id", t="seq", src="parts") + ") WHERE i <= n - 8), r AS (SELECT DISTINCT id, m FROM (" + _MINI.format(id="id", t="seq", src="heads") + ") WHERE i <= n - 8), "
     "c AS (SELECT id, count(*) AS n FROM q GROUP BY id), s AS (SELECT q.id AS query, r.id AS reference, CAST(count(*) AS DOUBLE) / any_value(c.n) AS similarity FROM q JOIN r USING (m) JOIN c ON c.id = q.id GROUP BY 1, 2) "
     "SELECT query, reference, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, reference) AS rank FROM s WHERE similarity >= 0.01 QUALIFY rank <= 3"
 )
 def kmer_similarity_topn(spark, d):
-    parts = D.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("seq"))
-    return matching.shared_minimizers(parts, D.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("seq")), 0.01, 3)
+    heads, parts = D.part_proteins(spark, d)
+    return matching.shared_minimizers(parts, heads, 0.01, 3)
+
+
+@query("SELECT p_brand AS query, p_partkey AS target FROM part")
+def seeded_search(spark, d):
+    """Every part's protein is found by that of its brand, and by no other, at a score ratio of 0.4 or more."""
+    heads, parts = D.part_proteins(spark, d)
+    scores = matching.self_scores(heads.select(F.col("id").alias("seqid"), F.col("seq").alias("protein")))
+    return matching.filter_bsr(search.search(heads, parts), scores, 0.4).select("query", "target")
 
 
 @query("SELECT p_partkey, reverse(translate(upper(p_name), 'ACGT', 'TGCA')) AS rc FROM part")
@@ -290,9 +300,10 @@ def size_histogram(spark, d):
     return evaluate.size_histogram(D.table(spark, d, "documents"), "source", "n_chars")
 
 
-@query("SELECT source, arg_min(doc_id, (-n_chars, doc_id)) AS longest FROM documents GROUP BY source")
+@query("SELECT source, arg_min(doc_id, (-length(text), doc_id)) AS longest FROM documents GROUP BY source")
 def longest_per_group(spark, d):
-    return D.table(spark, d, "documents").groupBy("source").agg(F.min_by("doc_id", F.struct((-F.col("n_chars")).alias("n"), "doc_id")).alias("longest"))
+    docs = D.table(spark, d, "documents").select("source", "doc_id", F.col("text").alias("seq"))
+    return dedup.longest(docs, "source", "doc_id").select("source", F.col("doc_id").alias("longest"))
 
 
 @query("SELECT l_orderkey, unnest(list_filter(range(min(l_linenumber), max(l_linenumber) + 1), lambda x: NOT list_contains(list(l_linenumber), x))) AS missing FROM (SELECT l_orderkey, l_linenumber * 2 AS l_linenumber FROM lineitem) GROUP BY l_orderkey")
@@ -447,9 +458,9 @@ def profile_store(spark, d):
     return store.profile_json(D.event_profiles(spark, d))
 
 
-@query(f"WITH {_EV} SELECT FILE FROM p WHERE locus = 'click' AND replace(cell, 'INF-', '') = '4'")
+@query(f"WITH {_EV} SELECT FILE FROM p WHERE locus = 'click' AND replace(cell, 'INF-', '') = '10'")
 def outdated_profiles(spark, d):
-    return store.outdated(store.profile_json(D.event_profiles(spark, d)), "click", "4").select("FILE")
+    return store.outdated(store.profile_json(D.event_profiles(spark, d)), "click", "10").select("FILE")
 
 
 @query("SELECT n_nationkey AS locus, n_name, coalesce(r_name, '') AS region, coalesce(CAST(s.n AS VARCHAR), '') AS suppliers FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey > 0 LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1 HAVING count(*) > 1) s ON s_nationkey = n_nationkey")
@@ -537,9 +548,9 @@ def insert_new_profiles(spark, d):
     return store.insert_new(stored.join(known, "FILE", "left_semi"), stored).select("profile_id")
 
 
-@query(f"WITH {_EV}, q AS (SELECT FILE, locus, CASE WHEN locus = 'click' AND replace(cell, 'INF-', '') = '4' THEN '99' ELSE replace(cell, 'INF-', '') END AS cell FROM p WHERE cell <> 'LNF') SELECT FILE, '{{' || string_agg('\"' || locus || '\":\"' || cell || '\"', ',' ORDER BY locus) || '}}' AS profile FROM q GROUP BY FILE")
+@query(f"WITH {_EV}, q AS (SELECT FILE, locus, CASE WHEN locus = 'click' AND replace(cell, 'INF-', '') = '10' THEN '99' ELSE replace(cell, 'INF-', '') END AS cell FROM p WHERE cell <> 'LNF') SELECT FILE, '{{' || string_agg('\"' || locus || '\":\"' || cell || '\"', ',' ORDER BY locus) || '}}' AS profile FROM q GROUP BY FILE")
 def replace_identifiers(spark, d):
-    changes = spark.range(1).select(F.lit("click").alias("locus"), F.lit("4").alias("old"), F.lit("99").alias("new"))
+    changes = spark.range(1).select(F.lit("click").alias("locus"), F.lit("10").alias("old"), F.lit("99").alias("new"))
     return store.replace_identifiers(store.profile_json(D.event_profiles(spark, d)), changes).select("FILE", "profile")
 
 
@@ -637,6 +648,12 @@ def adapted_catalogue(spark, d):
     return calling.adapt_catalogue(D.supplier_alleles(spark, d))["summary"]
 
 
+@query(f"WITH {D.PLANTED} SELECT genome, contig, begin, begin + 606 AS \"end\", CAST(row_number() OVER (PARTITION BY genome ORDER BY CAST(substr(contig, 2) AS INT), begin) AS INT) AS protid, strand FROM planted")
+def predicted_genes(spark, d):
+    """Every planted gene is predicted on its strand with its start and stop, and nothing in the noise between them."""
+    return genes.predict(D.nation_contigs(spark, d), least=30.0).select("genome", "contig", "begin", "end", "protid", "strand")
+
+
 # Beyond SQL: folds and alignment, held against plain versions in the tests.
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return D.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("seqid"), F.upper("text").alias("seq"))

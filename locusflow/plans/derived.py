@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusflow.runtime import Stage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -100,6 +102,33 @@ GENES = f"""genes AS (
     SELECT s_nationkey, {_FAMILY} AS f, s_suppkey % 60 * 3 + 10 AS pos, ['GCC', 'ACC', 'CAC', 'GAC'][s_suppkey % 4 + 1] AS v FROM supplier))"""
 
 
+_RESIDUES = "ARNDCQEGHILKMFPS"
+
+
+def part_proteins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(id, seq) of proteins: one of each brand, and one of each part, which keeps about three quarters of its brand's residues."""
+    letters = lambda name, text: F.translate(F.upper(F.concat(*[F.sha2(F.concat(F.lit(f"{name}{k}-"), text).cast("binary"), 256) for k in range(2)])), "0123456789ABCDEF", _RESIDUES)
+    part = table(spark, sf_dir, "part")
+    heads = part.select(F.col("p_brand").alias("id")).distinct().withColumn("seq", letters("brand", F.col("id")))
+    key = F.col("p_partkey").cast("string")
+    each = part.select(F.col("p_partkey").alias("id"), letters("brand", F.col("p_brand")).alias("base"), letters("own", key).alias("own"), letters("pick", key).alias("pick"))
+    at = lambda text, i: F.substr(text, i, F.lit(1))
+    changed = F.transform(F.sequence(F.lit(1), F.lit(128)), lambda i: F.when(at(F.col("pick"), i).isin("A", "R", "N", "D"), at(F.col("own"), i)).otherwise(at(F.col("base"), i)))
+    # Written, as what is made from a sequence would else repeat its expression for every residue.
+    stage = Stage(spark)
+    return stage.write(heads, "heads"), stage.write(each.select("id", F.array_join(changed, "").alias("seq")), "parts")
+
+
+def _letters(name: str, text: str) -> str:
+    return "translate(upper(" + " || ".join(f"sha256('{name}{k}-' || {text})" for k in range(2)) + f"), '0123456789ABCDEF', '{_RESIDUES}')"
+
+
+PROTEINS = f"""heads AS (SELECT id, {_letters('brand', 'id')} AS seq FROM (SELECT DISTINCT p_brand AS id FROM part)),
+parts AS (
+  SELECT id, array_to_string(list_transform(range(1, 129), lambda i: CASE WHEN substr(pick, i, 1) IN ('A', 'R', 'N', 'D') THEN substr(own, i, 1) ELSE substr(base, i, 1) END), '') AS seq
+  FROM (SELECT p_partkey AS id, {_letters('brand', 'p_brand')} AS base, {_letters('own', 'p_partkey')} AS own, {_letters('pick', 'p_partkey')} AS pick FROM part))"""
+
+
 def supplier_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Their catalogue: all variants of a nation's gene, in the order of their first supplier."""
     from pyspark.sql import Window
@@ -107,3 +136,33 @@ def supplier_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = supplier_genes(spark, sf_dir).groupBy("locus", "locus_idx", "dna").agg(F.min("protid").alias("first"))
     place = F.row_number().over(Window.partitionBy("locus").orderBy("first"))
     return first.select("locus", "locus_idx", place.alias("allele_ord"), place.cast("string").alias("allele_id"), F.lit(False).alias("is_local"), "dna")
+
+
+def nation_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(genome, rec_ord, seqid, seq): a region is a genome, a nation with suppliers a contig, a supplier a gene between stretches of noise.
+
+    A gene is 200 codons of few kinds between a start and a stop; those of odd suppliers lie on the other strand.
+    """
+    hexes = lambda name, n: F.upper(F.concat(*[F.sha2(F.concat(F.lit(f"{name}{k}-"), F.col("s_suppkey").cast("string")).cast("binary"), 256) for k in range(n)]))
+    codon = F.transform(F.split(F.substring(hexes("gene", 4), 1, 200), ""), lambda c: F.get(F.array(*map(F.lit, _CODONS)), F.instr(F.lit("0123456789ABCDEF"), c) - 1))
+    dna = F.concat(F.lit("ATG"), F.array_join(codon, ""), F.lit("TAA"))
+    placed = F.when(F.col("s_suppkey") % 2 == 1, F.reverse(F.translate(dna, "ACGT", "TGCA"))).otherwise(dna)
+    noise = F.translate(hexes("noise", 5), "0123456789ABCDEF", "ACGTTGCAGTACCATG")
+    genes = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    each = genes.select("n_regionkey", "n_nationkey", "s_suppkey", F.concat(F.lit(_WALL), noise, F.lit(_WALL), placed).alias("x"))
+    whole = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "x"))), lambda r: r["x"]), ""), F.lit(_WALL))
+    contigs = each.groupBy("n_regionkey", "n_nationkey").agg(whole.alias("seq"))
+    named = contigs.select(F.concat(F.lit("r"), "n_regionkey").alias("genome"), F.col("n_nationkey").cast("long").alias("rec_ord"), F.concat(F.lit("n"), "n_nationkey").alias("seqid"), "seq")
+    return Stage(spark).write(named, "contigs")
+
+
+_CODONS = "CTG GCG GAA AAA GGC ATC GTG AAC CAG ACC CGC GAT TTC CCG TAC AGC".split()
+#: Stops in all six frames.
+_WALL = "TTAATTAATTAACTAGCTAGCTAG"
+
+#: Where the genes lie: noise of 320 bases between two walls, then the gene.
+PLANTED = f"""planted AS (
+  SELECT 'r' || n_regionkey AS genome, 'n' || n_nationkey AS contig,
+         (row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) - 1) * {2 * len(_WALL) + 320 + 606} + {2 * len(_WALL) + 320} AS begin,
+         CASE WHEN s_suppkey % 2 = 1 THEN -1 ELSE 1 END AS strand
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
