@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from locusflow import __version__
 from locusflow.config import Config
+from locusflow.functions.sequence import sequence_hash
 from locusflow.functions.translate import translated
-from locusflow.operators import annotate, classify, evaluate, profiles, store
+from locusflow.operators import annotate, classify, dedup, evaluate, genes, profiles, store
 from locusflow.operators.numbering import with_row_number
 from locusflow.plans import calling
+from locusflow.runtime import Stage
 from locusflow.sources import fasta, sinks
 
 MODULES = {
@@ -48,6 +50,8 @@ def _parser(name: str) -> argparse.ArgumentParser:
         p.add_argument("--l", "--minimum-length", dest="minimum_length", type=int, default=201 if name != "PrepExternalSchema" else 0)
         p.add_argument("--t", "--translation-table", dest="translation_table", type=int, default=11)
         p.add_argument("--st", "--size-threshold", dest="size_threshold", type=float, default=0.2 if name != "PrepExternalSchema" else None)
+    if name in ("AlleleCall", "CreateSchema"):
+        p.add_argument("--cds", "--cds-input", dest="cds_input", action="store_true", help="files hold coding sequences; no genes are predicted")
     if name == "AlleleCall":
         p.add_argument("--mode", type=int, choices=(1, 2, 3, 4), default=4)
         p.add_argument("--gl", "--genes-list", dest="genes_list")
@@ -83,34 +87,54 @@ def _listed(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.text(path).select(fasta.basename(first).alias(name) if name == "locus" else first.alias(name)).where(F.col(name) != "")
 
 
-def _cds(spark: SparkSession, paths: list[str]) -> DataFrame:
-    seqs = fasta.rename_cds(fasta.read_fasta(spark, paths, upper=True))
+def _cds(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Coding sequences of the files, as they are or of the genes predicted in their contigs, which then have places."""
+    records = fasta.read_fasta(spark, a.input, upper=True)
+    if a.cds_input:
+        seqs, place = fasta.rename_cds(records).withColumnRenamed("seq", "dna"), []
+    else:
+        contigs = records.select(fasta.genome_of("source").alias("genome"), "rec_ord", "seqid", "seq")
+        seqs = genes.predict(contigs, a.translation_table).withColumn("seqid", F.concat("genome", F.lit("-protein"), "protid"))
+        place = ["contig", "contig_len", "begin", "end", "strand"]
     names = seqs.select("genome").distinct().withColumn("_low", F.lower("genome"))
     order = with_row_number(names, "genome_ord", "_low", "genome").select("genome", F.col("genome_ord").cast("int"))
-    return seqs.join(order, "genome").select("genome", "genome_ord", "protid", "seqid", F.col("seq").alias("dna"))
+    out = seqs.join(order, "genome").select("genome", "genome_ord", F.col("protid").cast("int").alias("protid"), "seqid", "dna", *place)
+    return Stage(spark).write(out.withColumn("dna_hash", sequence_hash(F.upper("dna"))), "cds")
 
 
-def _wide(long: DataFrame, path: str, value: str = "cell", missing: object = None) -> None:
-    sinks.write_table(sinks.to_wide(long, sinks.locus_names(long), value, missing), path, single=True)
+def _wide(long: DataFrame, path: str, value: str = "cell", missing: str = "") -> None:
+    sinks.write_matrix(long, path, single=True, value=value, missing=missing)
 
 
 def create_schema(spark, a):
-    out = calling.create_catalogue(_cds(spark, a.input), _config(a))
+    out = calling.create_catalogue(_cds(spark, a), _config(a))
     sinks.write_fasta(out.select("locus", F.concat("locus", F.lit("_1")).alias("seqid"), F.col("dna").alias("seq")), f"{a.output}/schema_seed", by="locus")
     store.write_config(spark, f"{a.output}/config", {"bsr": [a.bsr], "translation_table": [a.translation_table], "minimum_locus_length": [0], "size_threshold": [a.size_threshold]})
 
 
 def allele_call(spark, a):
-    alleles, cds = fasta.read_alleles(spark, f"{a.schema_directory}/*.fasta"), _cds(spark, a.input)
+    alleles, cds = fasta.read_alleles(spark, f"{a.schema_directory}/*.fasta"), _cds(spark, a)
     loci = _listed(spark, a.genes_list, "locus") if a.genes_list else None
     caller = calling.AlleleCaller(alleles, config=_config(a), mode=a.mode)
-    calls = caller.run(cds, loci=loci)
-    _wide(calls.profiles, f"{a.output}/results_alleles")
-    cells = calls.cells.join(cds.select("genome_ord", F.col("genome").alias("FILE")).distinct(), "genome_ord")
+    tips = None if a.cds_input else classify.tips(cds).select("genome_ord", "dna_hash", "contig_len", "begin", "end", "strand")
+    calls = caller.run(cds, tips, loci)
+    ordered = calls.profiles.withColumnRenamed("genome_ord", "FILE_ord")
+    _wide(ordered, f"{a.output}/results_alleles")
+    genomes = cds.select("genome_ord", F.col("genome").alias("FILE")).distinct()
+    cells = calls.cells.join(genomes, "genome_ord")
+    found = classify.coordinate_cells(calls.cells, cds).withColumnRenamed("genome_ord", "FILE_ord").withColumnRenamed("cell", "place")
+    placed = ordered.join(found, ["locus", "FILE_ord"], "left").withColumn("cell", F.coalesce("place", "cell"))
+    _wide(placed, f"{a.output}/results_contigsInfo")
+    invalid = dedup.invalid_counts(calls.invalid, dedup.occurrences(cds)).join(genomes, "genome_ord")
+    shared = classify.paralog_groups(calls.cells).join(genomes, "genome_ord").join(classify.places(cds), ["genome_ord", "dna_hash"])
+    shared = shared.select(F.col("FILE").alias("Genome"), F.col("loci").alias("Loci"), F.col("place").alias("CDS"))
+    sinks.write_table(shared, f"{a.output}/paralogous_loci", single=True)
     totals = cds.groupBy(F.col("genome").alias("FILE")).agg(F.count("*").alias("n"))
     missing = "LNF" if a.mode == 4 else classify.PROBABLE_LNF
-    sinks.write_table(evaluate.calls_per_sample(cells, calls.profiles, calls.profiles, totals=totals, missing=missing), f"{a.output}/results_statistics", single=True)
-    sinks.write_table(profiles.locus_classes(calls.profiles, classify.CLASSES), f"{a.output}/loci_summary_stats", single=True)
+    sinks.write_table(evaluate.calls_per_sample(cells, calls.profiles, calls.profiles, invalid, totals, missing), f"{a.output}/results_statistics", single=True)
+    matched = calls.cells.groupBy("locus").agg(F.sum("n").alias("Total_CDS"))
+    per_locus = profiles.locus_classes(calls.profiles, classify.CLASSES).join(matched, "locus", "left").fillna(0, ["Total_CDS"])
+    sinks.write_table(per_locus, f"{a.output}/loci_summary_stats", single=True)
     sinks.write_table(classify.paralog_counts(calls.cells), f"{a.output}/paralogous_counts", single=True)
     sinks.write_table(calls.invalid, f"{a.output}/invalid_cds", single=True)
     if a.output_missing:
@@ -118,7 +142,7 @@ def allele_call(spark, a):
     if a.output_novel:
         sinks.write_fasta(calls.novel.select(F.concat_ws("_", "locus", "allele_id").alias("seqid"), F.col("dna").alias("seq")), f"{a.output}/novel_alleles")
     if a.output_unclassified:
-        rest = cds.withColumn("dna_hash", F.sha2(F.col("dna").cast("binary"), 256)).join(calls.matches.select("dna_hash"), "dna_hash", "left_anti")
+        rest = cds.join(calls.matches.select("dna_hash"), "dna_hash", "left_anti")
         sinks.write_fasta(rest.select("seqid", F.col("dna").alias("seq")), f"{a.output}/unclassified_sequences")
     if a.hash_profiles:
         known = calling.updated_catalogue(alleles, calls.novel)
@@ -142,11 +166,10 @@ def allele_call_evaluator(spark, a):
     present = profiles.presence(p)
     core = profiles.core_loci(present, 1.0)
     _wide(profiles.masked(p), f"{a.output}/masked_profiles")
-    _wide(present.join(p.select("locus", "locus_ord").distinct(), "locus"), f"{a.output}/presence_absence", "present", 0)
+    _wide(present.join(p.select("locus", "locus_ord").distinct(), "locus"), f"{a.output}/presence_absence", "present", "0")
     _wide(profiles.masked(p.join(core, "locus", "left_semi")), f"{a.output}/cgMLST_profiles")
-    names = [r[0] for r in p.select("FILE").distinct().orderBy("FILE").collect()]
-    dist = profiles.distances(p, symmetric=True).groupBy(F.col("a").alias("FILE")).pivot("b", names).agg(F.first("distance"))
-    sinks.write_table(dist, f"{a.output}/distance_matrix_symmetric", single=True)
+    dist = profiles.symmetrical(profiles.blocked_distances(p))
+    _wide(dist.select(F.col("a").alias("FILE"), F.col("b").alias("locus"), F.col("distance").alias("cell")), f"{a.output}/distance_matrix_symmetric")
     sinks.report({"lociStats": evaluate.summary(profiles.locus_classes(p, classify.CLASSES))}, f"{a.output}/allelecall_report.html", "Allele call report")
 
 
@@ -157,7 +180,7 @@ def extract_cgmlst(spark, a):
     if a.genomes:
         p = profiles.drop_samples(p, _listed(spark, a.genomes, "FILE"))
     present = profiles.presence(p)
-    _wide(present.join(p.select("locus", "locus_ord").distinct(), "locus"), f"{a.output}/presence_absence", "present", 0)
+    _wide(present.join(p.select("locus", "locus_ord").distinct(), "locus"), f"{a.output}/presence_absence", "present", "0")
     sinks.write_table(profiles.missing_data(present).orderBy("missing", "FILE"), f"{a.output}/missing_loci_stats", single=True)
     for t in a.threshold:
         core = profiles.core_loci(present, t)

@@ -28,7 +28,7 @@ class Config:
 
         need(0 <= self.bsr <= 1, "bsr must be within 0 and 1")
         need(self.minimum_length >= 0, "minimum_length must not be negative")
-        need(self.size_threshold is None or self.size_threshold >= 0, "size_threshold must not be negative")
+        need(self.size_threshold is None or 0 <= self.size_threshold <= 1, "size_threshold must be within 0 and 1")
         need(self.translation_table in CODES, f"no genetic code {self.translation_table}")
         need(self.word_size == 5 and self.window_size == 5, "word_size and window_size are 5")
         need(self.clustering_sim == 0.2, "clustering_sim is 0.2")

@@ -27,11 +27,12 @@ def digest_udf(kind: str):
     return run
 
 
-def encode_polyline(numbers: list[int], precision: int = 0) -> str:
-    """Differences of the scaled numbers, sign folded into the lowest bit, in letters of five bits each, lowest first."""
-    out, last = [], 0
-    for number in (int(x * 10**precision) for x in numbers):
-        step, last = number - last, number
+def encode_polyline(numbers: list[float], precision: int = 0) -> str:
+    """A letter for the precision, then the differences of the numbers, scaled and rounded, sign folded into the lowest bit,
+    in letters of five bits each, lowest first."""
+    out, last = [chr(precision + 63)], 0
+    for number in numbers:
+        step, last = round((number - last) * 10**precision), number
         bits = ~(step << 1) if step < 0 else step << 1
         while True:
             bits, low = bits >> 5, bits & 31
@@ -41,15 +42,17 @@ def encode_polyline(numbers: list[int], precision: int = 0) -> str:
     return "".join(out)
 
 
-def decode_polyline(text: str, precision: int = 0) -> list[int | float]:
+def decode_polyline(text: str) -> list[int | float]:
+    """The numbers, to the precision that the first letter gives; none of an empty text."""
     out, total, bits, shift = [], 0, 0, 0
-    for letter in text:
+    precision = ord(text[0]) - 63 if text else 0
+    for letter in text[1:]:
         value = ord(letter) - 63
         bits |= (value & 31) << shift
         shift += 5
         if not value & 32:
             total += ~(bits >> 1) if bits & 1 else bits >> 1
-            out.append(total / 10**precision if precision else total)
+            out.append(round(total / 10**precision, precision) if precision else total)
             bits = shift = 0
     return out
 

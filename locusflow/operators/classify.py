@@ -195,13 +195,21 @@ def tips(cds: DataFrame) -> DataFrame:
     return cds.withColumn("_f", first).withColumn("_l", last).where("_f = 1 or _l = 1").drop("_f", "_l")
 
 
+def places(cds: DataFrame) -> DataFrame:
+    """(genome_ord, dna_hash, place): where a sequence stands first in a genome, as contig&begin-end&strand, or its
+    identifier where ``cds`` (genome_ord, dna_hash, contig, begin, end, strand or seqid, protid) has no contigs."""
+    if "contig" not in cds.columns:
+        return cds.groupBy("genome_ord", "dna_hash").agg(F.min_by("seqid", "protid").alias("place"))
+    place = F.concat("contig", F.lit("&"), "begin", F.lit("-"), "end", F.lit("&"), "strand")
+    return cds.groupBy("genome_ord", "dna_hash").agg(F.min_by(place, F.struct("contig", "begin")).alias("place"))
+
+
 def coordinate_cells(marked: DataFrame, cds: DataFrame) -> DataFrame:
-    """(locus, genome_ord, cell): place of valid cells as contig&begin-end&strand, or the hash without a place; else the class.
+    """(locus, genome_ord, cell): place of valid cells, or the hash without a place; else the class.
 
-    ``marked`` are cells after mark_paralogous; ``cds``: genome_ord, dna_hash, contig, begin, end, strand.
+    ``marked`` are cells after mark_paralogous; ``cds`` as for places().
     """
-    place = F.concat("contig", F.lit("&"), "begin", F.lit("-"), "end", F.lit("&"), "strand")
-    first = cds.groupBy("genome_ord", "dna_hash").agg(F.min_by(place, F.struct("contig", "begin")).alias("place"))
+    first = places(cds)
     valid = F.col("class").isin("EXC", "INF")
     out = marked.join(first, ["genome_ord", "dna_hash"], "left")
     return out.select("locus", "genome_ord", F.when(valid, F.coalesce("place", "dna_hash")).otherwise(F.col("class")).alias("cell"))

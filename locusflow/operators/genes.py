@@ -103,11 +103,23 @@ def with_bases(frames: DataFrame, parts: DataFrame, size: int = PIECE) -> DataFr
     return frames.join(dna, keys)
 
 
+def longest_frames(frames: DataFrame, bin_size: int = 100) -> DataFrame:
+    """The frames that are the longest over more than half of the stretch they lie in, by bins of so many bases."""
+    own = F.struct((F.col("end") - F.col("begin")).alias("n"), "begin", "strand", "end")
+    lies = frames.select("genome", "contig", own.alias("own"), F.explode(F.sequence(F.floor(F.col("begin") / bin_size), F.floor((F.col("end") - 1) / bin_size))).alias("bin"))
+    won = lies.groupBy("genome", "contig", "bin").agg(F.max("own").alias("own")).groupBy("genome", "contig", "own").agg(F.count("*").alias("won"))
+    bins = F.floor((F.col("own.end") - 1) / bin_size) - F.floor(F.col("own.begin") / bin_size) + 1
+    keep = won.where(2 * F.col("won") > bins).select("genome", "contig", "own.strand", "own.begin", "own.end")
+    return frames.join(keep, keep.columns, "left_semi")
+
+
 def training_frames(frames: DataFrame, least: int = TRAINING) -> DataFrame:
-    """The frames of at least ``least`` bases with most G and C at the codon position that most bases of such frames prefer."""
+    """Frames of at least ``least`` bases, the longest where they lie, with most G and C at the codon position that most
+    bases of such frames prefer."""
+    frames = longest_frames(frames.where(F.length("dna") >= least))
     gc = [F.length(F.regexp_replace(F.regexp_replace("dna", "(.)(.)(.)", f"${k}"), "[^GC]", "")) for k in (1, 2, 3)]
     first = F.when((gc[0] > gc[1]) & (gc[0] >= gc[2]), 1).when((gc[1] >= gc[0]) & (gc[1] > gc[2]), 2).otherwise(3)
-    long = frames.where(F.length("dna") >= least).select("genome", "dna", first.alias("richest"))
+    long = frames.select("genome", "dna", first.alias("richest"))
     votes = long.groupBy("genome", "richest").agg(F.sum(F.length("dna")).alias("bases"))
     best = votes.groupBy("genome").agg(F.max_by("richest", F.struct("bases", "richest")).alias("richest"))
     return long.join(best, ["genome", "richest"], "left_semi").select("genome", "dna")

@@ -123,15 +123,10 @@ def star_alignment(seqs: list[str]) -> list[str]:
 
 
 def aligned_loci(proteins: DataFrame) -> DataFrame:
-    """(locus, FILE, aligned) of (locus, FILE, seq): the distinct sequences of a locus, its alleles, are one group."""
-    ship(proteins.sparkSession)
+    """(locus, FILE, aligned) of (locus, FILE, seq): the distinct sequences of a locus, its alleles, are aligned once."""
+    from locusflow.operators.msa import align_groups
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        return pd.DataFrame({"locus": rows["locus"].astype(object), "seq": rows["seq"].astype(object), "aligned": star_alignment(list(rows["seq"]))})
-
-    alleles = proteins.select("locus", "seq").distinct().groupBy("locus").applyInPandas(run, "locus string, seq string, aligned string")
-    return proteins.join(alleles, ["locus", "seq"]).select("locus", "FILE", "aligned")
+    return proteins.join(align_groups(proteins.select("locus", "seq")), ["locus", "seq"]).select("locus", "FILE", "aligned")
 
 
 def concatenated(aligned: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locusflow.functions import sequence as S
 from locusflow.functions.translate import codons, translate_native, translated
-from locusflow.operators import annotate, classify, cluster, dedup, evaluate, genes, matching, profiles, search, store
+from locusflow.operators import annotate, classify, cluster, dedup, evaluate, genes, matching, phylo, profiles, search, store
 from locusflow.plans import calling
 from locusflow.plans import derived as D
 from locusflow.runtime import Stage, bounded
@@ -654,6 +654,17 @@ def predicted_genes(spark, d):
     return genes.predict(D.nation_contigs(spark, d), least=30.0).select("genome", "contig", "begin", "end", "protid", "strand")
 
 
+@query(
+    f"WITH {D.PROTEINS}, own AS (SELECT p_brand AS locus, p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN substr(seq, 1, p_partkey % 90 + 1) || substr(seq, CAST(p_partkey % 90 + 8 AS BIGINT)) ELSE seq END AS seq FROM part JOIN parts ON id = p_partkey) "
+    "SELECT locus, CAST(id AS VARCHAR) AS FILE, seq, 1 AS widths FROM own"
+)
+def progressive_alignment(spark, d):
+    """Every sequence of a locus is aligned to one width, and without its gaps is what it was."""
+    aligned = phylo.aligned_loci(D.brand_proteins(spark, d))
+    widths = aligned.groupBy("locus").agg(F.count_distinct(F.length("aligned")).cast("int").alias("widths"))
+    return aligned.join(widths, "locus").select("locus", "FILE", F.replace("aligned", F.lit("-"), F.lit("")).alias("seq"), "widths")
+
+
 # Beyond SQL: folds and alignment, held against plain versions in the tests.
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return D.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("seqid"), F.upper("text").alias("seq"))

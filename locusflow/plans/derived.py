@@ -166,3 +166,13 @@ PLANTED = f"""planted AS (
          (row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) - 1) * {2 * len(_WALL) + 320 + 606} + {2 * len(_WALL) + 320} AS begin,
          CASE WHEN s_suppkey % 2 = 1 THEN -1 ELSE 1 END AS strand
   FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+
+def brand_proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(locus, FILE, seq): the proteins of the parts; a brand is a locus, a part a sample.  Every third lacks a stretch of its own."""
+    _, parts = part_proteins(spark, sf_dir)
+    brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("locus"))
+    at = (F.col("id") % 90 + 1).cast("int")
+    cut = F.concat(F.substr("seq", F.lit(1), at), F.substr("seq", at + 7))
+    named = parts.join(brands, "id").select("locus", F.col("id").cast("string").alias("FILE"), F.when(F.col("id") % 3 == 0, cut).otherwise(F.col("seq")).alias("seq"))
+    return Stage(spark).write(named, "brand_proteins")

@@ -15,16 +15,45 @@ PREFIX_LENGTH = 30
 def read_fasta(spark: SparkSession, paths: str | list[str], upper: bool = False) -> DataFrame:
     """(source, rec_ord, seqid, header, seq) of each record; compressed files are read as such.
 
-    The identifier is the header up to the first white space.  ``rec_ord`` orders the records of a file; it grows with
-    the place in the file and is not dense.
+    A record starts at a ``>`` at the start of a line, so that one inside a header stays part of it.  The identifier is the
+    header up to the first white space; carriage returns and white space in sequences go.  ``rec_ord`` orders the records
+    of a file; it grows with the place in the file and is not dense.  Blank files have no records; text before the first
+    header is taken for a record, which validity() tells.
     """
-    raw = spark.read.text(paths, lineSep=">").select(F.input_file_name().alias("source"), F.monotonically_increasing_id().alias("rec_ord"), "value")
-    lines = F.split(F.regexp_replace("value", "\r", ""), "\n", 2)
+    raw = spark.read.text(paths, lineSep="\n>").select(F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("rec_ord"), F.col("_metadata.file_block_start").alias("block"), "value")
+    # Only the first record of a file still has its mark.
+    value = F.when((F.col("block") == 0) & F.col("value").startswith(">"), F.substr("value", F.lit(2))).otherwise(F.col("value"))
+    lines = F.split(F.regexp_replace(value, "\r", ""), "\n", 2)
     seq = F.regexp_replace(F.coalesce(F.get(lines, F.lit(1)), F.lit("")), r"\s+", "")
     out = raw.where(F.trim("value") != "").select("source", "rec_ord", F.get(lines, F.lit(0)).alias("header"), (F.upper(seq) if upper else seq).alias("seq"))
     return out.select("source", "rec_ord", F.regexp_extract("header", r"^\s*(\S*)", 1).alias("seqid"), "header", "seq")
 
 
+#: Identifiers up to which a fetch asks the index for each of them; more are joined.
+ASKED = 256
+
+
+def write_index(seqs: DataFrame, path: str, page_rows: int = 50) -> None:
+    """``seqs`` sorted by identifier, in pages of few records with their bounds and a filter of the identifiers, for fetch_indexed()."""
+    dealt = seqs.repartitionByRange("seqid", "source", "rec_ord").sortWithinPartitions("seqid", "source", "rec_ord")
+    pages = {"parquet.page.row.count.limit": page_rows, "parquet.bloom.filter.enabled#seqid": "true", "compression": "zstd"}
+    dealt.write.mode("errorifexists").options(**pages).parquet(path)
+
+
+def fetch_indexed(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """Records of the identifiers in ``ids`` (seqid, ord), in their order; of few, only their pages of the index are read.
+
+    Null identifiers are none; one that is asked twice comes twice, and one that several records have brings all of them.
+    """
+    index, asked = spark.read.parquet(path), [r["seqid"] for r in ids.select("seqid").where("seqid is not null").distinct().limit(ASKED + 1).collect()]
+    if len(asked) <= ASKED:
+        tests = [F.col("seqid") == x for x in asked] or [F.lit(False)]
+        while len(tests) > 1:
+            tests = [a | b for a, b in zip(tests[::2], tests[1::2], strict=False)] + (tests[-1:] if len(tests) % 2 else [])
+        index = index.where(tests[0])
+    return ids.join(index, "seqid").orderBy("ord", "source", "rec_ord")
+
+
 def last_record(seqs: DataFrame) -> DataFrame:
     """One record of each (source, seqid): the last."""
     return seqs.groupBy("source", "seqid").agg(F.max_by("seq", "rec_ord").alias("seq"), F.max("rec_ord").alias("rec_ord"))
@@ -48,16 +77,26 @@ def list_inputs(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def validity(inputs: DataFrame, seqs: DataFrame) -> DataFrame:
-    """``inputs`` with ``is_fasta``: at least one record parses; a file without content is none."""
-    some = seqs.where(F.col("seqid") != "").select(F.col("source").alias("path")).distinct().withColumn("is_fasta", F.lit(True))
-    return inputs.join(some, "path", "left").withColumn("is_fasta", F.coalesce("is_fasta", F.lit(False)))
+    """``inputs`` with ``is_fasta``: the first line with any text is a header; a file without content is none."""
+    paths = [r["path"] for r in inputs.select("path").collect()]
+    some = inputs.sparkSession.read.text(paths) if paths else None
+    if some is None:
+        return inputs.withColumn("is_fasta", F.lit(False))
+    lines = some.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), F.substring("value", 1, 1).alias("mark"), (F.trim("value") != "").alias("text"))
+    first = lines.where("text").groupBy("path").agg(F.min_by("mark", "at").alias("mark"))
+    named = seqs.where(F.col("seqid") != "").select(F.col("source").alias("path")).distinct()
+    good = first.where("mark = '>'").join(named, "path", "left_semi").select("path", F.lit(True).alias("is_fasta"))
+    return inputs.join(good, "path", "left").withColumn("is_fasta", F.coalesce("is_fasta", F.lit(False)))
 
 
 def name_problems(inputs: DataFrame) -> DataFrame:
-    """(genome, problem): prefixes used twice, with blanks, or too long."""
+    """(genome, problem): prefixes used twice, with blanks, too long, or like an entry of the protein data bank.
+
+    Such an entry is a digit and three letters or digits, alone or with a chain of one or more after an underscore.
+    """
     per = inputs.groupBy("genome").agg(F.count("*").alias("n"))
     problems = F.array_compact(
-        F.array(F.when(F.col("n") > 1, "duplicate"), F.when(F.instr("genome", " ") > 0, "blank"), F.when(F.length("genome") > PREFIX_LENGTH, "long"))
+        F.array(F.when(F.col("n") > 1, "duplicate"), F.when(F.instr("genome", " ") > 0, "blank"), F.when(F.length("genome") > PREFIX_LENGTH, "long"), F.when(F.col("genome").rlike(r"^[0-9][A-Za-z0-9]{3}(_[A-Za-z0-9]+)?$"), "pdb"))
     )
     return per.select("genome", F.explode(problems).alias("problem"))
 

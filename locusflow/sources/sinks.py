@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.functions.sequence import elapsed, parse_time
+from locusflow.operators.numbering import with_row_number
+from locusflow.runtime import bounded
 
 
 def fasta_record(seqid: Column | str, seq: Column | str) -> Column:
@@ -36,8 +38,46 @@ def locus_names(long: DataFrame) -> list[str]:
     return [r["locus"] for r in long.groupBy("locus").agg(F.min(order).alias("o")).orderBy("o", "locus").collect()]
 
 
-def transpose(wide: DataFrame, key: str = "FILE") -> DataFrame:
-    return wide.transpose(F.col(key))
+def transpose(long: DataFrame, key: str = "FILE", column: str = "locus") -> DataFrame:
+    """A matrix in long form with rows and columns changed, their orders too; as long, it has no bound on either."""
+    names = {key: column, column: key, f"{key}_ord": f"{column}_ord", f"{column}_ord": f"{key}_ord"}
+    return long.select(*[F.col(c).alias(names.get(c, c)) for c in long.columns])
+
+
+def matrix_lines(long: DataFrame, key: str = "FILE", column: str = "locus", value: str = "cell", missing: str = "", sep: str = "\t", block: int = 1000) -> DataFrame:
+    """(place, value): the lines of a matrix of any width, its header first, from cells in long form.
+
+    Rows and columns stand in the order of ``<key>_ord`` and ``<column>_ord`` where there are such, else of their names.
+    Cells are put together in blocks of columns, and the blocks of a row to its line, so that no plan has a column a
+    locus.  Cells that are absent or null are ``missing``; of several in one place the least is taken.
+    """
+    ordered = lambda name: [f"{name}_ord", name] if f"{name}_ord" in long.columns else [name]
+
+    def numbered(name: str, as_: str) -> DataFrame:
+        first = ordered(name)
+        each = long.groupBy(name).agg(F.min(first[0]).alias(first[0])) if len(first) > 1 else long.select(name).distinct()
+        return with_row_number(each, as_, *first).select(name, as_)
+
+    rows, columns = numbered(key, "place"), numbered(column, "at").withColumn("block", F.floor((F.col("at") - 1) / block))
+    blocks = columns.groupBy("block").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.array_sort(F.collect_list(F.struct("at", F.col(column).cast("string").alias("name")))).alias("names"))
+    placed = long.select(key, column, F.col(value).cast("string").alias("cell")).where("cell is not null").join(bounded(columns), column)
+    cells = placed.groupBy(key, "block", "at").agg(F.min("cell").alias("cell")).groupBy(key, "block").agg(F.map_from_entries(F.collect_list(F.struct("at", "cell"))).alias("cells"))
+    # Every row has every block, whole or not: a line has as many cells as there are columns.
+    whole = rows.join(bounded(blocks.select("block", "low", "high")), how="cross").join(cells, [key, "block"], "left")
+    cell = lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(missing))
+    part = F.array_join(F.transform(F.sequence("low", "high"), cell), sep)
+    line = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", x.alias("text")))), lambda b: b["text"]), sep)
+    body = whole.select("place", key, "block", part.alias("text")).groupBy("place", key).agg(line(F.col("text")).alias("cells"))
+    head = blocks.select(F.lit(0).cast("long").alias("place"), F.lit(key).alias(key), "block", F.array_join(F.transform("names", lambda x: x["name"]), sep).alias("text"))
+    head = head.groupBy("place", key).agg(line(F.col("text")).alias("cells"))
+    return head.unionByName(body.withColumn("place", F.col("place").cast("long")).withColumn(key, F.col(key).cast("string"))).select("place", F.concat_ws(sep, key, "cells").alias("value"))
+
+
+def write_matrix(long: DataFrame, path: str, single: bool = False, mode: str = "error", **how: str) -> None:
+    """matrix_lines() as text, in order; ``single`` makes one file."""
+    lines = matrix_lines(long, **how)
+    dealt = lines.repartitionByRange(1, "place") if single else lines.repartitionByRange("place")
+    dealt.sortWithinPartitions("place").select("value").write.mode(mode).text(path)
 
 
 def concatenate(parts: list[DataFrame]) -> DataFrame:

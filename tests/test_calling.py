@@ -102,13 +102,18 @@ def test_command_line(spark, tmp_path):
     for i, p in enumerate(P[:3], 1):
         write(tmp_path / "schema" / f"locus{i}.fasta", [(f"locus{i}_1", gene(p))])
     write(tmp_path / "gA.fasta", [("x", gene(P[0])), ("y", gene(near(P[2], 4)))])
-    write(tmp_path / "gB.fasta", [("x", gene(P[0])), ("z", gene(P[1]))])
+    write(tmp_path / "gB.fasta", [("x", gene(P[0])), ("z", gene(P[1])), ("bad", gene(P[1])[:-3])])
     out = str(tmp_path / "res")
-    assert cli.main(["AlleleCall", "-i", f"{tmp_path}/gA.fasta", f"{tmp_path}/gB.fasta", "-g", f"{tmp_path}/schema", "-o", out, "--hash-profiles", "crc32", "--output-novel"]) == 0
+    assert cli.main(["AlleleCall", "-i", f"{tmp_path}/gA.fasta", f"{tmp_path}/gB.fasta", "-g", f"{tmp_path}/schema", "-o", out, "--cds", "--hash-profiles", "crc32", "--output-novel"]) == 0
     wide = {r["FILE"]: r.asDict() for r in fasta.read_table(spark, f"{out}/results_alleles").collect()}
     assert wide["gA"] == {"FILE": "gA", "locus1": "1", "locus2": "LNF", "locus3": "INF-2"} and wide["gB"]["locus2"] == "1"
     stats = {r["FILE"]: r.asDict() for r in fasta.read_table(spark, f"{out}/results_statistics").collect()}
-    assert stats["gA"]["EXC"] == "1" and stats["gA"]["INF"] == "1" and stats["gA"]["LNF"] == "1" and stats["gB"]["total_cds"] == "2"
+    info = {r["FILE"]: r.asDict() for r in fasta.read_table(spark, f"{out}/results_contigsInfo").collect()}
+    assert info["gA"] == {"FILE": "gA", "locus1": "gA-protein1", "locus2": "LNF", "locus3": "gA-protein2"}
+    assert stats["gB"]["invalid_cds"] == "1" and fasta.read_table(spark, f"{out}/paralogous_loci").count() == 0
+    per = {r["locus"]: r["Total_CDS"] for r in fasta.read_table(spark, f"{out}/loci_summary_stats").collect()}
+    assert per == {"locus1": "2", "locus2": "1", "locus3": "1"}
+    assert stats["gA"]["EXC"] == "1" and stats["gA"]["INF"] == "1" and stats["gA"]["LNF"] == "1" and stats["gB"]["total_cds"] == "3"
     assert cli.main(["ExtractCgMLST", "-i", f"{out}/results_alleles", "-o", f"{tmp_path}/core"]) == 0
     assert [r[0] for r in spark.read.text(f"{tmp_path}/core/cgMLSTschema100").collect()] == ["locus1"]
     (tmp_path / "genes.txt").write_text("locus2.fasta\n")
@@ -121,6 +126,32 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["AlleleCallEvaluator", "-i", f"{out}/results_alleles", "-g", f"{tmp_path}/schema", "-o", f"{tmp_path}/calls"]) == 0
 
 
+def test_command_line_on_genomes(spark, tmp_path):
+    """Genes are predicted, calls have their places on the contigs, and a gene cut off near a contig's end is told."""
+    wall, r = "TTAATTAATTAACTAGCTAGCTAG", random.Random(8)
+    noise = lambda n: wall + "".join(r.choice("ACGT") for _ in range(n)) + wall
+    ps = proteins(10, 21, 120)
+    (tmp_path / "schema").mkdir()
+    for i, p in enumerate(ps[:3], 1):
+        write(tmp_path / "schema" / f"locus{i}.fasta", [(f"locus{i}_1", gene(p))])
+    text, places = noise(100), {}
+    for i, p in enumerate(ps[:2] + ps[3:], 1):
+        dna = gene(near(p, 3) if i == 2 else p)
+        places[i] = (len(text), len(text) + len(dna))
+        text += (dna if i % 2 else dna.translate(str.maketrans("ACGT", "TGCA"))[::-1]) + noise(120)
+    # The third locus lacks its first 40 residues: it starts anew at a methionine, right at the contig's start.
+    cut = "AA" + gene("M" + ps[2][41:]) + noise(200)
+    write(tmp_path / "gA.fasta", [("c1 5'->3'", text), ("c2", cut)])
+    out = str(tmp_path / "res")
+    assert cli.main(["AlleleCall", "-i", f"{tmp_path}/gA.fasta", "-g", f"{tmp_path}/schema", "-o", out]) == 0
+    cells = fasta.read_table(spark, f"{out}/results_alleles").first().asDict()
+    info = fasta.read_table(spark, f"{out}/results_contigsInfo").first().asDict()
+    assert cells["locus1"] == "1" and cells["locus2"] == "INF-2" and cells["locus3"] in ("PLOT5", "PLOT3", "LOTSC"), cells
+    assert info["locus1"] == f"c1&{places[1][0]}-{places[1][1]}&1" and info["locus2"] == f"c1&{places[2][0]}-{places[2][1]}&-1" and info["locus3"] == cells["locus3"]
+    stats = fasta.read_table(spark, f"{out}/results_statistics").first().asDict()
+    assert stats["EXC"] == stats["INF"] == "1" and int(stats["total_cds"]) >= 10
+
+
 def test_help(capsys):
     assert cli.main([]) == 0 and cli.main(["--version"]) == 0 and cli.main(["Nonsense"]) == 1
     shown = capsys.readouterr().out

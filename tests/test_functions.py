@@ -72,7 +72,13 @@ def test_polyline():
     for _ in range(200):
         numbers = [r.randrange(-10**6, 10**6) for _ in range(r.randrange(8))]
         assert C.decode_polyline(C.encode_polyline(numbers)) == numbers
-    assert C.encode_polyline([38.5, -120.2], 5) == "_p~iF~ps|U" or C.decode_polyline(C.encode_polyline([38.5], 5), 5) == [38.5]
+    for precision in range(1, 7):
+        for _ in range(100):
+            numbers = [round(r.uniform(-500, 500), precision) for _ in range(r.randrange(8))]
+            text = C.encode_polyline(numbers, precision)
+            assert ord(text[0]) - 63 == precision and C.decode_polyline(text) == numbers
+    assert C.decode_polyline(C.encode_polyline([0.29, 0.58, -0.29], 2)) == [0.29, 0.58, -0.29]
+    assert C.encode_polyline([38.5], 5) == "D_p~iF" and C.encode_polyline([], 0) == "?" and C.encode_polyline([1, 0, 200], 0) == "?A@oK"
 
 
 def test_codes():

@@ -151,7 +151,7 @@ def test_store(spark, tmp_path):
 
 
 def test_config():
-    for bad in ({"bsr": 1.2}, {"minimum_length": -1}, {"size_threshold": -0.1}, {"translation_table": 7}, {"word_size": 4}, {"intra_filter": 0.5}):
+    for bad in ({"bsr": 1.2}, {"minimum_length": -1}, {"size_threshold": -0.1}, {"size_threshold": 1.1}, {"translation_table": 7}, {"word_size": 4}, {"intra_filter": 0.5}):
         with pytest.raises(ValueError):
             Config(**bad)
     assert reconcile({"bsr": [0.6]}, {"bsr": 0.6})[0]["bsr"] == 0.6
@@ -180,11 +180,74 @@ def test_fasta(spark, tmp_path):
     assert {r["seqid"]: r["seq"] for r in fasta.last_record(seqs).collect()} == {"a": "GGG", "b": "AC"}
     assert [r["seqid"] for r in fasta.rename_cds(seqs).orderBy("protid").collect()] == ["g-protein1", "g-protein2", "g-protein3"]
     inputs = fasta.list_inputs(spark, str(tmp_path))
+    valid = fasta.validity(inputs, fasta.read_fasta(spark, str(tmp_path))).collect()
+    assert {r["path"].rsplit("/", 1)[1]: r["is_fasta"] for r in valid} == {"g.one.fasta": True, "text.fasta": False}
     assert inputs.count() == 2 and fasta.statistics(seqs).first()["max_length"] == 6
     sinks.write_fasta(seqs.select("seqid", "seq"), f"{tmp_path}/out")
     assert fasta.read_fasta(spark, f"{tmp_path}/out").count() == 3
-    problems = fasta.name_problems(spark.createDataFrame([("a b",), ("x" * 31,), ("d",), ("d",)], "genome string"))
-    assert {(r[0][:3], r[1]) for r in problems.collect()} == {("a b", "blank"), ("xxx", "long"), ("d", "duplicate")}
+    problems = fasta.name_problems(spark.createDataFrame([("a b",), ("x" * 31,), ("d",), ("d",), ("1abc",), ("8CAF_B",), ("abcd",), ("1abcd",)], "genome string"))
+    assert {(r[0][:3], r[1]) for r in problems.collect()} == {("a b", "blank"), ("xxx", "long"), ("d", "duplicate"), ("1ab", "pdb"), ("8CA", "pdb")}
+
+
+def test_fasta_records_start_at_lines(spark, tmp_path):
+    """A mark inside a header is part of it; CRLF, blank lines, empty records, wrapped lines and files in small splits."""
+    r = __import__("random").Random(3)
+    text = "\n>sp|P1|X 5'->3' exonuclease\r\nACGT\r\nTT GG\r\n>empty\r\n>next a>b >c\nAC\n\nGT\n>>twice\nA\n>last"
+    (tmp_path / "odd.fasta").write_bytes(text.encode())
+    got = [(x["seqid"], x["header"], x["seq"]) for x in fasta.read_fasta(spark, f"{tmp_path}/odd.fasta").orderBy("rec_ord").collect()]
+    assert got[:3] == [("sp|P1|X", "sp|P1|X 5'->3' exonuclease", "ACGTTTGG"), ("empty", "empty", ""), ("next", "next a>b >c", "ACGT")]
+    assert [x[2] for x in got[3:]] == ["A", ""] and got[4][0] == "last"
+    want = [(f"r{i}", "".join(r.choice("ACGT>") if j % 70 else r.choice("ACGT") for j in range(r.randrange(400)))) for i in range(2000)]
+    wrapped = "".join(f">{i} 5'->3'\n" + "".join(s[k : k + 70] + "\n" for k in range(0, len(s), 70)) for i, s in want)
+    (tmp_path / "many.fasta").write_text(wrapped)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = fasta.read_fasta(spark, f"{tmp_path}/many.fasta").orderBy("rec_ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(x["seqid"], x["seq"]) for x in rows] == want
+
+
+def rows_read(df):
+    """Rows that the scans of files gave in the plan of ``df``, which has run."""
+    left, n = [df._jdf.queryExecution().executedPlan()], 0
+    while left:
+        node = left.pop()
+        name = node.nodeName()
+        if name.startswith("Scan parquet"):
+            n += node.metrics().apply("numOutputRows").value()
+        if name == "AdaptiveSparkPlan":
+            left.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            left.append(node.plan())
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return n
+
+
+def test_index_reads_few_pages(spark, tmp_path):
+    """Ten of 60,000 records are fetched by reading under one in a hundred of the rows."""
+    seqs = spark.range(60_000).selectExpr("'f' as source", "id as rec_ord", "concat('s', lpad(id * 7919 % 60000, 6, '0')) as seqid", "concat('h', id) as header", "repeat('ACGT', 40) as seq")
+    fasta.write_index(seqs, f"{tmp_path}/index")
+    ids = spark.createDataFrame([(f"s{i * 6000 + 3:06d}", i) for i in range(10)] + [("none", 90), (None, 91), ("s000003", 92)], "seqid string, ord int")
+    df = fasta.fetch_indexed(spark, f"{tmp_path}/index", ids)
+    assert [r["seqid"] for r in df.collect()] == [f"s{i * 6000 + 3:06d}" for i in range(10)] + ["s000003"]
+    assert rows_read(df) < 600
+    many = spark.range(1000).selectExpr("concat('s', lpad(id, 6, '0')) as seqid", "id as ord")
+    assert fasta.fetch_indexed(spark, f"{tmp_path}/index", many).count() == 1000
+    assert fasta.fetch_indexed(spark, f"{tmp_path}/index", many.where("ord < 0")).count() == 0
+
+
+def test_matrix_of_any_width(spark, tmp_path):
+    """A matrix of 700 by 3,000 and its transpose, in order, with cells that are absent; beyond the columns a plan takes."""
+    cells = spark.range(700 * 3000).where("id % 11 <> 0").selectExpr("concat('g', id div 3000) as FILE", "id div 3000 as FILE_ord", "concat('l', id % 3000) as locus", "id % 3000 as locus_ord", "cast(id % 97 as string) as cell")
+    want = [["FILE", *(f"l{j}" for j in range(3000))]] + [[f"g{i}", *("-" if (i * 3000 + j) % 11 == 0 else str((i * 3000 + j) % 97) for j in range(3000))] for i in range(700)]
+    lines = [r["value"].split("\t") for r in sinks.matrix_lines(cells, missing="-").orderBy("place").collect()]
+    assert lines == want
+    sinks.write_matrix(sinks.transpose(cells), f"{tmp_path}/t", single=True, missing="-")
+    back = [r["value"].split("\t") for r in spark.read.text(f"{tmp_path}/t").collect()]
+    assert [row[1:] for row in back[1:]] == [list(x) for x in zip(*(row[1:] for row in want[1:]), strict=True)] and [row[0] for row in back[1:]] == want[0][1:]
 
 
 def test_row_numbers(spark):
