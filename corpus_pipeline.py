@@ -46,7 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = documents(spark, sf_dir), Scratch(spark, "pipeline")
+    """The documents after all stages; a stage's input goes when its output is written.
+
+    Nulls, empty and repeated rows, and columns of any name are treated as the stages' operators say; no documents give none.
+    """
+    docs, scratch, before = documents(spark, sf_dir), Scratch(spark, "pipeline"), []
     for name, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
+        before = [name]
     return docs
