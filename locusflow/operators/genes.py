@@ -28,8 +28,10 @@ MINIMUM, TRAINING = 90, 300
 LEAST, SHORT, EXTRA = 6.0, 300, 14.0
 OVERLAP = {1: 60, -1: 120}
 OVERLAP_COST = 0.15
-#: The start codons of genes in bacteria.
+#: The start codons of genes in bacteria, and what each is worth in nats: about 80, 12 and 8 % of the genes
+#: against a third each.
 STARTS = ("ATG", "GTG", "TTG")
+START_SCORES = (0.9, -1.0, -1.4)
 
 _DIGIT = np.full(256, 64, np.int16)
 _DIGIT[[ord(c) for c in "ACGTacgt"]] = [0, 1, 2, 3] * 2
@@ -188,7 +190,8 @@ def scored(frames: DataFrame, model: DataFrame, minimum: int = MINIMUM, least: f
     types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
 
     def run(rows: pa.Table, models: pa.Table) -> pa.Table:
-        odds, out = np.zeros(4096), []
+        odds, first, out = np.zeros(4096), np.zeros(64), []
+        first[[_number(codon) for codon in STARTS]] = START_SCORES
         if models.num_rows:
             odds[models.column("hexes")[0].as_py()] = models.column("odds")[0].as_py()
         for r in rows.to_pylist() if models.num_rows else []:
@@ -196,6 +199,7 @@ def scored(frames: DataFrame, model: DataFrame, minimum: int = MINIMUM, least: f
             c = _codon_codes(raw)[::3].astype(np.int64)
             pairs = np.where((c[:-1] | c[1:]) >= 64, 0.0, odds[np.minimum(64 * c[:-1] + c[1:], 4095)])
             rest, best = np.cumsum(pairs[::-1])[::-1], 0.0
+            rest = rest + first[np.minimum(c[:-1], 63)]
             # From the shortest on: a longer gene that scores no more only overlaps more.
             for k in reversed(r["starts"]):
                 n = len(raw) - 3 * k

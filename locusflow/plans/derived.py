@@ -139,7 +139,7 @@ def supplier_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(genome, rec_ord, seqid, seq): a region is a genome, a nation with suppliers a contig, a supplier a gene between stretches of noise.
+    """(genome, rec_ord, seqid, seq): regions of odd and of even keys are two genomes, a nation with suppliers is a contig, a supplier a gene between stretches of noise.
 
     A gene is 200 codons of few kinds between a start and a stop; those of odd suppliers lie on the other strand.
     """
@@ -152,7 +152,7 @@ def nation_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = genes.select("n_regionkey", "n_nationkey", "s_suppkey", F.concat(F.lit(_WALL), noise, F.lit(_WALL), placed).alias("x"))
     whole = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "x"))), lambda r: r["x"]), ""), F.lit(_WALL))
     contigs = each.groupBy("n_regionkey", "n_nationkey").agg(whole.alias("seq"))
-    named = contigs.select(F.concat(F.lit("r"), "n_regionkey").alias("genome"), F.col("n_nationkey").cast("long").alias("rec_ord"), F.concat(F.lit("n"), "n_nationkey").alias("seqid"), "seq")
+    named = contigs.select(F.concat(F.lit("r"), F.col("n_regionkey") % 2).alias("genome"), F.col("n_nationkey").cast("long").alias("rec_ord"), F.concat(F.lit("n"), "n_nationkey").alias("seqid"), "seq")
     return Stage(spark).write(named, "contigs")
 
 
@@ -162,7 +162,7 @@ _WALL = "TTAATTAATTAACTAGCTAGCTAG"
 
 #: Where the genes lie: noise of 320 bases between two walls, then the gene.
 PLANTED = f"""planted AS (
-  SELECT 'r' || n_regionkey AS genome, 'n' || n_nationkey AS contig,
+  SELECT 'r' || (n_regionkey % 2) AS genome, 'n' || n_nationkey AS contig,
          (row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) - 1) * {2 * len(_WALL) + 320 + 606} + {2 * len(_WALL) + 320} AS begin,
          CASE WHEN s_suppkey % 2 = 1 THEN -1 ELSE 1 END AS strand
   FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
