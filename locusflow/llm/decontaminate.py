@@ -1,10 +1,10 @@
 """Benchmark decontamination by template canonicalisation, native.
 
-Numbers, units and names become typed placeholders, so that a question whose parameters were changed keeps its
-template.  Windows of five template tokens are hash-joined with those of the benchmark; an item is found in a
-document that holds at least 0.8 of its distinct windows, either with the item's own slot values or with values
-that replace them consistently: each slot of the item by one value within one occurrence, or each value of the item by
-one value throughout the document.
+Numbers, units and names become typed placeholders, a run of names or of numbers one of them, so that a question whose
+parameters were changed keeps its template.  Windows of five template tokens are hash-joined with those of the
+benchmark; an item is found in a document that holds at least 0.8 of its distinct windows, either with the item's own
+slot values or with values that replace them consistently: each slot of the item by one value within one occurrence, or
+each value of the item by one value throughout the document.
 """
 
 from __future__ import annotations
@@ -49,26 +49,28 @@ _NUMBER_CODE, _UNIT_CODE, _NAME_CODE = 4, 6, 1
 def template_tokens(text: Column) -> Column:
     """Lower-case tokens without punctuation; a mark stands before names, which are capitalised words, and numbers.
 
-    Tokens of punctuation alone vanish.  Null gives no tokens.
+    A name is a word with a capital first, whatever follows: McKenzie, NASA, X.  An apostrophe within a word is left
+    out, so that O'Neil is one.  Tokens of punctuation alone vanish.  Null gives no tokens.
     """
     clean = F.coalesce(text, F.lit(""))
     clean = F.when(clean.contains(_NAME) | clean.contains(_NUMBER), F.regexp_replace(clean, f"[{_NAME}{_NUMBER}]", " ")).otherwise(clean)
-    named = F.regexp_replace(clean, r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{Ll}+(?![\p{L}\p{N}])", f"{_NAME}$0")
+    clean = F.when(clean.contains("'") | clean.contains("\u2019"), F.regexp_replace(clean, r"(?<=\p{L})['\u2019](?=\p{L})", "")).otherwise(clean)
+    named = F.regexp_replace(clean, r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{L}*+(?!\p{N})", f"{_NAME}$0")
     numbered = F.regexp_replace(F.regexp_replace(named, r"([0-9])(\p{L})", "$1 $2"), r"[0-9]+(?:[.,:][0-9]+)*", f"{_NUMBER}$0")
     digits = F.split(F.lower(numbered), rf"[^\p{{L}}\p{{N}}.,:{_NAME}{_NUMBER}]+|[.,:](?![0-9])")
     return F.array_remove(F.when(text.rlike("[0-9]"), digits).otherwise(F.split(F.lower(named), rf"[^\p{{L}}\p{{N}}{_NAME}]+")), "")
 
 
 def _codes(tokens: Column) -> Column:
-    """A number for each token: see the codes above.  A unit is one only after a number."""
+    """A number for each token: see the codes above.  A unit is one only after a number; a number word is none of the names."""
     word = lambda w: F.xxhash64(w).bitwiseAND(F.lit(~1))
-    number = lambda w: w.startswith(_NUMBER) | w.isin(*NUMBER_WORDS)
+    number = lambda w: w.startswith(_NUMBER) | _value(w).isin(*NUMBER_WORDS)
     after_number = lambda i: F.coalesce(number(F.get(tokens, i - 1)), F.lit(False))
     long = lambda n: F.lit(n).cast("long")
     return F.transform(
         tokens,
-        lambda w, i: F.when(w.startswith(_NAME), word(F.substring(w, 2, 1 << 20)) + 1)
-        .when(number(w), long(_NUMBER_CODE))
+        lambda w, i: F.when(number(w), long(_NUMBER_CODE))
+        .when(w.startswith(_NAME), word(F.substring(w, 2, 1 << 20)) + 1)
         .when(w.isin(*UNITS) & after_number(i), long(_UNIT_CODE))
         .otherwise(word(w)),
     )
@@ -82,57 +84,122 @@ def _named(code: Column) -> Column:
     return code.bitwiseAND(F.lit(1)) == 1
 
 
-def _hashes(length: int, start: Column) -> tuple[Column, Column]:
-    """Hashes of the window of so many codes from ``start``: names as slots, and names as words."""
-    codes = [F.get("code", start + (k - 1)) for k in range(length)]
-    return F.xxhash64(*[F.when(_named(c), F.lit(_NAME_CODE).cast("long")).otherwise(c) for c in codes]), F.xxhash64(*[c.bitwiseAND(F.lit(~1)) for c in codes])
+def _goes_on(code: Column, i: Column) -> Column:
+    """Whether the token at place ``i`` goes on with a name or a number that the one before is part of."""
+    before, here = F.get(code, i - 2), F.get(code, i - 1)
+    return F.coalesce((_named(before) & _named(here)) | ((before == _NUMBER_CODE) & (here == _NUMBER_CODE)), F.lit(False))
+
+
+def _slot_hash(first: Column) -> Column:
+    """Hash of five template tokens from the one of number ``first`` (from 1), each run of names or of numbers as one."""
+    codes = [F.get("code", F.get("starts", first + (j - 1)) - 1) for j in range(WINDOW)]
+    return F.xxhash64(*[F.when(_named(c), F.lit(_NAME_CODE).cast("long")).otherwise(c) for c in codes])
+
+
+def _word_hash(length: int, start: Column) -> Column:
+    """Hash of so many tokens from place ``start``, names as words, runs as they are."""
+    return F.xxhash64(*[F.get("code", start + (j - 1)).bitwiseAND(F.lit(~1)) for j in range(length)])
+
+
+def _run_end(number: Column) -> Column:
+    """The place behind the template token of that number."""
+    return F.coalesce(F.get("starts", number), F.size("tokens") + 1)
+
+
+def _run_text(number: Column) -> Column:
+    """The words of the template token of that number, without their marks."""
+    start = F.get("starts", number - 1)
+    return F.translate(F.array_join(F.slice("tokens", start, _run_end(number) - start), " "), _NAME + _NUMBER, "")
 
 
 def _coded(rows: DataFrame, key: str) -> DataFrame:
+    """(key, tokens, code, starts): ``starts`` are the places of tokens that go on with no name or number before them."""
     tokens = rows.select(key, template_tokens(F.col("text")).alias("tokens"))
-    return tokens.select(key, "tokens", _codes(F.col("tokens")).alias("code"))
+    coded = tokens.select(key, "tokens", _codes(F.col("tokens")).alias("code"))
+    places = F.when(F.size("tokens") > 0, F.sequence(F.lit(1), F.size("tokens"))).otherwise(F.array().cast("array<int>"))
+    return coded.select("*", F.filter(places, lambda i: ~_goes_on(F.col("code"), i)).alias("starts"))
 
 
 def item_windows(items: DataFrame, key: str = "item_id") -> DataFrame:
-    """(key, window, length, at, h, place, own, swaps) of each window of each form.
-
-    A window with names has two forms, as capitals are lost in some copies: names as slots, and names as words.  Both
-    have the same ``window``, the hash of the first form.  ``at`` is the place of the window's first token, from 1, ``place``
-    and ``own`` are the places and values of the form's slots.  ``swaps`` says that at least half of the item's tokens are no
-    slots of the form, so that other values make the item re-parameterised and not another text.  Fewer tokens than five
-    make one window of all, whose values stay; none make no row.
+    """(key, window, length, at, h, offsets, place, own, swaps) of each window of each form.
+
+    A window has two forms, as capitals are lost in some copies: five template tokens, with names and numbers as slots
+    and a run of either as one slot, and the five words from the same place, with numbers and units as slots.  Both have
+    the same ``window``, the hash of the first form.  ``at`` is the place of the window's first word, from 1; ``offsets``
+    say which of a form's five are slots, ``place`` and ``own`` are their places in the item, negative in the second form,
+    and their values.  ``swaps`` says that at least half of the item's tokens are no slots of the form, so that other
+    values make the item re-parameterised and not another text.  Items of fewer than five template tokens have windows of
+    five words, or one of all, whose values stay; no words make no row.
     """
     coded = _coded(items, key)
-    length = F.least(F.lit(WINDOW), F.size("tokens"))
-    each = coded.select("*", length.alias("length"), F.explode(F.when(length > 0, F.sequence(F.lit(1), F.size("tokens") - length + 1)).otherwise(F.array().cast("array<int>"))).alias("at"))
-    hashes = lambda k: reduce(lambda rest, n: F.when(F.col("length") == n, _hashes(n, F.col("at"))[k]).otherwise(rest), range(1, WINDOW), _hashes(WINDOW, F.col("at"))[k])
     as_slot = lambda c: _named(c) | c.isin(_NUMBER_CODE, _UNIT_CODE)
     as_word = lambda c: c.isin(_NUMBER_CODE, _UNIT_CODE)
-
-    def form(h: str, slot) -> Column:
-        place = F.filter(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1), lambda j: slot(F.get("code", j - 1)))
-        swaps = (F.col("length") == WINDOW) & (2 * F.size(F.filter("code", slot)) <= F.size("code"))
-        return F.struct(F.col(h).alias("h"), place.alias("place"), F.transform(place, lambda j: _value(F.get("tokens", j - 1))).alias("own"), swaps.alias("swaps"))
-
-    each = each.select("*", hashes(0).alias("window"), hashes(1).alias("worded"))
-    forms = F.when(F.col("window") == F.col("worded"), F.array(form("window", as_slot))).otherwise(F.array(form("window", as_slot), form("worded", as_word)))
-    return each.select(key, "window", "length", "at", F.explode(forms).alias("x")).select(key, "window", "length", "at", "x.*")
+    five = F.sequence(F.lit(0), F.lit(WINDOW - 1))
+    half = lambda places, slot: 2 * F.size(F.filter(places, lambda p: slot(F.get("code", p - 1)))) <= F.size(places)
+
+    def worded(h: Column, length: Column, swaps: Column) -> Column:
+        at = F.col("at")
+        offsets = F.filter(F.sequence(F.lit(0), length - 1), lambda j: as_word(F.get("code", at + j - 1)))
+        return F.struct(h.alias("h"), offsets.alias("offsets"), F.transform(offsets, lambda j: -(at + j)).alias("place"), F.transform(offsets, lambda j: _value(F.get("tokens", at + j - 1))).alias("own"), swaps.alias("swaps"))
+
+    k = F.col("k")
+    long = coded.where(F.size("starts") >= WINDOW).select("*", F.explode(F.sequence(F.lit(1), F.size("starts") - (WINDOW - 1))).alias("k"))
+    long = long.select("*", F.get("starts", k - 1).alias("at"), F.lit(WINDOW).alias("length"), _slot_hash(k).alias("window"))
+    long = long.withColumn("b", _word_hash(WINDOW, F.col("at")))
+    offsets = F.filter(five, lambda j: as_slot(F.get("code", F.get("starts", k + j - 1) - 1)))
+    slotted = F.struct(F.col("window").alias("h"), offsets.alias("offsets"), F.transform(offsets, lambda j: F.get("starts", k + j - 1)).alias("place"), F.transform(offsets, lambda j: _run_text(k + j)).alias("own"), half(F.col("starts"), as_slot).alias("swaps"))
+    other = worded(F.col("b"), F.lit(WINDOW), half(F.sequence(F.lit(1), F.size("code")), as_word))
+    long = long.select(key, "window", "length", "at", F.explode(F.when(F.col("window") == F.col("b"), F.array(slotted)).otherwise(F.array(slotted, other))).alias("x"))
+    length = F.least(F.lit(WINDOW), F.size("tokens"))
+    short = coded.where((F.size("starts") < WINDOW) & (F.size("tokens") > 0)).select("*", length.alias("length"), F.explode(F.sequence(F.lit(1), F.size("tokens") - length + 1)).alias("at"))
+    hashes = reduce(lambda rest, n: F.when(F.col("length") == n, _word_hash(n, F.col("at"))).otherwise(rest), range(1, WINDOW), _word_hash(WINDOW, F.col("at")))
+    short = short.withColumn("window", hashes).select(key, "window", "length", "at", worded(F.col("window"), F.col("length"), F.lit(False)).alias("x"))
+    return long.unionByName(short).select(key, "window", "length", "at", "x.*")
 
 
 def document_windows(docs: DataFrame, lengths: list[int], key: str = "doc_id") -> DataFrame:
-    """(key, start, length, h, near) of each window of each form, for windows of the given lengths; ``near`` are its tokens.
+    """(key, start, length, h, near, part) of each window of each form, for windows of the given lengths.
+
+    ``near`` are its tokens; ``part`` says that it begins or ends within a run of numbers, so that it has not the whole
+    value of a slot.
 
     Windows shorter than five tokens are made in documents of that many tokens, and in longer ones from SHORTEST on.
-    Hashes come from places in the document's array, so that no window is built as an array to be hashed.
+    Hashes come from places in the document's arrays, by generated code alone, so that no window is built to be hashed
+    and no array is copied for each of its places.
     """
-    out = None
+    out, none = None, F.array().cast("array<int>")
     for n in lengths:
-        able = F.size("tokens") >= n if n >= SHORTEST else F.size("tokens") == n
-        starts = F.when(able, F.sequence(F.lit(1), F.size("tokens") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        slots, words = _hashes(n, F.col("start"))
-        each = _coded(docs, key).select("*", F.explode(starts).alias("start")).select(key, "start", F.slice("tokens", F.col("start"), n).alias("near"), slots.alias("a"), words.alias("b"))
-        both = F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))
-        each = each.select(key, "start", F.lit(n).alias("length"), F.explode(both).alias("h"), "near")
+        coded = _coded(docs, key)
+        if n < WINDOW:
+            able = F.size("tokens") >= n if n >= SHORTEST else F.size("tokens") == n
+            starts = F.when(able, F.sequence(F.lit(1), F.size("tokens") - (n - 1))).otherwise(none)
+            each = coded.select("*", F.explode(starts).alias("start"))
+            each = each.select(key, "start", F.lit(n).alias("length"), _word_hash(n, F.col("start")).alias("h"), F.slice("tokens", F.col("start"), n).alias("near"), F.lit(False).alias("part"))
+        else:
+            # Each place: that of a template token with its number, any other with the number zero.
+            numbers = F.when(F.size("starts") > 0, F.sequence(F.lit(1), F.size("starts"))).otherwise(none)
+            places = F.when(F.size("tokens") > 0, F.sequence(F.lit(1), F.size("tokens"))).otherwise(none)
+            heads = F.transform(numbers, lambda k: F.struct(k.alias("k"), F.get("starts", k - 1).alias("p")))
+            rest = F.transform(F.filter(places, lambda p: _goes_on(F.col("code"), p)), lambda p: F.struct(F.lit(0).alias("k"), p.alias("p")))
+            coded = coded.select("*", F.concat(heads, rest).alias("spots"))
+            k, p = F.col("k"), F.col("p")
+            each = coded.select(key, "tokens", "code", "starts", F.inline("spots"))
+            a = F.when((k > 0) & (k + (WINDOW - 1) <= F.size("starts")), _slot_hash(k))
+            b = F.when(p + (WINDOW - 1) <= F.size("tokens"), _word_hash(WINDOW, p))
+            words = F.slice("tokens", p, WINDOW)
+            within = lambda i: (F.get("code", i - 2) == _NUMBER_CODE) & (F.get("code", i - 1) == _NUMBER_CODE)
+            part = F.coalesce(within(p), F.lit(False)) | F.coalesce(within(p + WINDOW), F.lit(False))
+            texts = F.when(_run_end(k + (WINDOW - 1)) - p == WINDOW, words).otherwise(F.array(*[_run_text(k + j) for j in range(WINDOW)]))
+            each = each.select(key, p.alias("start"), a.alias("a"), b.alias("b"), words.alias("words"), F.when(a.isNotNull(), texts).alias("texts"), part.alias("cut"))
+            form = lambda h, near, part: F.struct(F.col(h).alias("h"), F.col(near).alias("near"), part.alias("part"))
+            slotted, worded = form("a", "texts", F.lit(False)), form("b", "words", F.col("cut"))
+            forms = (
+                F.when(F.col("a").isNull(), F.array(worded))
+                .when(F.col("a") == F.col("b"), F.array(slotted))
+                .otherwise(F.array(slotted, worded))
+            )
+            each = each.where("a is not null or b is not null")
+            each = each.select(key, "start", F.lit(n).alias("length"), F.inline(forms)).select(key, "start", "length", "h", "near", "part")
         out = each if out is None else out.unionAll(each)
     return out
 
@@ -198,10 +265,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     sizes = windows.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"), F.max(F.col("at") + F.col("length") - 1).alias("width"))
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())
     found = document_windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lengths or [WINDOW])
-    met = _joined(found, windows)
-    met = scratch.write(met.select("doc_id", "item_id", "window", "at", (F.col("start") - F.col("at")).alias("shift"), "swaps", "own", "place", "near"), "met")
-    slots = F.transform("place", lambda j: _value(F.get("near", j - F.col("at"))))
-    met = met.withColumn("slots", slots).withColumn("same", F.col("own") == F.col("slots")).where("swaps or same")
+    slots = F.transform("offsets", lambda j: _value(F.get("near", j)))
+    met = _joined(found, windows).withColumn("slots", slots).withColumn("same", F.col("own") == F.col("slots")).where("swaps and not part or same")
+    met = scratch.write(met.select("doc_id", "item_id", "window", "at", (F.col("start") - F.col("at")).alias("shift"), "own", "place", "slots", "same"), "met")
     pairs = F.arrays_zip(F.col("own").alias("a"), F.col("slots").alias("b"))
     places = F.arrays_zip("place", F.col("slots").alias("value"))
     met = met.select("doc_id", "item_id", "window", "at", "shift", "same", pairs.alias("pairs"), places.alias("places"))

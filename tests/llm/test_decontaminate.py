@@ -12,30 +12,69 @@ def swap(text, table):
 
 
 def brute_tokens(text):
-    """Tokens as (type or '', value), read word by word."""
+    """Words as (type or '', value), read one by one."""
     out, number = [], lambda w: w[0].isdigit() or w.lower() in D.NUMBER_WORDS
-    words = re.findall(r"[^\W\d_]+|\d+(?:[.,:]\d+)*", text)
+    words = re.findall(r"[^\W\d_]+|\d+(?:[.,:]\d+)*", re.sub(r"(?<=[^\W\d_])['’](?=[^\W\d_])", "", text))
     for i, w in enumerate(words):
-        if re.fullmatch("[A-ZÄÖÜ][a-zäöüß]+", w):
-            out.append(("name", w.lower()))
-        elif number(w):
+        if number(w):
             out.append(("number", w.lower()))
-        elif w.lower() in D.UNITS and i and number(words[i - 1]) and not re.fullmatch("[A-Z][a-z]+", words[i - 1]):
+        elif w[0].isupper():
+            out.append(("name", w.lower()))
+        elif w.lower() in D.UNITS and i and number(words[i - 1]):
             out.append(("unit", w.lower()))
         else:
             out.append(("", w.lower()))
     return out
 
 
+def template(words):
+    """Runs of names or of numbers put together."""
+    out = []
+    for kind, value in words:
+        if out and kind == out[-1][0] and kind in ("name", "number"):
+            out[-1] = (kind, out[-1][1] + " " + value)
+        else:
+            out.append((kind, value))
+    return out
+
+
+def form(window):
+    return tuple(x if x[0] == "" else (x[0],) for x in window), tuple(x[1] for x in window if x[0])
+
+
 def windows(text, size=5):
-    """(window, form, slots, swaps) of both forms: names as slots and names as words."""
+    """(window, form, slots, swaps) of an item: its template tokens, and the words from the same places."""
+    t = brute_tokens(text)
+    plain, runs = [("", v) if k == "name" else (k, v) for k, v in t], template(t)
+    if len(runs) < 5:
+        for i in range(len(t) - size + 1):
+            h, s = form(plain[i : i + size])
+            yield h, h, s, False
+        return
+    free = [2 * sum(x[0] != "" for x in each) <= len(each) for each in (runs, plain)]
+    for k in range(len(runs) - 4):
+        at = sum(len(v.split(" ")) for _, v in runs[:k])
+        window = form(runs[k : k + 5])[0]
+        for part, ok in ((runs[k : k + 5], free[0]), (plain[at : at + 5], free[1])):
+            h, s = form(part)
+            if part == runs[k : k + 5] or h != window:
+                yield window, h, s, ok
+
+
+def held(text, size=5):
+    """(form, slots, part) of all windows of a document; ``part`` has not the whole of a run of numbers."""
     t = brute_tokens(text)
-    plain = [("", v) if k == "name" else (k, v) for k, v in t]
-    swaps = [size == 5 and 2 * sum(x[0] != "" for x in each) <= len(t) for each in (t, plain)]
-    for i in range(len(t) - size + 1):
-        forms = [(tuple(x if x[0] == "" else (x[0],) for x in w), tuple(x[1] for x in w if x[0])) for w in (t[i : i + size], plain[i : i + size])]
-        for (h, s), ok in zip(forms, swaps, strict=True):
-            yield forms[0][0], h, s, ok
+    plain, runs, at, whole = [("", v) if k == "name" else (k, v) for k, v in t], template(t), 0, {}
+    for k in range(len(runs) - 4 if size == 5 else 0):
+        h, s = form(runs[k : k + 5])
+        whole[at] = h
+        at += len(runs[k][1].split(" "))
+        yield h, s, False
+    number = lambda i: 0 < i < len(t) and t[i - 1][0] == t[i][0] == "number"
+    for i in range(len(plain) - size + 1):
+        h, s = form(plain[i : i + size])
+        if whole.get(i) != h:
+            yield h, s, size == 5 and (number(i) or number(i + 5))
 
 
 def brute(docs, items):
@@ -46,18 +85,20 @@ def brute(docs, items):
             size = min(5, n_tokens)
             if not size or (size < D.SHORTEST and len(brute_tokens(text or "")) != size):
                 continue
-            mine = defaultdict(set)
-            for _, h, s, _ in windows(text or "", size):
+            mine, full = defaultdict(set), defaultdict(set)
+            for h, s, part in held(text or "", size):
                 mine[h].add(s)
+                if not part:
+                    full[h].add(s)
             own = set(windows(q, size))
             n = len({w for w, _, _, _ in own})
-            found = len({w for w, h, s, ok in own if (h in mine if ok else s in mine.get(h, ()))})
+            found = len({w for w, h, s, ok in own if (ok and h in full) or s in mine.get(h, ())})
             same = len({w for w, h, s, _ in own if s in mine.get(h, ())})
             to = defaultdict(set)
             for _, h, s, ok in own:
                 for other in mine.get(h, ()):
                     for a, b in zip(s, other, strict=True):
-                        if ok or s == other:
+                        if (ok and other in full.get(h, ())) or s == other:
                             to[a].add(b)
             steady = all(len(v) == 1 for v in to.values())
             if same >= 0.8 * n or (found >= 0.8 * n and steady):
@@ -157,3 +198,19 @@ def test_clean_leaves_columns_of_any_name(spark):
     docs = docs.selectExpr("*", "_key as key", "_key as row")
     benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
     assert [tuple(r)[2:] for r in D.clean(docs, benchmark).collect()] == [("u2",) * 3]
+
+
+def test_parameters_of_other_shapes(spark):
+    """Names with inner capitals, acronyms, apostrophes and hyphens, one name for two, and number phrases."""
+    item = "When Tom Brown was a boy of 9 he asked Mary for 4 pears from the old tree behind the mill, and she gave them to him at once."
+    docs = [
+        (1, item.replace("Mary", "McKenzie")), (2, item.replace("Tom Brown", "NASA")), (3, item.replace("Mary", "O'Neil")),
+        (4, item.replace("Tom Brown", "Lee")), (5, item.replace("9", "twenty-five")), (6, item.replace("4 pears", "twenty-five pears")),
+        (7, item.replace("Mary", "Jean-Luc Picard").replace("9", "one hundred and five".split(" and")[0])), (8, item.upper()), (9, item.lower()),
+        (10, "Prose by Smith. " + item.replace("Mary", "O’Hara")), (11, "When he was a boy of nine he asked for pears and she gave him none."),
+    ]
+    d, b = frame(spark, docs, "doc_id"), frame(spark, [(1, item)], "item_id")
+    got = {r["doc_id"]: r["reparameterised"] for r in D.contaminated(d, b).collect()}
+    assert set(got) >= set(range(1, 11)) and 11 not in got
+    plain = {(r[0], r[1]): tuple(r[2:]) for r in D.contaminated(d, b, occurrences=False).collect()}
+    assert plain == brute(docs, [(1, item)])
