@@ -6,6 +6,7 @@ import hashlib
 import zlib
 
 import pandas as pd
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,22 @@ def digest_udf(kind: str):
     return run
 
 
+def stream_digest(path: str, kind: str, block: int) -> tuple[int, str]:
+    """(size, digest) of a file of any file system that Arrow knows, read in blocks."""
+    local = path.startswith("file:")  # as it stands: Spark leaves blanks in paths as they are
+    files, name = (LocalFileSystem(), "/" + path[5:].lstrip("/")) if local else FileSystem.from_uri(path)
+    checksum = {"crc32": zlib.crc32, "adler32": zlib.adler32}.get(kind)
+    size, total, state = 0, checksum(b"") if checksum else 0, None if checksum else hashlib.new(kind)
+    with files.open_input_file(name) as source:
+        while part := source.read(block):
+            size += len(part)
+            if checksum:
+                total = checksum(part, total)
+            else:
+                state.update(part)
+    return size, str(total) if checksum else state.hexdigest()
+
+
 def encode_polyline(numbers: list[float], precision: int = 0) -> str:
     """A letter for the precision, then the differences of the numbers, scaled and rounded, sign folded into the lowest bit,
     in letters of five bits each, lowest first."""

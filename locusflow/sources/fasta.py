@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -184,11 +187,25 @@ def numbered(values: DataFrame, column: str) -> DataFrame:
     return with_row_number(values.withColumn("_low", F.lower(column)), "number", "_low", column).drop("_low")
 
 
-def file_hashes(spark: SparkSession, path: str, kind: str = "blake2b") -> DataFrame:
-    """(path, size, digest) of whole files."""
-    from locusflow.functions.sequence import sequence_hash
+def file_hashes(spark: SparkSession, path: str, kind: str = "blake2b", block: int = 1 << 16) -> DataFrame:
+    """(path, size, digest) of whole files, of any name of hashlib, or of crc32 and adler32 as unsigned decimals.
+
+    Tasks read their files in blocks and carry the digest over them, so that no cell and no task holds a file.
+    Files without any content are not listed, as in list_inputs().
+    """
+    from locusflow.functions.codecs import stream_digest
+    from locusflow.runtime import ship
+
+    ship(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(p, *stream_digest(p, kind, block)) for p in batch["path"]]
+            yield pd.DataFrame(found, columns=["path", "size", "digest"])
 
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), sequence_hash("content", kind).alias("digest"))
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    dealt = listed.repartition(spark.sparkContext.defaultParallelism, "path")
+    return dealt.mapInPandas(run, "path string, size long, digest string")
 
 
 def small_sequences(seqs: DataFrame, minimum: int, variation: float = 0.0, key: str = "seqid", value: str = "seq") -> DataFrame:
