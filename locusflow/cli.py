@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from locusflow.operators import annotate, classify, dedup, evaluate, genes, prof
 from locusflow.operators.numbering import with_row_number
 from locusflow.plans import calling
 from locusflow.runtime import Stage
-from locusflow.sources import fasta, sinks
+from locusflow.sources import database, fasta, remote, sinks
 
 MODULES = {
     "CreateSchema": "build a catalogue from coding sequences",
@@ -53,6 +54,7 @@ def _parser(name: str) -> argparse.ArgumentParser:
     if name in ("AlleleCall", "CreateSchema"):
         p.add_argument("--cds", "--cds-input", dest="cds_input", action="store_true", help="files hold coding sequences; no genes are predicted")
     if name == "AlleleCall":
+        p.add_argument("--profile-database", help="SQLite file that takes the profiles")
         p.add_argument("--mode", type=int, choices=(1, 2, 3, 4), default=4)
         p.add_argument("--gl", "--genes-list", dest="genes_list")
         p.add_argument("--no-inferred", action="store_true")
@@ -75,6 +77,9 @@ def _parser(name: str) -> argparse.ArgumentParser:
     if name == "UniprotFinder":
         p.add_argument("--pm", "--proteome-matches", dest="matches", type=int, default=1)
         p.add_argument("--bsr", type=float, default=0.6)
+        p.add_argument("--sparql", help="endpoint that is asked for names by exact protein")
+    if name == "LoadSchema":
+        p.add_argument("--url", help="server that takes the payload in batches")
     return p
 
 
@@ -102,6 +107,20 @@ def _cds(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return Stage(spark).write(out.withColumn("dna_hash", sequence_hash(F.upper("dna"))), "cds")
 
 
+#: What a server's pages hold.
+ALLELES = "locus string, allele_id string, is_local boolean, dna string, inserted_at timestamp"
+SCHEMAS = "species string, schema string, nr_loci long, nr_alleles long"
+
+
+def _remote(paths: list[str]) -> bool:
+    return len(paths) == 1 and paths[0].startswith(("http://", "https://"))
+
+
+def _dump(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A server's alleles: from its pages if the only path is an address, else from Parquet."""
+    return remote.read_pages(spark, paths[0], ALLELES, ("locus", "allele_id")) if _remote(paths) else spark.read.parquet(*paths)
+
+
 def _wide(long: DataFrame, path: str, value: str = "cell", missing: str = "") -> None:
     sinks.write_matrix(long, path, single=True, value=value, missing=missing)
 
@@ -147,6 +166,8 @@ def allele_call(spark, a):
     if a.hash_profiles:
         known = calling.updated_catalogue(alleles, calls.novel)
         _wide(profiles.hashed(calls.profiles.select("FILE", "locus", "cell"), known, a.hash_profiles), f"{a.output}/results_alleles_hashed")
+    if a.profile_database:
+        database.store_profiles(calls.profiles.select("FILE", "locus", "cell"), a.profile_database, datetime.now(UTC).isoformat(timespec="seconds"))
     if not a.no_inferred:
         calling.updated_catalogue(alleles, calls.novel).write.mode("error").parquet(f"{a.output}/updated_catalogue")
 
@@ -220,23 +241,33 @@ def uniprot_finder(spark, a):
     hits = matching.align_pairs(pairs.select(F.col("query").alias("locus"), "query", "query_seq", F.col("reference").alias("target"), "target_seq"))
     scores = matching.self_scores(reps.select(F.col("locus").alias("seqid"), F.col("seq").alias("protein")))
     found = annotate.proteome_annotations(matching.top_hits(hits, scores, a.bsr, a.matches), annotate.proteome_terms(records))
-    sinks.write_table(annotate.annotate(reps.select("locus"), found), f"{a.output}/annotations", single=True)
+    tables = [found]
+    if a.sparql:
+        names, failed = remote.remote_names(coded.select(F.concat_ws("_", "locus", "allele_ord").alias("id"), "protein"), a.sparql)
+        by_locus = coded.select("locus", "allele_ord", F.concat_ws("_", "locus", "allele_ord").alias("id")).join(annotate.informative_name(names, by="id"), "id")
+        tables.append(annotate.informative_name(by_locus, by="locus", order="allele_ord").withColumnRenamed("name", "remote_name"))
+        sinks.write_table(failed, f"{a.output}/failed_queries", single=True)
+    sinks.write_table(annotate.annotate(reps.select("locus"), *tables), f"{a.output}/annotations", single=True)
 
 
 def download_schema(spark, a):
-    fasta.as_of(spark.read.parquet(*a.input), a.date).write.mode("error").parquet(a.output)
+    fasta.as_of(_dump(spark, a.input), a.date).write.mode("error").parquet(a.output)
 
 
 def load_schema(spark, a):
     store.upload_payload(translated(fasta.read_alleles(spark, a.input))).write.mode("error").parquet(a.output)
+    if a.url:
+        sent = spark.read.parquet(a.output)
+        database.upload(sent.withColumn("lengths", F.to_json("lengths")), a.url)
 
 
 def sync_schema(spark, a):
-    store.synchronise(fasta.read_alleles(spark, f"{a.schema_directory}/*.fasta"), spark.read.parquet(*a.input)).write.mode("error").parquet(a.output)
+    store.synchronise(fasta.read_alleles(spark, f"{a.schema_directory}/*.fasta"), _dump(spark, a.input)).write.mode("error").parquet(a.output)
 
 
 def ns_stats(spark, a):
-    sinks.write_table(store.species_statistics(fasta.read_json_dump(spark, a.input)), a.output, single=True)
+    schemas = remote.read_pages(spark, a.input[0], SCHEMAS, ("species", "schema")) if _remote(a.input) else fasta.read_json_dump(spark, a.input)
+    sinks.write_table(store.species_statistics(schemas), a.output, single=True)
 
 
 RUN = dict(zip(MODULES, (create_schema, allele_call, schema_evaluator, allele_call_evaluator, extract_cgmlst, remove_genes, join_profiles, prep_external_schema, uniprot_finder, download_schema, load_schema, sync_schema, ns_stats), strict=True))

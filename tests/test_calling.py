@@ -7,7 +7,7 @@ import pytest
 from locusflow import cli
 from locusflow.config import Config
 from locusflow.plans import calling
-from locusflow.sources import fasta
+from locusflow.sources import database, fasta
 from locusflow.streaming import incremental
 
 CODON = {"A": "GCT", "C": "TGT", "D": "GAT", "E": "GAA", "F": "TTT", "G": "GGT", "H": "CAT", "I": "ATT", "K": "AAA", "L": "CTT", "N": "AAT", "P": "CCT", "Q": "CAA", "R": "CGT", "S": "TCT", "T": "ACT", "V": "GTT", "W": "TGG", "Y": "TAT", "M": "ATG"}
@@ -104,7 +104,8 @@ def test_command_line(spark, tmp_path):
     write(tmp_path / "gA.fasta", [("x", gene(P[0])), ("y", gene(near(P[2], 4)))])
     write(tmp_path / "gB.fasta", [("x", gene(P[0])), ("z", gene(P[1])), ("bad", gene(P[1])[:-3])])
     out = str(tmp_path / "res")
-    assert cli.main(["AlleleCall", "-i", f"{tmp_path}/gA.fasta", f"{tmp_path}/gB.fasta", "-g", f"{tmp_path}/schema", "-o", out, "--cds", "--hash-profiles", "crc32", "--output-novel"]) == 0
+    assert cli.main(["AlleleCall", "-i", f"{tmp_path}/gA.fasta", f"{tmp_path}/gB.fasta", "-g", f"{tmp_path}/schema", "-o", out, "--cds", "--hash-profiles", "crc32", "--output-novel", "--profile-database", f"{tmp_path}/p.db"]) == 0
+    assert sorted(r["name"] for r in database.read_sqlite(spark, f"{tmp_path}/p.db", "samples").collect()) == ["gA", "gB"]
     wide = {r["FILE"]: r.asDict() for r in fasta.read_table(spark, f"{out}/results_alleles").collect()}
     assert wide["gA"] == {"FILE": "gA", "locus1": "1", "locus2": "LNF", "locus3": "INF-2"} and wide["gB"]["locus2"] == "1"
     stats = {r["FILE"]: r.asDict() for r in fasta.read_table(spark, f"{out}/results_statistics").collect()}
