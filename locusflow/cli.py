@@ -13,7 +13,7 @@ from locusflow import __version__
 from locusflow.config import Config
 from locusflow.functions.sequence import sequence_hash
 from locusflow.functions.translate import translated
-from locusflow.operators import annotate, classify, dedup, evaluate, genes, profiles, store
+from locusflow.operators import annotate, classify, dedup, evaluate, genes, profiles, store, tree
 from locusflow.operators.numbering import with_row_number
 from locusflow.plans import calling
 from locusflow.runtime import Stage
@@ -189,7 +189,10 @@ def allele_call_evaluator(spark, a):
     _wide(profiles.masked(p), f"{a.output}/masked_profiles")
     _wide(present.join(p.select("locus", "locus_ord").distinct(), "locus"), f"{a.output}/presence_absence", "present", "0")
     _wide(profiles.masked(p.join(core, "locus", "left_semi")), f"{a.output}/cgMLST_profiles")
-    dist = profiles.symmetrical(profiles.blocked_distances(p))
+    upper = Stage(spark).write(profiles.blocked_distances(p), "distances")
+    text = tree.newick(tree.tree_edges(upper))
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{a.output}/tree")
+    dist = profiles.symmetrical(upper)
     _wide(dist.select(F.col("a").alias("FILE"), F.col("b").alias("locus"), F.col("distance").alias("cell")), f"{a.output}/distance_matrix_symmetric")
     sinks.report({"lociStats": evaluate.summary(profiles.locus_classes(p, classify.CLASSES))}, f"{a.output}/allelecall_report.html", "Allele call report")
 

@@ -1,4 +1,4 @@
-"""Gene prediction by a plug-in, alignments of many sequences, and trees from distances."""
+"""Gene prediction by a plug-in, and alignments of many sequences."""
 
 from __future__ import annotations
 
@@ -137,36 +137,6 @@ def concatenated(aligned: DataFrame) -> DataFrame:
     return every.groupBy("FILE").agg(F.array_sort(F.collect_list(F.struct("locus", cell.alias("a")))).alias("x")).select("FILE", F.array_join(F.transform("x", lambda x: x["a"]), "").alias("aligned"))
 
 
-def neighbour_joining(names: list[str], d: np.ndarray) -> str:
-    """Newick text of the neighbour-joining tree of a (small) distance matrix; ties by the first pair."""
-    names, d = list(names), np.array(d, float)
-    while len(names) > 2:
-        n, total = len(names), d.sum(0)
-        q = (n - 2) * d - total[:, None] - total[None, :]
-        np.fill_diagonal(q, np.inf)
-        i, j = divmod(int(q.argmin()), n)
-        li = d[i, j] / 2 + (total[i] - total[j]) / (2 * (n - 2))
-        fresh = (d[i] + d[j] - d[i, j]) / 2
-        keep = [k for k in range(n) if k not in (i, j)]
-        names = [names[k] for k in keep] + [f"({names[i]}:{max(li, 0):.6g},{names[j]}:{max(d[i, j] - li, 0):.6g})"]
-        d = np.block([[d[np.ix_(keep, keep)], fresh[keep][:, None]], [fresh[keep][None, :], np.zeros((1, 1))]])
-    return f"({names[0]}:{d[0, 1]:.6g},{names[1]}:0);" if len(names) == 2 else f"{names[0]};" if names else ";"
-
-
-#: Samples up to which a tree is drawn: the matrix of their distances goes to the driver.
-TREE_SAMPLES = 2000
-
-
-def tree(distances: DataFrame, samples: int = TREE_SAMPLES) -> str:
-    """Newick text from (a, b, distance) of all pairs, both ways.  More than ``samples`` samples are refused, not cut."""
-    n = distances.select("a").distinct().count()
-    if n > samples:
-        raise ValueError(f"{n} samples: a tree is drawn of {samples} at most")
-    rows = distances.toPandas()
-    wide = rows.pivot(index="a", columns="b", values="distance").sort_index().sort_index(axis=1)
-    return neighbour_joining([str(x) for x in wide.index], wide.to_numpy())
-
-
 def cluster_text(clusters: DataFrame) -> DataFrame:
     """Text of (representative, member, similarity, length): >representative, then its members; largest clusters first."""
     item = F.concat(F.lit("("), F.concat_ws(", ", "member", F.col("similarity").cast("string"), F.col("length").cast("string")), F.lit(")"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locusflow.functions import sequence as S
 from locusflow.functions.translate import codons, translate_native, translated
-from locusflow.operators import annotate, classify, cluster, dedup, evaluate, genes, matching, phylo, profiles, search, store
+from locusflow.operators import annotate, classify, cluster, dedup, evaluate, genes, matching, phylo, profiles, search, store, tree
 from locusflow.plans import calling
 from locusflow.plans import derived as D
 from locusflow.runtime import Stage, bounded
@@ -665,6 +665,12 @@ def progressive_alignment(spark, d):
     return aligned.join(widths, "locus").select("locus", "FILE", F.replace("aligned", F.lit("-"), F.lit("")).alias("seq"), "widths")
 
 
+@query()
+def relaxed_tree(spark, d):
+    """The tree of all samples, with the rounds of joins down to sixteen nodes."""
+    return tree.tree_edges(profiles.blocked_distances(D.lineitem_profiles(spark, d)), finish=16)
+
+
 # Beyond SQL: folds and alignment, held against plain versions in the tests.
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return D.table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("seqid"), F.upper("text").alias("seq"))

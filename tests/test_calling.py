@@ -125,6 +125,7 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["PrepExternalSchema", "-i", f"{tmp_path}/schema", "-o", f"{tmp_path}/ext"]) == 0
     assert cli.main(["SchemaEvaluator", "-i", f"{tmp_path}/schema", "-o", f"{tmp_path}/eval"]) == 0
     assert cli.main(["AlleleCallEvaluator", "-i", f"{out}/results_alleles", "-g", f"{tmp_path}/schema", "-o", f"{tmp_path}/calls"]) == 0
+    assert spark.read.text(f"{tmp_path}/calls/tree").first()[0] == "(gA:0,gB:0);"
 
 
 def test_command_line_on_genomes(spark, tmp_path):

@@ -1,5 +1,3 @@
-import numpy as np
-
 from locusflow.operators import phylo
 
 
@@ -10,13 +8,6 @@ def test_star_alignment():
     assert phylo.star_alignment([]) == []
 
 
-def test_tree():
-    d = np.array([[0, 2, 7, 7], [2, 0, 7, 7], [7, 7, 0, 4], [7, 7, 4, 0]], float)
-    text = phylo.neighbour_joining(list("abcd"), d)
-    assert "(a:1,b:1)" in text and text.endswith(";") and text.count("(") == text.count(")")
-    assert phylo.neighbour_joining(["x"], np.zeros((1, 1))) == "x;"
-
-
 def test_genes(spark):
     gene = "ATG" + "GCT" * 40 + "TAA"
     back = gene.translate(str.maketrans("ACGT", "TGCA"))[::-1]
