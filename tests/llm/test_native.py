@@ -63,3 +63,16 @@ def test_mix_keeps_whole_rows(spark, docs):
     key = lambda df: sorted(map(str, df.select("doc_id", "source", "size", "source_size", "target", "taken").collect()))
     assert key(got) == key(plain) == key(mixing.mix(docs, range_rows=1))
     assert sorted(map(str, got.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_costs_of_rules_are_of_evaluation(spark):
+    texts = spark.range(600).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("AB cd cd #x "), F.col("id").cast("string"), F.lit(" ")), 60).alias("text"))
+    measured = rules.base_measures(texts).cache()
+    try:
+        free = {"nothing": lambda: F.lit(True), "cheap": lambda: F.col("n_symbols") > 1, "shouting": rules.RULES["shouting"]}
+        runs = [rules.rule_costs(measured, free) for _ in range(2)]
+        assert all(c["shouting"] > 50 * c["cheap"] and c["shouting"] > 50 * c["nothing"] for c in runs)
+        three = {"a_dear": lambda: F.size(F.filter("words", lambda w: F.upper(w) == w)) > 10, "b_cheap": lambda: F.col("n_words") > 100, "c_never": lambda: F.col("n_words") < 0}
+        assert all(rules.ordered_rules(measured, three) == ["b_cheap", "a_dear", "c_never"] for _ in range(3))
+    finally:
+        measured.unpersist()
