@@ -94,3 +94,31 @@ def test_blocks():
         assert all(np.array_equal(a, b) for a, b in zip(whole, S.segments(text), strict=True))
     finally:
         S._BLOCK = old
+
+
+def test_predecessor_with_another_first_byte():
+    # The last suffix of "a" and the first of "b" are neighbours and have nothing in common; what follows them has.
+    shared = bytes(random.Random(1).choices(b"cdefgh", k=300))
+    segment, start, end = S.repeated_windows([b"a" + shared, b"b" + shared], np.array([102, 102]))
+    assert list(zip(segment.tolist(), start.tolist(), end.tolist(), strict=True)) == [(0, 1, 102), (1, 1, 102)]
+
+
+def test_suffixes_of_segments_as_far_as_they_reach():
+    r = random.Random(5)
+    for alphabet in (b"ab", b"\x00a", bytes(range(256))):
+        common = [bytes(r.choices(alphabet, k=90)) for _ in range(4)]
+        contents = [bytes(r.choices(alphabet, k=r.randrange(40))) + r.choice(common)[r.randrange(20) :] for _ in range(60)]
+        counts = np.array([len(c) - 49 for c in contents])
+        whole, room = b"".join(contents), np.concatenate([np.arange(len(c), 0, -1) for c in contents])
+        order = S.suffix_array(np.frombuffer(whole + bytes(100), np.uint8), 50, room)
+        keys = [whole[i : i + 50] for i in order]
+        assert keys == sorted(keys) and sorted(order) == np.flatnonzero(room >= 50).tolist()
+        seen = Counter(keys)
+        found = {(i, j) for i, x, y in zip(*S.repeated_windows(contents, counts, 50), strict=True) for j in range(x, y)}
+        assert found == {(i, j) for i, c in enumerate(contents) for j in range(len(c) - 49) if seen[c[j : j + 50]] > 1}
+
+
+def test_ranks_too_wide_for_one_word():
+    contents = [bytes(random.Random(6).choices(b"abcd", k=1_200_000))] * 2
+    segment, start, end = S.repeated_windows(contents, np.array([1_199_801] * 2))
+    assert list(zip(segment.tolist(), start.tolist(), end.tolist(), strict=True)) == [(0, 0, 1_199_801), (1, 0, 1_199_801)]
