@@ -122,3 +122,8 @@ def test_ranks_too_wide_for_one_word():
     contents = [bytes(random.Random(6).choices(b"abcd", k=1_200_000))] * 2
     segment, start, end = S.repeated_windows(contents, np.array([1_199_801] * 2))
     assert list(zip(segment.tolist(), start.tolist(), end.tolist(), strict=True)) == [(0, 0, 1_199_801), (1, 0, 1_199_801)]
+
+
+def test_texts_with_another_first_letter(spark):
+    shared = "".join(random.Random(1).choices("cdefgh", k=300))
+    run(spark, [(0, "a" + shared), (1, "b" + shared)])
