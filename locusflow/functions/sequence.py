@@ -62,7 +62,9 @@ def minimizers(seq: Column | str, k: int = 5, window: int = 5) -> Column:
     """Distinct lexicographic minima of all windows of ``window`` adjacent k-mers; empty if there is no full window."""
     seq = _col(seq)
     n = F.length(seq) - (k - 1) - (window - 1)
-    minima = F.transform(F.sequence(F.lit(1), n), lambda i: F.least(*[F.substring(seq, i + j, F.lit(k)) for j in range(window)]))
+    words = F.transform(F.sequence(F.lit(1), n + (window - 1)), lambda i: F.substring(seq, i, F.lit(k)))
+    # An array around the words, so that they are made once and not anew for every window.
+    minima = F.element_at(F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.least(*[F.get(w, i + j) for j in range(window)]))), 1)
     return F.when(n >= 1, F.array_distinct(minima)).otherwise(F.array().cast("array<string>"))
 
 

@@ -108,15 +108,18 @@ _RESIDUES = "ARNDCQEGHILKMFPS"
 def part_proteins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(id, seq) of proteins: one of each brand, and one of each part, which keeps about three quarters of its brand's residues."""
     letters = lambda name, text: F.translate(F.upper(F.concat(*[F.sha2(F.concat(F.lit(f"{name}{k}-"), text).cast("binary"), 256) for k in range(2)])), "0123456789ABCDEF", _RESIDUES)
-    part = table(spark, sf_dir, "part")
-    heads = part.select(F.col("p_brand").alias("id")).distinct().withColumn("seq", letters("brand", F.col("id")))
+    # Dealt anew, as a short table is one small file and its sequences are all the work.
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    part = part.repartition(max(2 * spark.sparkContext.defaultParallelism, part.rdd.getNumPartitions()), "p_partkey")
+    heads = table(spark, sf_dir, "part").select(F.col("p_brand").alias("id")).distinct().withColumn("seq", letters("brand", F.col("id")))
+    # Each text is made and split once: inside the function of a residue it would be made anew for every residue.
+    split = lambda name, text: F.split(F.coalesce(letters(name, text), F.lit("")), "")
     key = F.col("p_partkey").cast("string")
-    each = part.select(F.col("p_partkey").alias("id"), letters("brand", F.col("p_brand")).alias("base"), letters("own", key).alias("own"), letters("pick", key).alias("pick"))
-    at = lambda text, i: F.substr(text, i, F.lit(1))
-    changed = F.transform(F.sequence(F.lit(1), F.lit(128)), lambda i: F.when(at(F.col("pick"), i).isin("A", "R", "N", "D"), at(F.col("own"), i)).otherwise(at(F.col("base"), i)))
+    changed = F.zip_with(split("pick", key), F.arrays_zip(split("own", key), split("brand", F.col("p_brand"))), lambda p, x: F.when(p.isin("A", "R", "N", "D"), x["0"]).otherwise(x["1"]))
+    each = part.select(F.col("p_partkey").alias("id"), F.array_join(changed, "").alias("seq"))
     # Written, as what is made from a sequence would else repeat its expression for every residue.
     stage = Stage(spark)
-    return stage.write(heads, "heads"), stage.write(each.select("id", F.array_join(changed, "").alias("seq")), "parts")
+    return stage.write(heads, "heads"), stage.write(each, "parts")
 
 
 def _letters(name: str, text: str) -> str:

@@ -80,3 +80,35 @@ def test_hard_rows(spark):
     assert sum(r["query"] == r["target"] == "e" for r in rows) == 4
     none = spark.createDataFrame([], SCHEMA)
     assert S.search(none, spark.createDataFrame(seqs, SCHEMA)).count() == S.search(spark.createDataFrame(seqs, SCHEMA), none).count() == 0
+
+
+def test_blocks_against_one_pair_at_a_time():
+    """Hits and scores without gaps of a block, as plain loops find them for each pair."""
+    r = random.Random(3)
+    heads = ["".join(r.choice(RESIDUES + "X") for _ in range(n)) for n in (2, 3, 70, 150)] + ["A" * 60]
+    members = [mutated(r, h, 0.6) for h in heads for _ in range(3)] + ["", "MK", "é€MKVLWAALLVTF"]
+    q, t, m = S._text(heads), S._text(members), matrix()
+    words = lambda s: [(i, s[i : i + 3]) for i in range(len(s) - 2) if set(s[i : i + 3]) <= set(RESIDUES) and len(set(s[max(0, i - 4) :][:12])) >= 3]
+    want = {}
+    for a, head in enumerate(heads):
+        for b, member in enumerate(members):
+            every = {(j - i, j) for i, x in words(head) for j, y in words(member) if x == y or sum(m[ord(c), ord(d)] for c, d in zip(x, y, strict=True)) >= 11}
+            if double := [(d, j) for d, j in every if any((d, j - k) in every for k in range(3, 41))]:
+                want[a, b] = (sorted(double), S.extension(head, member, double))
+    hits, scores = {}, {}
+    for found in S._double(q, S._index(q, 11), t, 40):
+        for a, b, d, j in zip(*(x.tolist() for x in found), strict=True):
+            hits.setdefault((a, b), []).append((d, j))
+        scores |= {(a, b): s for a, b, s in zip(*(x.tolist() for x in S._ungapped(q, t, found, S.DROP)), strict=True)}
+    assert {k: (sorted(hits[k]), scores[k]) for k in hits} == want and len(want) > 8
+
+
+def test_only_pairs_at_the_trigger_are_written(spark, monkeypatch):
+    """Words that are alike by chance, in nearly every two sequences, leave no row behind."""
+    r = random.Random(4)
+    text = lambda: "".join(r.choice(RESIDUES) for _ in range(150))
+    heads, members = [(f"h{i}", text()) for i in range(4)], [(f"m{i}", text()) for i in range(150)]
+    rows, write = {}, S.Stage.write
+    monkeypatch.setattr(S.Stage, "write", lambda self, df, name: (out := write(self, df, name), rows.update({name: out.count()}))[0])
+    got = S.search(spark.createDataFrame(heads, SCHEMA), spark.createDataFrame(members + heads[:1], SCHEMA)).collect()
+    assert [(x["query"], x["target"]) for x in got] == [("h0", "h0")] and sum(rows.values()) < 2 * (len(heads) + len(members))
