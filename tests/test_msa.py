@@ -101,3 +101,21 @@ def test_alignments_of_samples(spark, families):
     rows = [(locus, f"s{i}", s) for locus, seqs in families.items() for i, s in enumerate(seqs) if not (locus == "l1" and i == 3)]
     out = phylo.concatenated(phylo.aligned_loci(spark.createDataFrame(rows, "locus string, FILE string, seq string")))
     assert out.select(F.length("aligned")).distinct().count() == 1 and out.count() == max(map(len, families.values()))
+
+
+def test_rounds_and_one_task_agree(spark, families, monkeypatch):
+    """A locus goes through rounds of tables down to few nodes and is finished in one task: no round if it is short."""
+    rows = [(locus, s) for locus, seqs in families.items() for s in seqs] + [("one", "MKV"), ("none", "")]
+    frame, rounds, write = spark.createDataFrame(rows, "locus string, seq string"), [], msa.Stage.write
+    monkeypatch.setattr(msa.Stage, "write", lambda self, df, name: (rounds.append(name), write(self, df, name))[1])
+    for finish, least, most in ((1024, 0, 0), (6, 1, 6), (1, 3, 12)):
+        rounds.clear()
+        got = {}
+        for x in msa.align_groups(frame, finish=finish).collect():
+            got.setdefault(x["locus"], {})[x["seq"]] = x["aligned"]
+        assert least <= sum(name.startswith("msa-chosen") for name in rounds) <= most
+        assert got["one"] == {"MKV": "MKV"} and got["none"] == {"": ""}
+        for locus, seqs in families.items():
+            aligned = [got[locus][s] for s in seqs]
+            assert [a.replace("-", "") for a in aligned] == seqs and len({len(a) for a in aligned}) == 1
+            assert msa.pair_score(aligned) >= msa.pair_score(phylo.star_alignment(seqs))
