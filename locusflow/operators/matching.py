@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from locusflow.functions.align import local_alignment
 from locusflow.functions.sequence import minimizers, self_score, sequence_hash
-from locusflow.runtime import ship
+from locusflow.runtime import Stage, bounded, ship
 
 
 def first_locus(alleles: DataFrame, key: str = "dna_hash") -> DataFrame:
@@ -54,20 +54,30 @@ def shared_minimizers(queries: DataFrame, references: DataFrame, threshold: floa
     """(query, reference, similarity, rank): share of a query's distinct minimizers that a reference has, best first.
 
     Both sides are (id, seq), with unlike ids.  A sequence without minimizers has no partners.  Ties rank by reference.
-    ``top`` None keeps every partner, without a rank.  A word that all have brings no pairs together, if there are others.
+    ``top`` None keeps every partner, without a rank.  A word that all have brings no pairs together, if there are others,
+    unless one word in common is enough.
     """
-    q = queries.select(F.col("id").alias("query"), minimizers("seq", k, window).alias("mine"))
-    r = references.select(F.col("id").alias("reference"), minimizers("seq", k, window).alias("theirs"))
+    stage = Stage(queries.sparkSession)
+    q = stage.write(queries.select(F.col("id").alias("query"), minimizers("seq", k, window).alias("mine")), "queries")
+    r = stage.write(references.select(F.col("id").alias("reference"), minimizers("seq", k, window).alias("theirs")), "references")
     words = r.select("reference", F.explode("theirs").alias("word"))
     n = F.size("mine")
-    # A reference that shares enough has one of the query's rarest words, as many as are left when the others would not do.
-    asked = q.select("query", (n - F.greatest(F.lit(1), F.ceil(n * threshold - 1e-9)) + 1).alias("most"), F.explode("mine").alias("word"))
-    known = words.groupBy("word").agg(F.count("*").alias("rows"))
-    rarest = F.row_number().over(Window.partitionBy("query").orderBy("rows", "word"))
-    asked = asked.join(known, "word", "left").withColumn("place", rarest).where(F.col("place") <= F.col("most")).select("query", "word")
-    pairs = asked.join(words, "word").select("query", "reference").distinct()
-    share = F.size(F.array_intersect("mine", "theirs")) / n
-    sims = pairs.join(q, "query").join(r, "reference").select("query", "reference", share.alias("similarity")).where(F.col("similarity") >= threshold)
+    least = F.greatest(F.lit(1), F.ceil(n * threshold - 1e-9))
+    # One word in common is enough of a query of few words, so all of its words are asked for, and counted as they are met.
+    each = q.where(least <= 1).select("query", n.alias("n"), F.explode("mine").alias("word"))
+    met = each.join(bounded(words), "word").groupBy("query", "n", "reference").agg(F.count("*").alias("shared"))
+    sims = met.select("query", "reference", (F.col("shared") / F.col("n")).alias("similarity"))
+    long = q.where(least > 1)
+    if not long.isEmpty():
+        # A reference that shares enough has one of the query's rarest words, as many as are left when the others would not do.
+        asked = long.select("query", (n - least + 1).alias("most"), F.explode("mine").alias("word"))
+        known = words.groupBy("word").agg(F.count("*").alias("rows"))
+        rarest = F.row_number().over(Window.partitionBy("query").orderBy("rows", "word"))
+        asked = asked.join(known, "word", "left").withColumn("place", rarest).where(F.col("place") <= F.col("most")).select("query", "word")
+        pairs = asked.join(words, "word").select("query", "reference").distinct()
+        share = F.size(F.array_intersect("mine", "theirs")) / n
+        sims = sims.unionAll(pairs.join(long, "query").join(r, "reference").select("query", "reference", share.alias("similarity")))
+    sims = sims.where(F.col("similarity") >= threshold)
     if top is None:
         return sims
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "reference"))

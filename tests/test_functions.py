@@ -140,3 +140,25 @@ def test_alignment():
 def test_self_score(spark):
     p = "MKWVTFISLLFLFSSAYSRGVFRR"
     assert one(spark, S.self_score("s"), s=p) == A.align(p, p)[0]
+
+
+def test_shared_minimizers_of_short_and_long_queries(spark):
+    """Queries of which one word is enough are counted as they meet references; others are met by their rarest words."""
+    from locusflow.operators.matching import shared_minimizers
+
+    r = random.Random(6)
+    base = "".join(r.choice("ACDEFGHIKL") for _ in range(120))
+    cut = lambda n: base[(at := r.randrange(120 - n)) : at + n]
+    queries = {f"q{i}": cut(r.choice([12, 20, 60, 100])) for i in range(40)} | {"none": "ACD"}
+    references = {f"r{i}": cut(r.choice([15, 40, 90])) for i in range(15)}
+    frame = lambda rows: spark.createDataFrame(list(rows.items()), "id string, seq string")
+    for threshold in (0.02, 0.15):
+        want = {}
+        for a, x in queries.items():
+            words = plain_minimizers(x)
+            for b, y in references.items():
+                if words and len(words & plain_minimizers(y)) >= max(1, threshold * len(words) - 1e-9):
+                    want[a, b] = len(words & plain_minimizers(y)) / len(words)
+        found = shared_minimizers(frame(queries), frame(references), threshold, None)
+        assert {(x["query"], x["reference"]): x["similarity"] for x in found.collect()} == want and len(want) > 100
+        assert ("array_intersect" in found._jdf.queryExecution().toString()) == (threshold > 0.1)
