@@ -22,26 +22,27 @@ def _listed(by: str, key: object, ids: Iterable[str], name: str = "seqid") -> pd
     return pd.DataFrame([(key, x) for x in ids], columns=[by, name], dtype=object)
 
 
-def similar(rows: DataFrame, similarity: float, earlier: bool = False) -> DataFrame:
+def similar(rows: DataFrame, similarity: float, earlier: bool = False, others: DataFrame | None = None) -> DataFrame:
     """(group, member, other, similarity): the share of a member's words that another row of its group has, from ``similarity`` on.
 
-    ``rows``: group, seqid, words (distinct), and place if only ``earlier`` rows count as others.  A row that shares so
-    much has in common at least one of the member's rarest words, as many as are left when the others would not do:
-    only these are joined, so that words that all rows have bring no pairs together.
+    ``rows``: group, seqid, words (distinct), and place if only ``earlier`` rows count as others; ``others``: rows alike,
+    if not all count.  A row that shares so much has in common at least one of the member's rarest words, as many as are
+    left when the others would not do: only these are joined, so that words that all rows have bring no pairs together.
     """
-    n = F.size("words")
+    n, others = F.size("words"), rows if others is None else others
     least = F.greatest(F.lit(1), F.ceil(n * similarity - 1e-9))
     place = ["place"] if earlier else []
     each = rows.select("group", "seqid", *place, n.alias("n"), least.alias("least"), F.explode("words").alias("word"))
-    known = each.groupBy("group", "word").agg(F.count("*").alias("rows"))
+    theirs = others.select("group", "seqid", *place, F.explode("words").alias("word"))
+    known = theirs.groupBy("group", "word").agg(F.count("*").alias("rows"))
     rarest = F.row_number().over(Window.partitionBy("group", "seqid").orderBy("rows", "word"))
-    asked = each.join(known, ["group", "word"]).withColumn("rank", rarest).where(F.col("rank") <= F.col("n") - F.col("least") + 1)
+    asked = each.join(known, ["group", "word"], "left").withColumn("rank", rarest).where(F.col("rank") <= F.col("n") - F.col("least") + 1)
     on = (F.col("a.group") == F.col("b.group")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.seqid") != F.col("b.seqid"))
     if earlier:
         on &= F.col("b.place") < F.col("a.place")
-    pairs = asked.alias("a").join(each.alias("b"), on).select("a.group", F.col("a.seqid").alias("member"), F.col("b.seqid").alias("other")).distinct()
-    words = lambda name, column: rows.select("group", F.col("seqid").alias(name), F.col("words").alias(column))
-    whole = pairs.join(words("member", "mine"), ["group", "member"]).join(words("other", "theirs"), ["group", "other"])
+    pairs = asked.alias("a").join(theirs.alias("b"), on).select("a.group", F.col("a.seqid").alias("member"), F.col("b.seqid").alias("other")).distinct()
+    words = lambda of, name, column: of.select("group", F.col("seqid").alias(name), F.col("words").alias(column))
+    whole = pairs.join(words(rows, "member", "mine"), ["group", "member"]).join(words(others, "other", "theirs"), ["group", "other"])
     share = F.size(F.array_intersect("mine", "theirs")) / F.size("mine")
     return whole.select("group", "member", "other", share.alias("similarity")).where(F.col("similarity") >= similarity)
 
@@ -50,12 +51,17 @@ def _greedy(rows: DataFrame, similarity: float, top: int, stage: Stage, label: s
     """(representative, member, similarity, length) within each group: rows by place, each joins the ``top`` most similar
     representatives before it (ties by identifier), or becomes one.
 
-    ``rows``: group, seqid, place, length, words.  A row without an undecided similar row before it, and without such a
-    representative, is a representative; rows similar to it are members.  Rounds over written tables decide all rows
-    as one pass in order would.
+    ``rows``: group, seqid, place, length, words.  Rows with the words of an earlier one never become representatives, as
+    they have one before them that it joined or is: so only kinds of words are linked, the first row of each.  A kind
+    without an undecided similar one before it, and without such a representative, is a representative; kinds similar to
+    it are members.  Rounds over written tables decide all as one pass in order would; then every row chooses among the
+    representatives before it.
     """
-    links = stage.write(similar(rows, similarity, True).select("member", F.col("other").alias("representative"), "similarity"), f"{label}-links")
-    left, edges, chosen, step = rows.select("seqid"), links.select("member", "representative"), [], 0
+    words = F.array_sort("words").alias("words")
+    some = rows.where(F.size("words") > 0).select("group", "seqid", "place", words)
+    kinds = stage.write(some.groupBy("group", "words").agg(F.min_by("seqid", "place").alias("seqid"), F.min("place").alias("place")), f"{label}-kinds")
+    edges = stage.write(similar(kinds, similarity, True).select("member", F.col("other").alias("representative")), f"{label}-links")
+    left, chosen, step = kinds.select("seqid"), [], 0
     while True:
         new = stage.write(left.join(edges.select(F.col("member").alias("seqid")).distinct(), "seqid", "left_anti"), f"{label}-new{step}")
         chosen.append(new)
@@ -70,11 +76,17 @@ def _greedy(rows: DataFrame, similarity: float, top: int, stage: Stage, label: s
     reps = chosen[0]
     for more in chosen[1:]:
         reps = reps.unionAll(more)
+    reps = stage.write(kinds.join(reps, "seqid", "left_semi").select("group", "seqid", "place", "words"), f"{label}-reps")
+    near = similar(kinds, similarity, others=reps).select(F.col("member").alias("kind"), F.col("other").alias("representative"), "similarity")
+    near = near.unionAll(reps.select(F.col("seqid").alias("kind"), F.col("seqid").alias("representative"), F.lit(1.0).alias("similarity")))
+    near = near.join(reps.select(F.col("seqid").alias("representative"), F.col("place").alias("before")), "representative")
+    members = rows.where(F.size("words") > 0).select("group", F.col("seqid").alias("member"), "place", "length", words)
+    members = members.join(kinds.select("group", "words", F.col("seqid").alias("kind")), ["group", "words"]).join(reps.select(F.col("seqid").alias("member")), "member", "left_anti")
     best = F.row_number().over(Window.partitionBy("member").orderBy(F.desc("similarity"), "representative"))
-    near = links.join(reps.withColumnRenamed("seqid", "representative"), "representative", "left_semi").withColumn("rank", best).where(F.col("rank") <= top)
-    own = reps.select(F.col("seqid").alias("representative"), F.col("seqid").alias("member"), F.lit(1.0).alias("similarity"))
-    lengths = rows.select(F.col("seqid").alias("member"), "length")
-    return near.select("representative", "member", "similarity").unionAll(own).join(lengths, "member").select("representative", "member", "similarity", "length")
+    met = members.select("member", "place", "length", "kind").join(near, "kind").where(F.col("before") < F.col("place")).withColumn("rank", best).where(F.col("rank") <= top)
+    alone = rows.where(F.size("words") == 0).select("seqid").unionAll(reps.select("seqid"))
+    own = rows.join(alone, "seqid", "left_semi").select(F.col("seqid").alias("representative"), F.col("seqid").alias("member"), F.lit(1.0).alias("similarity"), "length")
+    return met.select("representative", "member", "similarity", "length").unionAll(own)
 
 
 def greedy_clusters(proteins: DataFrame, similarity: float = 0.2, top: int = 1, groups: int = GROUPS, k: int = 5, window: int = 5) -> DataFrame:

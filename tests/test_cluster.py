@@ -104,3 +104,19 @@ def test_folds(spark):
     loci = frame.withColumnRenamed("cluster", "locus").join(lengths.withColumnsRenamed({"seqid": "query", "length": "q_len"}), "query")
     candidates = spark.createDataFrame([(g, i) for g in ("x", "y") for i in ids], "locus string, seqid string")
     assert {tuple(x) for x in cluster.select_representatives(loci, candidates).collect()} == chosen
+
+
+def test_rows_of_equal_words_are_linked_once(spark, monkeypatch):
+    """Many rows of few names: links are between kinds of words, and a later row may join a later representative."""
+    names = ["ABCDEFGHIKLMNOPQ", "ABCDEFGHIXYZXYZX", "ABCDEFGHIXYZXYZA", "XYZXYZAABCDEFGHI", "ABC"]
+    seqs = {f"s{i:03d}": names[i % 5] + ("M" * (i % 3) if i % 5 == 4 else "") for i in range(150)}
+    order, words = sorted(seqs, key=lambda i: (-len(seqs[i]), i)), {i: words_of(s) for i, s in seqs.items()}
+    rows, write = {}, cluster.Stage.write
+    monkeypatch.setattr(cluster.Stage, "write", lambda self, df, name: (out := write(self, df, name), rows.update({name: out.count()}))[0])
+    for similarity in (0.2, 0.6):
+        first = greedy(order, words, similarity, 1)
+        second = greedy([i for i in order if (i, i, 1.0) in first], words, similarity, 1)
+        want = sorted((new, m, round(s2 if rep == m else s, 9)) for rep, m, s in first for new, old, s2 in second if old == rep)
+        got = cluster.greedy_clusters(spark.createDataFrame(list(seqs.items()), "seqid string, seq string"), similarity, 1, 1)
+        assert sorted((r["representative"], r["member"], round(r["similarity"], 9)) for r in got.collect()) == want
+        assert rows["first-links"] <= 12
