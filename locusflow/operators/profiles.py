@@ -73,55 +73,85 @@ def complete(profiles: DataFrame, missing: str = "LNF") -> DataFrame:
 def distances(profiles: DataFrame, symmetric: bool = False) -> DataFrame:
     """(a, b, distance): loci at which two samples both have an allele and these differ, a <= b, itself included.
 
-    Every pair of samples is listed, zero distances too.  Equal alleles pair by joining on (locus, allele), and loci
-    that both have by joining on locus; only counts per pair are shuffled after partial sums.
+    Every pair of samples is listed, zero distances too, and both ways with ``symmetric``.
     """
-    cells = masked(profiles).where(is_present("cell") == 1).select("FILE", "locus", "cell")
-    left, right = cells.select(F.col("FILE").alias("a"), "locus", F.col("cell").alias("x")), cells.select(F.col("FILE").alias("b"), "locus", F.col("cell").alias("y"))
-    pairs = left.join(right, "locus").where("a <= b").groupBy("a", "b").agg(F.sum((F.col("x") != F.col("y")).cast("int")).alias("distance"))
-    samples = profiles.select("FILE").distinct()
-    every = samples.select(F.col("FILE").alias("a")).join(samples.select(F.col("FILE").alias("b")), F.col("a") <= F.col("b"))
-    out = every.join(pairs, ["a", "b"], "left").withColumn("distance", F.coalesce("distance", F.lit(0)).cast("long"))
-    return symmetrical(out) if symmetric else out
+    return blocked_distances(profiles, symmetric=symmetric)
 
 
-def blocked_distances(profiles: DataFrame, block: int = 512) -> DataFrame:
-    """As distances(), for many samples: vectors of allele codes meet in blocks and numpy counts."""
+def blocked_distances(profiles: DataFrame, block: int = 512, symmetric: bool = False) -> DataFrame:
+    """distances() by blocks of samples: alleles are numbers within their locus, a block is one row of such numbers, and
+    every block meets every other in a cross join.  Neither cells nor pairs are shuffled, and a task holds two blocks.
+
+    Samples without a name are left out; of several cells of a sample and locus one counts.
+    """
     import numpy as np
     import pandas as pd
+    import pyarrow as pa
 
-    from locusflow.runtime import ship
-
-    ship(profiles.sparkSession)
-    cells = masked(profiles).where(is_present("cell") == 1)
-    loci = with_row_number(profiles.select("locus").distinct(), "at", "locus")
-    order = with_row_number(profiles.select("FILE").distinct(), "ord", "FILE")
-    n_loci, n = loci.count(), order.count()
-    coded = cells.join(loci, "locus").select("FILE", (F.col("at") - 1).alias("at"), F.col("cell").cast("long").alias("v"))
-    vectors = order.join(coded.groupBy("FILE").agg(F.collect_list("at").alias("at"), F.collect_list("v").alias("v")), "FILE", "left")
-    blocks, own = -(-n // block), F.floor((F.col("ord") - 1) / block).cast("int")
-    left = vectors.select("*", F.explode(F.sequence(own, F.lit(blocks - 1))).alias("j")).withColumn("i", own).withColumn("side", F.lit(0))
-    right = vectors.select("*", F.explode(F.sequence(F.lit(0), own)).alias("i")).withColumn("j", own).withColumn("side", F.lit(1))
-
-    def dense(rows: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((len(rows), n_loci), np.int32)
-        for k, (at, v) in enumerate(zip(rows["at"], rows["v"], strict=True)):
-            if at is not None:
-                out[k, np.asarray(at, np.int64)] = v
-        return out
-
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = (rows[rows["side"] == s].sort_values("ord") for s in (0, 1))
-        x, y, parts = dense(a), dense(b), []
-        there = y != 0
-        for k in range(len(x)):
-            keep = b["ord"].to_numpy() >= a["ord"].iloc[k]
-            d = ((x[k] != y[keep]) & there[keep] & (x[k] != 0)).sum(1)
-            parts.append(pd.DataFrame({"a": a["FILE"].iloc[k], "b": b["FILE"].to_numpy()[keep], "distance": d}))
-        return pd.concat(parts) if parts else pd.DataFrame({"a": [], "b": [], "distance": []})
+    from locusflow.runtime import Stage, map_arrow
 
+    spark, names = profiles.sparkSession, ["a", "b", "distance"]
     kind = profiles.schema["FILE"].dataType.simpleString()
-    return left.unionByName(right).groupBy("i", "j").applyInPandas(count, f"a {kind}, b {kind}, distance long")
+    stage = Stage(spark)
+    given = stage.write(masked(profiles.where("FILE is not null")).select("FILE", "locus", "cell"), "cells")
+    cells = given.where((is_present("cell") == 1) & F.col("locus").isNotNull())
+    alleles = cells.select("locus", "cell").distinct().withColumn("code", F.row_number().over(Window.partitionBy("locus").orderBy("cell")))
+    alleles = stage.write(alleles, "alleles")
+    loci = with_row_number(alleles.groupBy("locus").agg(F.max("code").alias("most")), "at", "locus")
+    order = with_row_number(given.select("FILE").distinct(), "ord", "FILE")
+    n_loci, most = loci.agg(F.count("*"), F.coalesce(F.max("most"), F.lit(0))).first()
+    # One number more than there are alleles: a missing one is 0 on one side and the largest on the other, and so never equal.
+    width = "u1" if most < (1 << 8) - 1 else "u2" if most < (1 << 16) - 1 else "u4"
+    codes = alleles.join(loci.select("locus", (F.col("at") - 1).alias("at")), "locus").select("locus", "cell", "at", "code")
+    coded = cells.join(bounded(codes), ["locus", "cell"]).select("FILE", "at", "code")
+    numbered = order.select("FILE", F.floor((F.col("ord") - 1) / block).cast("int").alias("block"), ((F.col("ord") - 1) % block).cast("int").alias("row"))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        files = rows.drop_duplicates("row").sort_values("row")["FILE"].tolist()
+        there = rows.dropna(subset=["code"])
+        out = np.zeros((n_loci, len(files)), width)
+        out[there["at"].to_numpy(np.int64), there["row"].to_numpy(np.int64)] = there["code"].to_numpy(np.int64)
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "files": [files], "codes": [out.tobytes()]})
+
+    packed = numbered.join(coded, "FILE", "left").groupBy("block").applyInPandas(pack, f"block int, files array<{kind}>, codes binary")
+    blocks = stage.write(packed, "blocks")
+    side = lambda name: blocks.select(*[F.col(c).alias(f"{name}_{c}") for c in ("block", "files", "codes")])
+    met = side("x").repartition(4 * spark.sparkContext.defaultParallelism, "x_block").crossJoin(side("y")).where("x_block <= y_block")
+
+    def count(batches):
+        known = {}
+        for batch in batches:
+            get = {c: batch.column(c) for c in batch.schema.names}
+            for k in range(batch.num_rows):
+                a, b = (get[f"{s}_files"][k].values for s in "xy")
+                x, y = (np.frombuffer(get[f"{s}_codes"][k].as_buffer(), width).reshape(n_loci, n) for s, n in (("x", len(a)), ("y", len(b))))
+                own = get["x_block"][k] == get["y_block"][k]
+                if (len(a), len(b), own) not in known:
+                    known[len(a), len(b), own] = [z.astype(np.int32) for z in (np.triu_indices(len(a)) if own else np.divmod(np.arange(len(a) * len(b)), len(b)))]
+                i, j = known[len(a), len(b), own]
+                found = differing_alleles(x, y)
+                left, right, d = a.take(pa.array(i)), b.take(pa.array(j)), pa.array(found[i, j] if own else found.ravel())
+                yield pa.RecordBatch.from_arrays([left, right, d], names)
+                if symmetric:
+                    back = pa.RecordBatch.from_arrays([right, left, d], names)
+                    yield back.filter(pa.array(i != j)) if own else back
+
+    return map_arrow(met, count, f"a {kind}, b {kind}, distance long")
+
+
+def differing_alleles(x, y):
+    """Of each column of ``x`` with each of ``y``, the rows in which both have a number and these differ; 0 is none."""
+    import numpy as np
+
+    both = (x > 0).T.astype(np.float32) @ (y > 0).astype(np.float32)
+    hidden = np.where(y == 0, np.iinfo(y.dtype).max, y)
+    same, some = np.zeros(both.shape, np.int64), np.zeros(both.shape, np.uint8)
+    for k in range(len(x)):
+        some += x[k][:, None] == hidden[k]
+        if k % 255 == 254:
+            same += some
+            some[:] = 0
+    return both.astype(np.int64) - same - some
 
 
 def symmetrical(upper: DataFrame) -> DataFrame:

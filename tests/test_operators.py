@@ -1,3 +1,4 @@
+import random
 from itertools import combinations_with_replacement
 
 import pytest
@@ -119,6 +120,25 @@ def test_distances(spark):
     assert profiles.distances(p, symmetric=True).count() == 9
 
 
+def test_distances_by_blocks(spark):
+    """Odd cells and many loci, as loops count them; no pair and no sample's copy goes through a shuffle."""
+    r = random.Random(4)
+    kinds = ["LNF", "NIPH", "0", "*0", "1", "01", "INF-1", "INF-*2", "2", "123456789012", "123456789013", None]
+    cells = {(f"s{a}", b): r.choice(kinds) for a in range(13) for b in range(300) if a != 5 and r.random() < 0.9} | {("s5", 0): "LNF"}
+    rows = [(a, b, c) for (a, b), c in cells.items()] + [(None, 1, "1"), ("s1", None, "1"), ("s2", None, "2")]
+    plain = {k: c.replace("INF-", "").replace("*", "") for k, c in cells.items() if c and c[0] not in "LN" and c not in ("0", "*0")}
+    p = spark.createDataFrame(rows, "FILE string, locus long, cell string")
+    want = {(f"s{a}", f"s{b}"): sum(plain[f"s{a}", k] != plain[f"s{b}", k] for k in range(300) if (f"s{a}", k) in plain and (f"s{b}", k) in plain) for a in range(13) for b in range(13)}
+    for block in (4, 512):
+        got = profiles.blocked_distances(p, block, symmetric=True).collect()
+        assert {(x["a"], x["b"]): x["distance"] for x in got} == want and len(got) == 169
+    upper = profiles.distances(p)
+    assert {(x["a"], x["b"]): x["distance"] for x in upper.collect()} == {k: v for k, v in want.items() if k[0] <= k[1]}
+    assert profiles.distances(p.where("FILE is null")).count() == 0
+    plan = upper._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "SortMergeJoin" not in plan
+
+
 def test_joins(spark):
     a = spark.createDataFrame([("x", "1", "2")], "FILE string, l1 string, l2 string")
     b = spark.createDataFrame([("3", "y", "4")], "l2 string, FILE string, l1 string")
