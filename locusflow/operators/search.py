@@ -291,7 +291,9 @@ def search(
     named = lambda df, no, name: df.select(F.col("no").alias(no), F.col("id").alias(name), F.col("seq").alias(f"{name}_seq"))
     near = pairs.join(named(queries, "q", "query"), "q").join(named(targets, "t", "target"), "t")
     near = stage.write(near.select("query", "query_seq", "target", "target_seq"), f"{label}-near")
-    found = align_pairs(near.repartition("query", "target", "target_seq")).withColumn("slen", F.length("target_seq"))
+    # Written, as a filter by the score would else align once more; into so many parts, as few rows are much work.
+    dealt = near.repartition(4 * queries.sparkSession.sparkContext.defaultParallelism, "query", "target", "target_seq")
+    found = stage.write(align_pairs(dealt), f"{label}-found").withColumn("slen", F.length("target_seq"))
     expected = K * F.length("query_seq") * F.lit(float(total)) * F.exp(-LAMBDA * F.col("score"))
     found = found.withColumn("evalue", expected).select("query", "target", "score", "qstart", "qend", "slen", "evalue")
     return found if evalue is None else found.where(F.col("evalue") <= evalue)
